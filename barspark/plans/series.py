@@ -105,14 +105,15 @@ def run_ordered(df: DataFrame, build: Callable[[DataFrame, Window], DataFrame],
     return out
 
 
-_LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "prod": F.product}
+_LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "prod": F.product, "runmax": F.max, "runmin": F.min}
 
 
 def prefix_scan(df: DataFrame, specs: dict[str, tuple[str, Column]], keys: Sequence[str] = ("Ticker",)) -> DataFrame:
     """Unbounded running aggregates over a series that carries ``_rn`` and ``_chunk`` (no halo rows).
 
-    ``specs`` maps output name -> (op, column) with op in sum/max/min/prod; NULLs are skipped
-    like pandas ``cumsum``/``cummax``.
+    ``specs`` maps output name -> (op, column) with op in sum/max/min/prod; like pandas
+    ``cumsum``/``cummax`` NULL inputs stay NULL and are skipped. ``runmax``/``runmin`` give the
+    running extreme on every row (NULL inputs included).
     """
     keys = list(keys)
     if CHUNK not in df.columns:
@@ -135,12 +136,13 @@ def prefix_scan(df: DataFrame, specs: dict[str, tuple[str, Column]], keys: Seque
             value = F.when(loc.isNull(), car).otherwise(loc + F.coalesce(car, F.lit(0.0)))
         elif op == "prod":
             value = F.when(loc.isNull(), car).otherwise(loc * F.coalesce(car, F.lit(1.0)))
-        elif op == "max":
+        elif op in ("max", "runmax"):
             value = F.greatest(loc, car)
         else:
             value = F.least(loc, car)
-        # pandas cumsum/cummax keep NaN at NaN inputs and carry on after them.
-        value = F.when(F.col(f"_in_{name}").isNotNull(), value)
+        if op in ("sum", "prod", "max", "min"):
+            # pandas cumsum/cummax keep NaN at NaN inputs and carry on after them.
+            value = F.when(F.col(f"_in_{name}").isNotNull(), value)
         out = out.withColumn(name, value).drop(f"_in_{name}", f"_loc_{name}", f"_car_{name}")
     return out
 

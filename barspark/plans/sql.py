@@ -60,8 +60,17 @@ def weekday(expr: str) -> str:
 
 
 def roll(agg: str, x: str, n: int, w: str) -> str:
+    """pandas rolling(n): NULL until n non-null values. Sums and means add the frame oldest to
+    newest (``list_sum``), the same order as a sliding frame in Spark, so exact-decimal inputs
+    round identically."""
     frame = f"(PARTITION BY {w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return f"(CASE WHEN count({x}) OVER {frame} = {n} THEN {agg}({x}) OVER {frame} END)"
+    if agg == "sum":
+        value = f"list_sum(list({x}) OVER {frame})"
+    elif agg == "avg":
+        value = f"(list_sum(list({x}) OVER {frame}) / {n})"
+    else:
+        value = f"{agg}({x}) OVER {frame}"
+    return f"(CASE WHEN count({x}) OVER {frame} = {n} THEN {value} END)"
 
 
 def div(a: str, b: str) -> str:
