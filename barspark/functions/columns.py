@@ -53,12 +53,24 @@ def nan_to_null(c) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def round_half_away(c, digits: int) -> Column:
+    """round(x * 10^d) / 10^d on the binary value, half away from zero.
+
+    Spark's ``round`` rounds the shortest decimal string of a double, so a value printed as
+    ...5 but stored just below it rounds up; scaling first rounds the stored value, which is what
+    SQL engines that round in floating point do. Outputs are rounded this way so equal doubles
+    stay equal after rounding, on any engine.
+    """
+    scale = float(10 ** digits)
+    return F.round(col(c) * F.lit(scale), 0) / F.lit(scale)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every DOUBLE/FLOAT column (outputs compared against the SQL oracle)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            out.append(round_half_away(F.col(f.name).cast("double"), digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
