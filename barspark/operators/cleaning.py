@@ -11,6 +11,7 @@ from barspark import config
 from barspark.operators.market import dedup_first, filter_trading_hours
 from barspark.plans import series
 from barspark.plans.series import CHUNK, RN
+from barspark.session import materialize as _materialize
 
 __all__ = ["dedup_first", "ffill", "bfill", "fill_ohlcv", "drop_incomplete", "clean_market_data",
            "drop_invalid_prices", "select_existing", "drop_any_null", "drop_null_features",
@@ -78,11 +79,15 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str] = tuple(config.PRICE_COLU
     return df.na.drop(subset=list(cols))
 
 
-def clean_market_data(df: DataFrame, scope: str = "ticker", cadence: DataFrame | None = None) -> DataFrame:
-    """B13 = B08 (filter + dedup) -> B10 ffill -> B11 bfill -> B12 drop."""
+def clean_market_data(df: DataFrame, scope: str = "ticker", cadence: DataFrame | None = None,
+                      materialize: bool = True) -> DataFrame:
+    """B13 = B08 (filter + dedup) -> B10 ffill -> B11 bfill -> B12 drop.
+
+    The clean table is a published artifact (A16) and is read by every later stage, so it is
+    checkpointed by default."""
     filtered = filter_trading_hours(df, cadence)
-    out = drop_incomplete(fill_ohlcv(filtered, scope=scope))
-    return out.drop(RN, CHUNK, "_seq")
+    out = drop_incomplete(fill_ohlcv(filtered, scope=scope)).drop(RN, CHUNK, "_seq")
+    return _materialize(out) if materialize else out
 
 
 def drop_invalid_prices(df: DataFrame, col: str = "Close") -> DataFrame:

@@ -17,6 +17,7 @@ from barspark.functions.columns import flag, pct_change, roll_mean, roll_std, sa
 from barspark.operators.market import local_time
 from barspark.operators.recurrence import ema_halo, with_ema
 from barspark.plans import series
+from barspark.session import materialize as _materialize
 
 
 def rsi_package(close: str, n: int, w: Window) -> tuple[dict, dict]:
@@ -48,7 +49,7 @@ def package_steps(s: FeatureSettings) -> list:
 
 
 def feature_frame(bars: DataFrame, s: FeatureSettings = FeatureSettings(), drop_nulls: bool = True,
-                  with_targets: bool = True) -> DataFrame:
+                  with_targets: bool = True, materialize: bool = True) -> DataFrame:
     """Return, EMAs, MACD, RSI, rolling mean/std, calendar and h-step targets per bar.
 
     ``drop_nulls`` removes warm-up rows and the last ``horizon`` bars of each ticker (whose
@@ -80,7 +81,8 @@ def feature_frame(bars: DataFrame, s: FeatureSettings = FeatureSettings(), drop_
     if with_targets:
         cols += [f"target_t{h}" for h in range(1, s.horizon + 1)]
     out = out.select(*cols)
-    return out.na.drop(how="any") if drop_nulls else out
+    out = out.na.drop(how="any") if drop_nulls else out
+    return _materialize(out) if materialize else out
 
 
 def latest_rows(df: DataFrame, n: int) -> DataFrame:

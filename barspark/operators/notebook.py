@@ -17,6 +17,7 @@ from barspark.functions.columns import flag, pct_change, roll_mean, roll_std, ro
 from barspark.operators.recurrence import ema_halo, with_ema
 from barspark.plans import series
 from barspark.plans.series import RN
+from barspark.session import materialize as _materialize
 
 SQRT_252 = math.sqrt(C.TRADING_DAYS)
 
@@ -67,7 +68,7 @@ def date_parts(df: DataFrame, ts: str = "Timestamp") -> DataFrame:
                            "DayOfWeek_Name": F.date_format(t, "EEEE")})
 
 
-def notebook_features(bars: DataFrame, drop_nulls: bool = True) -> DataFrame:
+def notebook_features(bars: DataFrame, drop_nulls: bool = True, materialize: bool = True) -> DataFrame:
     """G05-G35 + F05-F09 per ticker, then B18 (drop rows with NULL in non-target columns)."""
     steps = ema_steps()
     halo = max(ema_halo(steps), max(C.NB_SMA), 2 + max(C.NB_VOL_WINDOWS), 2 + max(C.NB_ATR))
@@ -177,7 +178,7 @@ def notebook_features(bars: DataFrame, drop_nulls: bool = True) -> DataFrame:
     out = out.select(*[c for c in NOTEBOOK_COLUMNS])
     if drop_nulls:
         out = out.na.drop(subset=[c for c in out.columns if "Target" not in c])
-    return out
+    return _materialize(out) if materialize else out
 
 
 def _column_order() -> list[str]:

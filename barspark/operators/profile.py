@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barspark import config as C
 from barspark.functions.columns import pct_change, roll_mean, roll_std, safe_div
 from barspark.plans import series
+from barspark.session import materialize as _materialize
 
 SQRT_252 = math.sqrt(C.TRADING_DAYS)
 
@@ -29,7 +30,7 @@ def eda_frame(bars: DataFrame, keys: Sequence[str] = ("Ticker",)) -> DataFrame:
                               "BB_Upper_2s": F.col("MA_20") + 2 * F.col("_std20"),
                               "BB_Lower_2s": F.col("MA_20") - 2 * F.col("_std20")}).drop("_std20")
 
-    return series.run_ordered(bars.drop("_seq"), build, halo=200, keys=keys)
+    return _materialize(series.run_ordered(bars.drop("_seq"), build, halo=200, keys=keys))
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ INT_FEATURES = {"hour", "day_of_week"}
 DIGITS = {"daily": 6, "hourly": 6, "supplier": 6}
 
 
-def package_features_sql(view: str = "hourly", drop_nulls: bool = True) -> str:
+def package_features_sql(view: str = "hourly", drop_nulls: bool = True, rounded: bool = True) -> str:
     """E09 in SQL: clean -> number rows -> EMA recursion -> windows -> calendar -> drop NULL rows."""
     s = FeatureSettings()
     steps = indicators.package_steps(s)
@@ -55,7 +55,7 @@ SELECT *, sin({two_pi} * hour / 24) AS hour_sin, cos({two_pi} * hour / 24) AS ho
        sin({two_pi} * day_of_week / 7) AS day_sin, cos({two_pi} * day_of_week / 7) AS day_cos
 FROM lvl3"""
     dbl = [c for c in config.PACKAGE_FEATURES if c not in INT_FEATURES] + TARGETS
-    cols = ", ".join(S.r(S.q(c), DIGITS[view]) + f" AS {S.q(c)}" if c in dbl else S.q(c)
+    cols = ", ".join(S.r(S.q(c), DIGITS[view]) + f" AS {S.q(c)}" if c in dbl and rounded else S.q(c)
                      for c in config.PACKAGE_FEATURES + TARGETS)
     where = ""
     if drop_nulls:

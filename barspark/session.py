@@ -58,3 +58,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def materialize(df):
+    """Cut lineage at a pipeline table boundary (clean bars, feature frame): an eager reliable
+    checkpoint into ``spark.checkpoint.dir`` (shared storage on a cluster), so downstream jobs that
+    use the table several times (split, scaler, windows) read it instead of recomputing it, and a
+    lost executor costs a re-read, not a rerun of the whole pipeline."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
