@@ -62,7 +62,10 @@ def round_half_away(c, digits: int) -> Column:
     stay equal after rounding, on any engine.
     """
     scale = float(10 ** digits)
-    return F.round(col(c) * F.lit(scale), 0) / F.lit(scale)
+    y = col(c) * F.lit(scale)
+    # Doubles at or above 2^52 are integers already; Spark's decimal-based round is not an
+    # identity on them, so they pass through unchanged (as a floating-point round does).
+    return F.when(F.abs(y) >= F.lit(4503599627370496.0), y).otherwise(F.round(y, 0)) / F.lit(scale)
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -102,3 +105,11 @@ def ema_memory(span: float, tol: float) -> int:
     if d <= 0.0:
         return 0
     return int(math.ceil(math.log(tol) / math.log(d)))
+
+
+def round_sig(c, digits: int = 10) -> Column:
+    """Round to ``digits`` significant digits (for compounded quantities that span 1e-3..1e45,
+    where a fixed number of decimals is meaningless). Same operation order as the SQL oracle."""
+    x = col(c)
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(round_half_away(x / scale, digits - 1) * scale)

@@ -21,6 +21,12 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
 
 
+def rsig(expr: str, digits: int = 10) -> str:
+    """Significant-digit rounding matching ``round_sig`` in the Spark helpers."""
+    sc = f"pow(10.0, floor(log10(abs({expr}))))"
+    return f"(CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {sc}, {digits - 1}) * {sc} END + 0.0)"
+
+
 def rcols(cols, digits: int = 6, src: str = "") -> str:
     p = f"{src}." if src else ""
     return ", ".join(f'{r(p + q(c), digits)} AS {q(c)}' for c in cols)
