@@ -111,5 +111,6 @@ def round_sig(c, digits: int = 10) -> Column:
     """Round to ``digits`` significant digits (for compounded quantities that span 1e-3..1e45,
     where a fixed number of decimals is meaningless). Same operation order as the SQL oracle."""
     x = col(c)
-    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    # 10^e parsed from "1e<e>": correctly rounded on every engine (pow() differs by an ulp).
+    scale = F.concat(F.lit("1e"), F.floor(F.log10(F.abs(x))).cast("bigint").cast("string")).cast("double")
     return F.when(x == 0, F.lit(0.0)).otherwise(round_half_away(x / scale, digits - 1) * scale)

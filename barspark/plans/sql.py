@@ -23,7 +23,7 @@ def r(expr: str, digits: int = 6) -> str:
 
 def rsig(expr: str, digits: int = 10) -> str:
     """Significant-digit rounding matching ``round_sig`` in the Spark helpers."""
-    sc = f"pow(10.0, floor(log10(abs({expr}))))"
+    sc = f"CAST('1e' || CAST(CAST(floor(log10(abs({expr}))) AS BIGINT) AS VARCHAR) AS DOUBLE)"
     return f"(CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {sc}, {digits - 1}) * {sc} END + 0.0)"
 
 
