@@ -1 +1,84 @@
-"""Queries (filled in as operators land)."""
+"""Streaming queries (M01-M04): drained with availableNow triggers, checked against batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barspark import config as C
+from barspark.functions.columns import output
+from barspark.operators import cleaning, market
+from barspark.plans import sql as S
+from barspark.plans.q_features import package_features_sql
+from barspark.plans.registry import query
+from barspark.sources import fixtures as fx
+from barspark.sources.bars_io import scratch_path
+from barspark.streaming import streams
+
+BAR_OUT = '"Timestamp", Ticker, ' + S.rcols(C.PRICE_COLUMNS)
+
+
+@query("M02_stream_bars_from_ticks", S.with_views(f"SELECT {BAR_OUT} FROM bars", [("bars", S.BARS_HOURLY)]))
+def q_stream_bars(spark, sf_dir):
+    """Tick stream (the events files) -> hourly OHLCV bars in tumbling windows with a watermark."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # A file stream source lists a directory or a glob; the glob picks the events file(s).
+    ticks = (spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+             .withColumn("ts", F.col("ts").cast("timestamp")))
+    ticker = F.concat(F.upper("event_type"),
+                      F.when(F.col("event_type").isin("click", "view"), F.lit(".NS")).otherwise(F.lit("")))
+    bars = streams.bars_from_ticks(ticks, ticker)
+    table = streams.run_to_table(spark, bars, "m02", mode="update")
+    out = streams.read_stream_table(spark, table)
+    # update mode may emit a window more than once: the last emission is the final bar
+    from pyspark.sql import Window
+    w = Window.partitionBy("Timestamp", "Ticker").orderBy(F.col("_batch").desc())
+    out = out.withColumn("_k", F.row_number().over(w)).filter("_k = 1")
+    return output(out.select(*C.BAR_COLUMNS))
+
+
+@query("M01_clean_stream", S.with_views(
+    'SELECT "Timestamp", Ticker, ' + S.rcols(["Open", "High", "Low", "Volume"]) + f" FROM ({S.trading_hours('bars')}) t",
+    [("bars", S.BARS_DIRTY)]))
+def q_clean_stream(spark, sf_dir):
+    """Dirty bar stream -> watermarked dedup -> session filter (static cadence table). Duplicate
+    copies differ only in Close, so the check covers the other columns."""
+    src = scratch_path(spark, "m01-src")
+    dirty = fx.bars_dirty(spark, sf_dir)
+    dirty.write.parquet(src)
+    cadence = market.bar_cadence(dirty)
+    stream = spark.readStream.schema(dirty.schema).parquet(src)
+    table = streams.run_to_table(spark, streams.clean_stream(stream, cadence), "m01")
+    out = streams.read_stream_table(spark, table)
+    return output(out.select("Timestamp", "Ticker", "Open", "High", "Low", "Volume"))
+
+
+IND_SQL = S.with_views(
+    'SELECT "Timestamp", Ticker, ' + S.rcols(["Close"] + streams.INDICATOR_COLS) + " FROM f",
+    [("f", package_features_sql("hourly", drop_nulls=False, rounded=False))])
+
+
+def _indicator_table(spark, sf_dir):
+    src = scratch_path(spark, "m03-src")
+    clean = cleaning.clean_market_data(fx.bars_hourly(spark, sf_dir))
+    clean.write.parquet(src)
+    stream = spark.readStream.schema(clean.schema).parquet(src)
+    return streams.indicator_stream(stream)
+
+
+@query("M03_indicator_stream", IND_SQL)
+def q_indicator_stream(spark, sf_dir):
+    """Clean bar stream -> per-ticker stateful return/EMA/MACD/RSI/rolling stats (equals batch E)."""
+    table = streams.run_to_table(spark, _indicator_table(spark, sf_dir), "m03")
+    return output(streams.read_stream_table(spark, table).select("Timestamp", "Ticker", "Close", *streams.INDICATOR_COLS))
+
+
+@query("M04_latest_features_stream", S.with_views(
+    'SELECT "Timestamp", Ticker, ' + S.rcols(["Close"] + streams.INDICATOR_COLS) +
+    ' FROM (SELECT *, row_number() OVER (PARTITION BY Ticker ORDER BY "Timestamp" DESC) AS k FROM f) x WHERE k = 1',
+    [("f", package_features_sql("hourly", drop_nulls=False, rounded=False))]))
+def q_latest_stream(spark, sf_dir):
+    """foreachBatch upsert of the newest indicator row per ticker into a versioned table."""
+    path = streams.run_to_table(spark, _indicator_table(spark, sf_dir), "m04", upsert_keys=["Ticker"])
+    out = streams.read_stream_table(spark, path)
+    return output(out.select("Timestamp", "Ticker", "Close", *streams.INDICATOR_COLS))
