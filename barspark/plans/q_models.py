@@ -1 +1,118 @@
-"""Queries (filled in as operators land)."""
+"""Model queries (K rows). Closed forms carry SQL oracles; Spark ML fits are row-count checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barspark import config as C
+from barspark.functions.columns import output
+from barspark.operators import dataset, models
+from barspark.operators import evaluate as ev
+from barspark.plans import sql as S
+from barspark.plans.q_evaluate import PRED_CTES, preds
+from barspark.plans.q_profile import EDA_CTES, daily_clean
+from barspark.plans.registry import query
+
+W = 'PARTITION BY Ticker ORDER BY "Timestamp"'
+
+
+@query("K07_ar_baseline_unit_root", S.with_views(f"""
+SELECT Ticker, {S.r('regr_slope("Close", p)')} AS ar1_phi, {S.r('regr_intercept("Close", p)')} AS ar1_c,
+       {S.r('regr_slope(dc, p)')} AS df_b, {S.r('regr_intercept(dc, p)')} AS df_a, regr_count(dc, p) AS n,
+       {S.r('regr_slope(dc, p) / sqrt((regr_syy(dc, p) - regr_slope(dc, p) * regr_sxy(dc, p)) / (regr_count(dc, p) - 2) / regr_sxx(dc, p))')} AS df_t,
+       regr_slope(dc, p) / sqrt((regr_syy(dc, p) - regr_slope(dc, p) * regr_sxy(dc, p)) / (regr_count(dc, p) - 2) / regr_sxx(dc, p)) < {models.DF_CRITICAL_5PCT} AS unit_root_rejected
+FROM (SELECT Ticker, "Close", lag("Close") OVER ({W}) AS p, "Close" - lag("Close") OVER ({W}) AS dc FROM cleaned) x
+GROUP BY Ticker""", EDA_CTES[:2]))
+def q_ar(spark, sf_dir):
+    """Per-ticker AR(1) and Dickey-Fuller (0 lags, constant) regression on the daily closes."""
+    return output(models.ar_baseline(daily_clean(spark, sf_dir)))
+
+
+def _cramer_sql(alpha: float = 1.0) -> str:
+    f = ["naive", "sma5", "lag5"]
+
+    def xx(i, j):
+        i, j = min(i, j), max(i, j)
+        return f"(xx{i}{j} + {alpha})" if i == j else f"xx{i}{j}"
+
+    def det(m):
+        (a, b, c), (d, e, g), (h, i_, j) = m
+        return f"({a} * ({e} * {j} - {g} * {i_}) - {b} * ({d} * {j} - {g} * {h}) + {c} * ({d} * {i_} - {e} * {h}))"
+
+    A = [[xx(i, j) for j in range(3)] for i in range(3)]
+    b = [f"xy{i}" for i in range(3)]
+    d = det(A)
+    ws = []
+    for k in range(3):
+        Ak = [[b[r] if c == k else A[r][c] for c in range(3)] for r in range(3)]
+        ws.append(f"({det(Ak)} / NULLIF({d}, 0))")
+    stats = ", ".join(
+        [f"avg(y) AS my"] + [f"avg({x}) AS m{i}" for i, x in enumerate(f)]
+        + [f"covar_pop({x}, y) * count(*) AS xy{i}" for i, x in enumerate(f)]
+        + [f"covar_pop({a}, {bb}) * count(*) AS xx{i}{j}" for i, a in enumerate(f) for j, bb in enumerate(f) if j >= i])
+    inter = f"my - ({ws[0]} * m0 + {ws[1]} * m1 + {ws[2]} * m2)"
+    return f"""SELECT Ticker, {S.r(ws[0])} AS w_naive, {S.r(ws[1])} AS w_sma5, {S.r(ws[2])} AS w_lag5, {S.r(inter)} AS intercept
+FROM (SELECT Ticker, {stats} FROM wide2 GROUP BY Ticker) s"""
+
+
+@query("K05_stacking_ridge", S.with_views(_cramer_sql(), PRED_CTES + [
+    ("wide2", "SELECT * FROM wide WHERE naive IS NOT NULL AND sma5 IS NOT NULL AND lag5 IS NOT NULL")]))
+def q_stacking(spark, sf_dir):
+    """Ridge (alpha=1) meta-learner over the three base forecasts, per ticker, in closed form."""
+    p = preds(spark, sf_dir)
+    wide = p.groupBy("Ticker", "Timestamp").pivot("Model", ["naive", "sma5", "lag5"]).agg(F.first("yhat")).join(
+        p.select("Ticker", "Timestamp", "y").distinct(), ["Ticker", "Timestamp"])
+    wide = wide.na.drop(subset=["naive", "sma5", "lag5"])
+    return output(models.fit_stacking(wide, ["naive", "sma5", "lag5"], "y", 1.0))
+
+
+@query("K08_seasonal_baseline", S.with_views(f"""
+SELECT v.Ticker, v."Timestamp", {S.r('v."Close"')} AS y,
+       {S.r('t.a + t.b * v.rn + coalesce(wd.e, 0.0) + coalesce(mo.e, 0.0)')} AS yhat
+FROM s v JOIN tr t USING (Ticker)
+LEFT JOIN (SELECT Ticker, isodow("Timestamp") - 1 AS d, avg(res) AS e FROM r GROUP BY 1, 2) wd ON wd.Ticker = v.Ticker AND wd.d = isodow(v."Timestamp") - 1
+LEFT JOIN (SELECT Ticker, month("Timestamp") AS m, avg(res) AS e FROM r GROUP BY 1, 2) mo ON mo.Ticker = v.Ticker AND mo.m = month(v."Timestamp")
+WHERE v.split = 'val'""", EDA_CTES[:2] + [
+    ("s", f"""SELECT *, CASE WHEN rn < floor(n * 0.7) THEN 'train' WHEN rn < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split
+        FROM (SELECT *, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY Ticker) AS n FROM cleaned) a"""),
+    ("tr", "SELECT Ticker, regr_slope(\"Close\", rn) AS b, regr_intercept(\"Close\", rn) AS a FROM s WHERE split = 'train' GROUP BY Ticker"),
+    ("r", "SELECT s.*, s.\"Close\" - (t.a + t.b * s.rn) AS res FROM s JOIN tr t USING (Ticker) WHERE split = 'train'")]))
+def q_seasonal_baseline(spark, sf_dir):
+    """Trend + weekday + month effects fitted on the 70% train split, forecasts for the 15% val split."""
+    d = dataset.split_3way(daily_clean(spark, sf_dir))
+    out = models.seasonal_baseline(d.filter("split = 'train'"), d.filter("split = 'val'"))
+    return output(out)
+
+
+@query("K01_K04_global_linear_forecaster")
+def q_global_linear(spark, sf_dir):
+    """One linear model over all tickers (ticker one-hot + 24 features) for target_t1, fitted on the
+    train split and batch-scored on the val rows. Checked by row count (no SQL twin)."""
+    from barspark.plans.q_features import features
+    f = dataset.split_train_val(features(spark, sf_dir))
+    model = models.fit_linear(f.filter("is_train"), C.PACKAGE_FEATURES, "target_t1")
+    scored = models.score_linear_rows(f.filter("is_val"), model)
+    return output(scored.select("Ticker", "Timestamp", F.col("target_t1").alias("y"), F.col("prediction").alias("yhat")))
+
+
+@query("K06_walk_forward_eval")
+def q_walk_forward(spark, sf_dir):
+    """Expanding walk-forward folds on the daily series; a linear model per fold; RMSE/MAE per fold."""
+    d = daily_clean(spark, sf_dir)
+    from barspark.operators import evaluate  # noqa: F401
+    feats = d.withColumns({"hl": F.col("High") - F.col("Low"), "oc": F.col("Close") - F.col("Open")})
+    folded = dataset.walk_forward_folds(feats)
+    return output(models.walk_forward_eval(folded, ["Open", "hl", "oc", "Volume"], "Close"))
+
+
+@query("K02_boosted_trees")
+def q_boosted(spark, sf_dir):
+    """Gradient-boosted trees (depth 6, step 0.1, subsample 0.8, seed 42, up to 200 rounds with
+    validation early stopping) on the notebook features predicting the next return; val predictions."""
+    from barspark.operators.cleaning import numeric_features
+    from barspark.plans.q_notebook import nb_features
+    nb = dataset.split_3way(nb_features(spark, sf_dir, "daily")).filter(F.col("Target_Return").isNotNull())
+    feats = [c for c in numeric_features(nb) if c not in ("_n",)]
+    va, model = models.fit_boosted(nb.filter("split = 'train'"), feats, "Target_Return", nb.filter("split = 'val'"))
+    pred = model.transform(va.transform(nb.filter("split = 'test'")))
+    return output(pred.select("Ticker", "Timestamp", F.col("Target_Return").alias("y"), F.col("prediction").alias("yhat")))
