@@ -177,3 +177,10 @@ def interval_and_confidence(pred: Column, rmse: Column, mae: Column, k: float =
     ratio = F.transform(pred, lambda p: sigma / F.greatest(F.abs(p), F.lit(1.0)))
     mean_ratio = F.aggregate(ratio, F.lit(0.0), lambda a, x: a + x) / F.size(pred)
     return {"sigma": sigma, "intervals": intervals, "confidence": F.exp(-mean_ratio)}
+
+
+def fold_summary(folds: DataFrame, metrics: Sequence[str] = ("rmse", "mae")) -> DataFrame:
+    """Mean and sample std of each metric over the walk-forward folds."""
+    return folds.agg(*[F.avg(m).alias(f"{m}_mean") for m in metrics],
+                     *[F.stddev_samp(m).alias(f"{m}_std") for m in metrics],
+                     F.count(F.lit(1)).alias("n_folds"))

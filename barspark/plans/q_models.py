@@ -116,3 +116,33 @@ def q_boosted(spark, sf_dir):
     va, model = models.fit_boosted(nb.filter("split = 'train'"), feats, "Target_Return", nb.filter("split = 'val'"))
     pred = model.transform(va.transform(nb.filter("split = 'test'")))
     return output(pred.select("Ticker", "Timestamp", F.col("Target_Return").alias("y"), F.col("prediction").alias("yhat")))
+
+
+@query("L20_predict_batch")
+def q_predict_batch(spark, sf_dir):
+    """Batch of prediction requests (every ticker as of a cutoff, one latest, one unknown) answered
+    in one job: as-of feature rows, history gate, per-horizon models, intervals and confidence."""
+    from barspark.operators import cleaning, indicators, serving
+    from barspark.sources import fixtures as fx
+    clean = cleaning.clean_market_data(fx.bars_hourly(spark, sf_dir))
+    feats = indicators.feature_frame(clean, drop_nulls=False)
+    train = dataset.split_train_val(feats.na.drop(how="any"))
+    fitted = {h: models.fit_linear(train.filter("is_train"), C.PACKAGE_FEATURES, f"target_t{h}") for h in (1, 2, 3)}
+    val = fitted[1].transform(train.filter("is_val"))
+    e = F.col("target_t1") - F.col("prediction")
+    sigma = val.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+    req = cleaning.normalize_ticker(fx.requests(spark, sf_dir).withColumnRenamed("ticker", "Ticker"))
+    resp, _rejected = serving.predict_batch(req, feats, fitted, sigma, C.PACKAGE_FEATURES, seq_len=C.SEQUENCE_LENGTH)
+    return output(resp.select("ticker", "as_of", "feature_ts", F.col("predictions")[0].alias("p1"),
+                              F.col("predictions")[1].alias("p2"), F.col("predictions")[2].alias("p3"),
+                              "confidence", F.col("intervals")[0][0].alias("lo1"), F.col("intervals")[0][1].alias("hi1"),
+                              "model_version"))
+
+
+@query("D26_fold_summary")
+def q_fold_summary(spark, sf_dir):
+    """Mean and std of the walk-forward fold metrics."""
+    d = daily_clean(spark, sf_dir)
+    feats = d.withColumns({"hl": F.col("High") - F.col("Low"), "oc": F.col("Close") - F.col("Open")})
+    folds = models.walk_forward_eval(dataset.walk_forward_folds(feats), ["Open", "hl", "oc", "Volume"], "Close")
+    return output(ev.fold_summary(folds))
