@@ -70,8 +70,41 @@ def bfill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("Ticker",),
     return d
 
 
-def fill_ohlcv(df: DataFrame, scope: str = "ticker", cols: Sequence[str] = tuple(config.PRICE_COLUMNS)) -> DataFrame:
-    return bfill(ffill(df, cols), cols, scope=scope)
+def fill_ohlcv(df: DataFrame, scope: str = "ticker", cols: Sequence[str] = tuple(config.PRICE_COLUMNS),
+               keys: Sequence[str] = ("Ticker",)) -> DataFrame:
+    """B10 then B11 in one pass: a back-fill after a forward-fill only touches leading NULLs, so
+    the result is coalesce(last non-null so far, next non-null from here). Both directions share
+    one Window node, one per-chunk summary, one carry window and one join back."""
+    keys = list(keys)
+    d = _indexed(df, keys)
+    base = Window.partitionBy(*keys, CHUNK).orderBy(RN)
+    wf = base.rowsBetween(Window.unboundedPreceding, 0)
+    wb = base.rowsBetween(0, Window.unboundedFollowing)
+    d = d.select("*", *[F.last(c, ignorenulls=True).over(wf).alias(f"_ff_{c}") for c in cols],
+                 *[F.first(c, ignorenulls=True).over(wb).alias(f"_bf_{c}") for c in cols])
+    pos = lambda c: F.when(F.col(c).isNotNull(), F.col(RN))
+    summ = d.groupBy(*keys, CHUNK).agg(*[F.max_by(F.col(c), pos(c)).alias(f"_t_{c}") for c in cols],
+                                       *[F.min_by(F.col(c), pos(c)).alias(f"_h_{c}") for c in cols])
+    chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+    prior = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    later = chunks.rowsBetween(1, Window.unboundedFollowing)
+    carry = summ.select(*keys, CHUNK, *[f"_h_{c}" for c in cols],
+                        *[F.last(f"_t_{c}", ignorenulls=True).over(prior).alias(f"_cf_{c}") for c in cols],
+                        *[F.first(f"_h_{c}", ignorenulls=True).over(later).alias(f"_cb_{c}") for c in cols])
+    d = d.join(carry.drop(*[f"_h_{c}" for c in cols]), [*keys, CHUNK], "left")
+    d = d.withColumns({c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_cf_{c}"), F.col(f"_bf_{c}"), F.col(f"_cb_{c}"))
+                       for c in cols})
+    d = d.drop(*[f"_{p}_{c}" for p in ("ff", "cf", "bf", "cb") for c in cols])
+    if scope == "global":
+        # A ticker still all-NULL takes the first value of the next ticker (by name) with one,
+        # resolved on a one-row-per-ticker table.
+        firsts = summ.groupBy(*keys).agg(*[F.min_by(F.col(f"_h_{c}"), F.when(F.col(f"_h_{c}").isNotNull(), F.col(CHUNK)))
+                                           .alias(f"_fx_{c}") for c in cols])
+        nxt = Window.orderBy(*keys).rowsBetween(1, Window.unboundedFollowing)
+        spill = firsts.select(*keys, *[F.first(f"_fx_{c}", ignorenulls=True).over(nxt).alias(f"_gx_{c}") for c in cols])
+        d = d.join(spill, keys, "left")
+        d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_gx_{c}")) for c in cols}).drop(*[f"_gx_{c}" for c in cols])
+    return d
 
 
 def drop_incomplete(df: DataFrame, cols: Sequence[str] = tuple(config.PRICE_COLUMNS)) -> DataFrame:
