@@ -70,25 +70,31 @@ def in_session(local: Column, ticker: Column) -> Column:
 def bar_cadence(df: DataFrame) -> DataFrame:
     """Per ticker, bar count, median gap (seconds) between sorted stamps and ``is_daily``.
 
-    Duplicated stamps contribute zero gaps. The gaps of distinct stamps come from the skew-safe
-    series plan; the zero gaps are added as one weighted row, and the exact median is
-    ``percentile(gap, 0.5, weight)`` (partial aggregation, no per-ticker sort).
+    Rows are hash-partitioned once by (Ticker, time block). Copies per stamp, the previous stamp
+    inside a block (lag) and the per-block maximum all reuse that partitioning. The first stamp
+    of a block takes the previous block's maximum from a small one-row-per-block table.
+    Duplicated stamps add zero gaps as one weighted row. The exact median is
+    ``percentile(gap, 0.5, weight)`` with partial aggregation, so there is no per-ticker sort and
+    no whole-ticker task.
     """
-    distinct = (df.filter(F.col("Ticker").isNotNull() & F.col("Timestamp").isNotNull())
-                .groupBy("Ticker", "Timestamp").agg(F.count(F.lit(1)).alias("_copies")))
-
-    def gaps(d, w):
-        prev = F.lag("Timestamp").over(w)
-        return d.withColumn("_gap", F.unix_micros("Timestamp") / 1e6 - F.unix_micros(prev) / 1e6)
-
-    g = series.run_ordered(distinct, gaps, halo=1)
-    weighted = g.select("Ticker", "_gap", F.lit(1).cast("long").alias("_w"), "_copies").filter(
-        F.col("_gap").isNotNull())
-    dup_zero = (distinct.groupBy("Ticker").agg(F.sum(F.col("_copies") - 1).alias("_w"))
-                .filter(F.col("_w") > 0).select("Ticker", F.lit(0.0).alias("_gap"), "_w"))
+    secs = series.block_seconds(df)
+    d = (df.filter(F.col("Ticker").isNotNull() & F.col("Timestamp").isNotNull())
+         .withColumn("_blk", F.floor(F.unix_micros("Timestamp") / F.lit(secs * 1_000_000)))
+         .repartition("Ticker", "_blk"))
+    distinct = d.groupBy("Ticker", "_blk", "Timestamp").agg(F.count(F.lit(1)).alias("_copies"))
+    in_block = Window.partitionBy("Ticker", "_blk").orderBy("Timestamp")
+    g = distinct.withColumn("_prev", F.lag("Timestamp").over(in_block))
+    blocks = distinct.groupBy("Ticker", "_blk").agg(F.max("Timestamp").alias("_bmax"))
+    prev_block = blocks.select("Ticker", "_blk", F.lag("_bmax").over(Window.partitionBy("Ticker").orderBy("_blk")).alias("_pb"))
+    g = g.join(prev_block, ["Ticker", "_blk"], "left")
+    prev = F.coalesce(F.col("_prev"), F.col("_pb"))
+    gap = F.unix_micros("Timestamp") / 1e6 - F.unix_micros(prev) / 1e6
+    weighted = g.select("Ticker", F.explode(F.array(
+        F.struct(gap.alias("_gap"), F.lit(1).cast("long").alias("_w")),
+        F.struct(F.lit(0.0).alias("_gap"), (F.col("_copies") - 1).alias("_w")))).alias("s")).select("Ticker", "s.*")
+    weighted = weighted.filter(F.col("_gap").isNotNull() & (F.col("_w") > 0))
+    med = weighted.groupBy("Ticker").agg(F.percentile("_gap", 0.5, F.col("_w")).alias("median_gap_seconds"))
     counts = distinct.groupBy("Ticker").agg(F.sum("_copies").alias("n_bars"))
-    med = (weighted.select("Ticker", "_gap", "_w").unionByName(dup_zero)
-           .groupBy("Ticker").agg(F.percentile("_gap", 0.5, F.col("_w")).alias("median_gap_seconds")))
     out = counts.join(med, "Ticker", "left")
     return out.withColumn("is_daily", F.coalesce(
         (F.col("n_bars") >= 2) & (F.col("median_gap_seconds") >= config.DAILY_MEDIAN_GAP_SECONDS), F.lit(False)))
