@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import mixing, shuffle_shards, url_rules
+from barspark.llm import mixing, pii, secrets, shuffle_shards, url_rules
 from barspark.llm.common import table
 
 
@@ -14,6 +14,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+                        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.span_text(F.col("spans")).alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = pii.of_kinds(F.col("pii"), pii.BASE_KINDS)
+    return found.select("doc_id", *[pii.count_of(F.col("pii"), k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+                        F.sha2(pii.span_text(base), 256).alias("base_sha256"),
+                        pii.span_text(F.col("pii")).alias("spans"))
+
+
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -26,7 +41,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op8_external_shuffle, op9_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secret_scan, op5_pii, op8_external_shuffle, op9_url_rules)}
 
 OP9_SQL = r"""
 WITH u AS (
