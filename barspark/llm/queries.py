@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import mixing, pii, secrets, shuffle_shards, url_rules
+from barspark.llm import decontaminate, mixing, pii, secrets, shuffle_shards, toxicity, url_rules
 from barspark.llm.common import table
 
 
@@ -29,6 +29,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.span_text(F.col("pii")).alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.is_held_out().alias("held_out"), "score",
+                                              toxicity.is_toxic().cast("int").alias("predicted"))
+
+
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -41,7 +48,15 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_secret_scan, op5_pii, op8_external_shuffle, op9_url_rules)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return (decontaminate.find_leaks(docs, items).select("doc_id", F.explode("leaks").alias("leak"))
+            .select("doc_id", "leak.item_id", "leak.score", "leak.n_words", "leak.start_word", "leak.end_word"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secret_scan, op5_pii, op7_toxicity, op8_external_shuffle, op9_url_rules,
+                                     op10_decontamination)}
 
 OP9_SQL = r"""
 WITH u AS (
