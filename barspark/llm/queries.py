@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import decontaminate, mixing, pii, secrets, shuffle_shards, toxicity, url_rules
+from barspark.llm import ann_graph, decontaminate, mixing, pii, secrets, shuffle_shards, toxicity, url_rules
 from barspark.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.span_text(F.col("spans")).alias("spans"))
 
 
+def op4_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_graph.nearest(vectors, F.col("vec_id") % ann_graph.QUERY_EVERY == 0)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = pii.of_kinds(F.col("pii"), pii.BASE_KINDS)
@@ -55,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "leak.item_id", "leak.score", "leak.n_words", "leak.start_word", "leak.end_word"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_secret_scan, op5_pii, op7_toxicity, op8_external_shuffle, op9_url_rules,
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_secret_scan, op4_graph_neighbours, op5_pii, op7_toxicity, op8_external_shuffle, op9_url_rules,
                                      op10_decontamination)}
 
 OP9_SQL = r"""
