@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import ann_graph, decontaminate, mixing, pii, secrets, shuffle_shards, toxicity, url_rules
+from barspark.llm import ann_graph, decontaminate, html_wrappers, mixing, pii, secrets, shuffle_shards, toxicity, url_rules
 from barspark.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_wrappers.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
@@ -60,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "leak.item_id", "leak.score", "leak.n_words", "leak.start_word", "leak.end_word"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_secret_scan, op4_graph_neighbours, op5_pii, op7_toxicity, op8_external_shuffle, op9_url_rules,
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_wrappers, op3_secret_scan, op4_graph_neighbours, op5_pii, op7_toxicity, op8_external_shuffle, op9_url_rules,
                                      op10_decontamination)}
 
 OP9_SQL = r"""
