@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import ann_graph, decontaminate, html_wrappers, mixing, pii, secrets, shuffle_shards, toxicity, url_rules
+from barspark.llm import ann_graph, decontaminate, html_wrappers, mixing, ngram_join, pii, secrets, shuffle_shards, toxicity, url_rules
 from barspark.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.span_text(F.col("pii")).alias("spans"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -65,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "leak.item_id", "leak.score", "leak.n_words", "leak.start_word", "leak.end_word"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_wrappers, op3_secret_scan, op4_graph_neighbours, op5_pii, op7_toxicity, op8_external_shuffle, op9_url_rules,
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_wrappers, op3_secret_scan, op4_graph_neighbours, op5_pii, op6_ngram_join, op7_toxicity, op8_external_shuffle, op9_url_rules,
                                      op10_decontamination)}
 
 OP9_SQL = r"""
