@@ -204,6 +204,12 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key
     return unpacked(rows.withColumn("leaks", leaks), "leaks")
 
 
+def keep_clean(df: DataFrame, benchmark: DataFrame, text: str = "text", **items: str) -> DataFrame:
+    """The input rows that leak no test item, with the input's columns."""
+    rows = packed(df).select("row", F.col("row").getField(text).alias("text"))
+    return unpacked(find_leaks(rows, benchmark, "text", **items).where(F.size("leaks") == 0))
+
+
 def searched(seeds: Seeds):
     @F.pandas_udf(LEAKS)
     def found(texts: pd.Series) -> pd.Series:
