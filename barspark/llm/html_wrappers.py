@@ -271,14 +271,16 @@ def main_text(page: str | None, main: str, left_out: frozenset[str]) -> str:
     """Blocks of the main element, in page order, joined by one space."""
     for tag in dict.fromkeys((main, "main", "body", "")):
         found = _text_inside(page or "", tag, left_out if tag in ("body", "") else frozenset())
-        if found or tag == main == "body":
+        if found is not None:
             return found
     return ""
 
 
-def _text_inside(page: str, main: str, left_out: frozenset[str]) -> str:
+def _text_inside(page: str, main: str, left_out: frozenset[str]) -> str | None:
+    """Text of the elements ``main`` (empty: the whole page); None if there is no such element."""
     parts: list[str] = []
     paths, inside, out_depth = [""], int(main == ""), 0
+    there = main == ""
     mains: list[bool] = []
     for kind, value, out in events(page):
         if kind == "text":
@@ -294,6 +296,7 @@ def _text_inside(page: str, main: str, left_out: frozenset[str]) -> str:
             is_main = tag == main and not out_depth
             mains.append(is_main)
             inside += is_main
+            there |= is_main
             if tag in BLOCK:
                 parts.append(" ")
         elif kind == "close":
@@ -305,7 +308,7 @@ def _text_inside(page: str, main: str, left_out: frozenset[str]) -> str:
                 parts.append(" ")
         elif inside and not out_depth and value in ("br", "hr"):
             parts.append(" ")
-    return " ".join(entities.unescape("".join(parts)).split())
+    return " ".join(entities.unescape("".join(parts)).split()) if there else None
 
 
 # ---- Spark jobs ----
