@@ -29,6 +29,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/barspark-io/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def normalize_bars(df: DataFrame, ticker: str | None = None) -> DataFrame:
     """Title-case column names, Datetime/Date -> Timestamp, upper-case ticker, 7 columns
     (extra vendor columns such as 'Adj Close' are dropped)."""
