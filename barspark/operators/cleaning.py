@@ -164,12 +164,12 @@ def feature_cols(df: DataFrame) -> list[str]:
 
 def normalize_ticker(df: DataFrame, col: str = "Ticker") -> DataFrame:
     """B22."""
-    return df.withColumn(col, F.upper(F.trim(F.col(col))))
+    return df.withColumn(col, F.upper(F.col(col)))
 
 
 def reject_unknown(requests: DataFrame, known: DataFrame, col: str = "Ticker") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected-with-reason) against the known ticker table (a few rows: broadcast)."""
-    k = F.broadcast(known.select(col).distinct())
+    """(accepted, rejected-with-reason) against the known ticker table (one row per ticker)."""
+    k = known.select(col).distinct()
     accepted = requests.join(k, col, "left_semi")
     rejected = requests.join(k, col, "left_anti").withColumn("reason", F.lit("unknown ticker"))
     return accepted, rejected

@@ -116,8 +116,9 @@ def rmse_mae(df: DataFrame, y: str = "y", yhat: str = "yhat", keys: Sequence[str
 
 
 def rank_models(metrics: DataFrame, metric: str = "RMSE", ascending: bool = True) -> DataFrame:
-    """Order the comparison table (only at the sink)."""
-    return metrics.orderBy(F.col(metric).asc_nulls_last() if ascending else F.col(metric).desc_nulls_last(), "Model")
+    """The comparison table in order, with its places; one row per model."""
+    by = F.col(metric).asc_nulls_last() if ascending else F.col(metric).desc_nulls_last()
+    return metrics.withColumn("rank", F.row_number().over(Window.orderBy(by, "Model"))).orderBy("rank")
 
 
 def top_models(metrics: DataFrame, k: int = 3, metric: str = "RMSE", keys: Sequence[str] = ("Ticker",)) -> DataFrame:

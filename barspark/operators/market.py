@@ -100,6 +100,11 @@ def bar_cadence(df: DataFrame) -> DataFrame:
         (F.col("n_bars") >= 2) & (F.col("median_gap_seconds") >= config.DAILY_MEDIAN_GAP_SECONDS), F.lit(False)))
 
 
+def sort_bars(df: DataFrame) -> DataFrame:
+    """Total order (Ticker, Timestamp) at a sink; a range exchange, not one partition."""
+    return df.orderBy("Ticker", "Timestamp")
+
+
 def dedup_first(df: DataFrame, keys=("Ticker", "Timestamp")) -> DataFrame:
     """First copy in input order (``_seq``) wins. ``row_number() == 1`` plans a
     WindowGroupLimit, so copies are cut map-side before the shuffle (a hot duplicate group

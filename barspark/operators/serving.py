@@ -15,20 +15,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark import config as C
+from barspark.schema import JOBS_SCHEMA, REGISTRY_SCHEMA
 
 
 def asof_bars(requests: DataFrame, bars: DataFrame, n: int | None = None) -> DataFrame:
     """For each request (Ticker, as_of) the bars at or before as_of (NULL = latest), newest n.
 
-    Equi-join on Ticker with the cutoff as a join filter; ``row_number() <= n`` per request plans
-    a WindowGroupLimit so at most n bars per request survive each map task.
+    Equal requests are folded first and each gets the whole answer: ``request`` numbers them (1, 2,
+    ...). Equi-join on Ticker with the cutoff as a join filter; ``row_number() <= n`` per request
+    plans a WindowGroupLimit, so at most n bars per request survive each map task.
     """
-    j = requests.join(bars, "Ticker").filter(F.col("as_of").isNull() | (F.col("Timestamp") <= F.col("as_of")))
-    if n is None:
-        return j
-    # A request is identified by (Ticker, as_of); a NULL as_of forms its own group.
-    w = Window.partitionBy("Ticker", "as_of").orderBy(F.col("Timestamp").desc())
-    return j.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+    keys = requests.columns
+    folded = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
+    # Requests are told apart by all their columns; NULLs (latest) are values like any other here.
+    folded = folded.withColumn("_request", F.xxhash64(*keys))
+    j = folded.join(bars, "Ticker").filter(F.col("as_of").isNull() | (F.col("Timestamp") <= F.col("as_of")))
+    if n is not None:
+        w = Window.partitionBy("Ticker", "_request").orderBy(F.col("Timestamp").desc())
+        j = j.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+    return j.withColumn("request", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_request")
 
 
 def align(actual: DataFrame, pred: DataFrame, on: Sequence[str] = ("Ticker", "Timestamp")) -> DataFrame:
@@ -47,14 +52,15 @@ def align_positional(actual: DataFrame, pred: DataFrame, keys: Sequence[str] = (
 
 def jobs_with_model(jobs: DataFrame, registry: DataFrame) -> DataFrame:
     """Each prediction job with its model entry (nullable FK, missing parent allowed)."""
-    reg = registry.select(F.col("id").alias("model_entry_id"), "model_name", "model_version", "artifact_key")
-    return jobs.join(reg, "model_entry_id", "left")
+    reg = registry.select(F.col("id").alias("model_registry_entry_id"), "artifact_key", "model_type", "features_count",
+                          "model_timestamp", "is_active")
+    return jobs.join(reg, "model_registry_entry_id", "left")
 
 
 def orphans(jobs: DataFrame, registry: DataFrame) -> DataFrame:
-    """Jobs whose non-NULL model_entry_id has no registry row."""
-    return jobs.filter(F.col("model_entry_id").isNotNull()).join(
-        registry.select(F.col("id").alias("model_entry_id")), "model_entry_id", "left_anti")
+    """Jobs whose non-NULL model_registry_entry_id has no registry row."""
+    return jobs.filter(F.col("model_registry_entry_id").isNotNull()).join(
+        registry.select(F.col("id").alias("model_registry_entry_id")), "model_registry_entry_id", "left_anti")
 
 
 def duplicate_keys(registry: DataFrame, key: str = "artifact_key") -> DataFrame:
@@ -62,36 +68,48 @@ def duplicate_keys(registry: DataFrame, key: str = "artifact_key") -> DataFrame:
     return registry.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
+    """Rows in a persisted table's columns and types: missing columns are NULL, then defaults apply."""
+    defaults = defaults or {}
+    cols = []
+    for f in schema.fields:
+        c = F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
+        cols.append((F.coalesce(c, defaults[f.name].cast(f.dataType)) if f.name in defaults else c).alias(f.name))
+    return df.select(*cols)
+
+
 def append_prediction_jobs(df: DataFrame) -> DataFrame:
-    """Conform rows to the prediction-log schema (decimal money columns, status default)."""
-    return df.select(
-        F.col("id").cast("string").alias("id"), F.col("model_entry_id").cast("string").alias("model_entry_id"),
-        F.upper("ticker").alias("ticker"), F.col("requested_at").cast("timestamp").alias("requested_at"),
-        F.col("prediction").cast(T.DecimalType(14, 4)).alias("prediction"),
-        F.col("confidence").cast(T.DecimalType(5, 4)).alias("confidence"),
-        F.col("interval_width").cast(T.DecimalType(12, 8)).alias("interval_width"),
-        F.coalesce(F.col("status"), F.lit("completed")).alias("status"),
-        F.coalesce(F.col("created_at").cast("timestamp"), F.col("requested_at").cast("timestamp")).alias("created_at"),
-        F.col("completed_at").cast("timestamp").alias("completed_at"))
+    """Rows of the prediction log (decimal money columns, upper-case symbol, status default)."""
+    d = df.withColumn("symbol", F.upper("symbol"))
+    return conform(d, JOBS_SCHEMA, {"status": F.lit("completed"), "created_at": F.col("requested_as_of_date")})
 
 
 def registry_upsert(existing: DataFrame, new: DataFrame, key: str = "artifact_key") -> DataFrame:
-    """Union, newest ``created_at`` per artifact key wins; ``is_active`` defaults to true."""
-    u = existing.unionByName(new, allowMissingColumns=True).withColumn(
-        "is_active", F.coalesce(F.col("is_active"), F.lit(True)))
-    w = Window.partitionBy(key).orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
-    return u.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
-
-
-def metadata_row(spark, seq_len: int, features: Sequence[str], stock_ids: DataFrame, metrics: DataFrame,
-                 model_version: str = "v1") -> DataFrame:
-    """One-row model metadata (sequence length, feature list, stock map, metric map)."""
-    sm = stock_ids.agg(F.map_from_entries(F.collect_list(F.struct("Ticker", "stock_id"))).alias("stock_to_id"))
-    mm = metrics.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
-    base = spark.range(1).select(F.lit(model_version).alias("model_version"), F.lit(seq_len).alias("sequence_length"),
-                                 F.array(*[F.lit(f) for f in features]).alias("feature_names"),
-                                 F.lit(len(features)).alias("input_dim"), F.lit(C.HORIZON).alias("output_dim"))
-    return base.crossJoin(sm).crossJoin(mm)
+    """Union, newest ``updated_at`` per artifact key wins and keeps the first ``created_at``;
+    ``is_active`` defaults to true."""
+    u = existing.unionByName(new)
+    w = Window.partitionBy(key).orderBy(F.col("updated_at").desc_nulls_last(), F.col("id").desc())
+    top = u.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k", "created_at")
+    first = u.groupBy(key).agg(F.min("created_at").alias("created_at"))
+    return conform(top.join(first, key), REGISTRY_SCHEMA, {"is_active": F.lit(True)})
+
+
+def metadata_rows(stock_ids: DataFrame, features: DataFrame, metrics: DataFrame, seq_len: int = C.SEQUENCE_LENGTH,
+                  model_version: str = "v1") -> DataFrame:
+    """Model metadata as rows (kind, name, value): settings, feature positions, stock ids and
+    metrics. One row per entry, so a map of all tickers never has to fit one row."""
+    def rows(df: DataFrame, kind: str, name: str, value: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
+
+    settings = features.agg(F.count(F.lit(1)).alias("input_dim")).select(F.explode(F.create_map(
+        F.lit("input_dim"), F.col("input_dim").cast("double"), F.lit("sequence_length"), F.lit(float(seq_len)),
+        F.lit("output_dim"), F.lit(float(C.HORIZON)))).alias("name", "value"))
+    parts = [rows(settings, "setting", "name", "value"), rows(features, "feature", "feature", "position"),
+             rows(stock_ids, "stock", "Ticker", "stock_id"), rows(metrics, "metric", "metric", "value")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("model_version", F.lit(model_version))
 
 
 def score_batch(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.Series]],

@@ -153,3 +153,9 @@ def latest_n(df: DataFrame, n: int, keys: Sequence[str] = ("Ticker",), order: It
     # Filter on row_number over a window plans a WindowGroupLimit (per-partition top-n before the
     # shuffle), so a hot series never ships more than n rows per map task.
     return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= n).drop("_pos")
+
+
+def head_n(df: DataFrame, n: int, keys: Sequence[str] = ("Ticker",), order: Iterable = ("Timestamp",)) -> DataFrame:
+    """First ``n`` rows of every series; cut map-side as in ``latest_n``."""
+    w = Window.partitionBy(*keys).orderBy(*_order_cols(list(order)))
+    return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= n).drop("_pos")

@@ -29,27 +29,38 @@ PREDICTION_SCHEMA = T.StructType([
     T.StructField("model_version", T.StringType(), True),
 ])
 
+# Persisted tables: names and order of columns are fixed values.
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
-    T.StructField("model_name", T.StringType(), False),
-    T.StructField("model_version", T.StringType(), False),
+    T.StructField("symbol", T.StringType(), False),
     T.StructField("artifact_key", T.StringType(), False),
-    T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()), True),
-    T.StructField("feature_names", T.ArrayType(T.StringType()), True),
+    T.StructField("model_type", T.StringType(), False),
+    T.StructField("features_count", T.IntegerType(), False),
+    T.StructField("model_timestamp", T.TimestampType(), True),
+    T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()), False),
+    T.StructField("feature_names", T.ArrayType(T.StringType()), False),
+    T.StructField("model_file", T.StringType(), False),
+    T.StructField("scaler_file", T.StringType(), False),
+    T.StructField("metadata_file", T.StringType(), False),
     T.StructField("is_active", T.BooleanType(), False),
-    T.StructField("created_at", T.TimestampType(), True),
+    T.StructField("created_at", T.TimestampType(), False),
+    T.StructField("updated_at", T.TimestampType(), False),
 ])
 
 JOBS_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
-    T.StructField("model_entry_id", T.StringType(), True),
-    T.StructField("ticker", T.StringType(), False),
-    T.StructField("requested_at", T.TimestampType(), True),
-    T.StructField("prediction", T.DecimalType(14, 4), True),
-    T.StructField("confidence", T.DecimalType(5, 4), True),
-    T.StructField("interval_width", T.DecimalType(12, 8), True),
+    T.StructField("symbol", T.StringType(), False),
+    T.StructField("model_registry_entry_id", T.StringType(), True),
+    T.StructField("requested_as_of_date", T.TimestampType(), True),
     T.StructField("status", T.StringType(), False),
-    T.StructField("created_at", T.TimestampType(), True),
+    T.StructField("predicted_return", T.DecimalType(12, 8), True),
+    T.StructField("predicted_direction", T.StringType(), True),
+    T.StructField("latest_close", T.DecimalType(14, 4), True),
+    T.StructField("predicted_next_close", T.DecimalType(14, 4), True),
+    T.StructField("signal_label", T.StringType(), True),
+    T.StructField("signal_confidence", T.DecimalType(5, 4), True),
+    T.StructField("error_message", T.StringType(), True),
+    T.StructField("created_at", T.TimestampType(), False),
     T.StructField("completed_at", T.TimestampType(), True),
 ])
 

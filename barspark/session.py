@@ -31,13 +31,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only pick a scratch folder when unset (tests)."""
+    """The cluster's shared ``spark.checkpoint.dir``. Only a local master gets a scratch folder when it
+    is unset (tests); elsewhere executors would not see it, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="barspark-ckpt-")
     sc.setCheckpointDir(path)
     return path

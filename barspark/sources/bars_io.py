@@ -100,7 +100,7 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def write_report(df: DataFrame, path: str) -> str:
     """JSON report (nested struct/array/map columns kept)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path)
     return path
 
 
