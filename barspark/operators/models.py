@@ -121,25 +121,47 @@ def fit_linear(train: DataFrame, features: Sequence[str], target: str, reg: floa
     return Pipeline(stages=stages).fit(train)
 
 
-def walk_forward_eval(folded: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Per fold, fit on its train rows and score its test rows; RMSE/MAE per fold.
+def next_close(bars: DataFrame) -> DataFrame:
+    """Bars with ``next_close``, the close of the following bar of the series; the last bar has none and goes."""
+    d = series.run_ordered(bars, lambda d, w: d.withColumn("next_close", F.lead("Close").over(w)), halo=0, ahead=1)
+    return d.filter(F.col("next_close").isNotNull())
 
-    Folds come from ``walk_forward_folds`` (at most k rows of fold metadata); each fold is one
-    Spark ML job over the whole data of that fold.
+
+def walk_forward_eval(folded: DataFrame, features: Sequence[str], target: str, naive: str) -> DataFrame:
+    """Per fold, least squares on two features fitted on its train rows and scored on its test
+    rows, with the errors of the ``naive`` forecast (a column) on the same rows.
+
+    All folds in one job: each fold's sums are one row, solved by Cramer's rule in column
+    expressions and joined back to the test rows (folds are a few rows).
     """
-    folds = sorted(r["fold"] for r in folded.select("fold").distinct().collect())
-    out = None
-    for k in folds:
-        tr = folded.filter((F.col("fold") == k) & (F.col("role") == "train"))
-        te = folded.filter((F.col("fold") == k) & (F.col("role") == "test"))
-        model = fit_linear(tr, features, target)
-        pred = model.transform(te)
-        e = F.col(target) - F.col("prediction")
-        m = pred.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-                     F.count(F.lit(1)).alias("test_size")).withColumns(
-            {"fold": F.lit(k), "train_size": F.lit(tr.count())})
-        out = m if out is None else out.unionByName(m)
-    return out
+    x, z = features
+    n = F.count(F.lit(1))
+    sums = folded.filter("role = 'train'").groupBy("fold").agg(
+        n.alias("train_size"), *[F.avg(c).alias(f"m_{k}") for c, k in ((x, "x"), (z, "z"), (target, "y"))],
+        *[F.covar_pop(a, b).alias(k) for a, b, k in ((x, x, "xx"), (z, z, "zz"), (x, z, "xz"), (x, target, "xy"), (z, target, "zy"))])
+    c = F.col
+    det = c("xx") * c("zz") - c("xz") * c("xz")
+    fit = sums.select("fold", "train_size", safe_div(c("xy") * c("zz") - c("zy") * c("xz"), det).alias("_b"),
+                      safe_div(c("zy") * c("xx") - c("xy") * c("xz"), det).alias("_d"), "m_x", "m_z", "m_y")
+    test = folded.filter("role = 'test'").join(fit, "fold")
+    e = c(target) - (c("m_y") + c("_b") * (c(x) - c("m_x")) + c("_d") * (c(z) - c("m_z")))
+    ne = c(target) - c(naive)
+    return test.groupBy("fold", "train_size").agg(
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(ne * ne)).alias("naive_rmse"),
+        F.avg(F.abs(ne)).alias("naive_mae"), n.alias("test_size"))
+
+
+def fit_horizons(train: DataFrame, feature: str, targets: Sequence[str]) -> DataFrame:
+    """One-row table of least-squares lines, one per horizon: slope_i, intercept_i."""
+    return train.agg(*[f(t, feature).alias(f"{k}_{i}") for i, t in enumerate(targets)
+                       for k, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept))])
+
+
+def predict_horizons(df: DataFrame, lines: DataFrame, feature: str, n: int) -> DataFrame:
+    """Adds ``predictions``: one value per horizon (the lines are one row)."""
+    d = df.crossJoin(F.broadcast(lines))
+    values = F.array(*[F.col(f"intercept_{i}") + F.col(f"slope_{i}") * F.col(feature) for i in range(n)])
+    return d.withColumn("predictions", values).drop(*lines.columns)
 
 
 def score_linear_rows(df: DataFrame, model) -> DataFrame:

@@ -126,40 +126,38 @@ def score_batch(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame],
     return df.mapInPandas(run, schema)
 
 
-def predict_batch(requests: DataFrame, features: DataFrame, models: dict, sigma: DataFrame,
+def predict_batch(requests: DataFrame, features: DataFrame, predict: Callable[[DataFrame], DataFrame], sigma: DataFrame,
                   feature_cols: Sequence[str], seq_len: int = C.SEQUENCE_LENGTH, horizon: int = C.HORIZON,
                   model_version: str = "v1") -> tuple[DataFrame, DataFrame]:
-    """Answer every request of a batch in one job.
+    """Answer every request of a batch in one job; each is answered or rejected with a reason.
 
-    requests (Ticker, as_of) -> feature rows at or before as_of -> the newest ``horizon`` rows are
-    dropped (their targets are unknown as of the request, as in the reference, T7) -> at least
-    ``seq_len`` rows required (B24) -> newest remaining row scored by one fitted model per horizon
-    (K04, executors) -> intervals and confidence from ``sigma`` (one-row rmse/mae table, L18/L19).
+    requests (Ticker, as_of) -> the newest ``seq_len + horizon`` feature rows at or before as_of ->
+    the newest ``horizon`` of them are dropped (their targets are unknown as of the request, as in
+    the reference, T7) -> at least ``seq_len`` rows required (B24) -> ``predict`` adds ``predictions``
+    (one per horizon) to the newest remaining row -> intervals and confidence from ``sigma`` (one-row
+    rmse/mae table, L18/L19). Equal requests are worked out once and answered as often as asked.
     Returns (responses, rejected requests with a reason).
     """
     from barspark.operators.cleaning import reject_unknown
     from barspark.operators.evaluate import interval_and_confidence
 
-    accepted, unknown = reject_unknown(requests, features)
-    # Request key: (Ticker, as_of) with a NULL as_of ("latest") mapped to a far-future stamp so
-    # it joins and groups like any other request.
-    accepted = accepted.withColumn("_ak", F.coalesce(F.col("as_of"), F.lit("9999-12-31 00:00:00").cast("timestamp")))
-    rows = asof_bars(accepted, features.na.drop(subset=list(feature_cols)))
-    w = Window.partitionBy("Ticker", "_ak").orderBy(F.col("Timestamp").desc())
-    rows = rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") > horizon)
-    counts = rows.groupBy("Ticker", "_ak").agg(F.count(F.lit(1)).alias("_n"), F.first("as_of").alias("_as_of"))
-    rows = rows.join(counts.drop("_as_of"), ["Ticker", "_ak"], "left").drop("_ak")
-    short = counts.filter(F.col("_n") < seq_len).select("Ticker", F.col("_as_of").alias("as_of"),
-                                                        F.lit(f"fewer than {seq_len} feature rows").alias("reason"))
-    latest = rows.filter((F.col("_k") == horizon + 1) & (F.col("_n") >= seq_len)).drop("_k", "_n")
-    scored = latest
-    for h in range(1, horizon + 1):
-        scored = models[h].transform(scored).withColumnRenamed("prediction", f"_p{h}").drop("_tid", "_toh", "_x")
-    pred = F.array(*[F.col(f"_p{h}") for h in range(1, horizon + 1)])
-    s = scored.withColumn("_pred", pred).crossJoin(F.broadcast(sigma.select("rmse", "mae")))
-    ic = interval_and_confidence(F.col("_pred"), F.col("rmse"), F.col("mae"))
-    resp = s.select(F.col("Ticker").alias("ticker"), "as_of", F.col("Timestamp").alias("feature_ts"),
-                    F.col("_pred").alias("predictions"), ic["confidence"].alias("confidence"),
-                    ic["intervals"].alias("intervals"), F.lit(model_version).alias("model_version"))
-    rejected = unknown.select("Ticker", "as_of", "reason").unionByName(short)
+    folded = requests.groupBy("Ticker", "as_of").agg(F.count(F.lit(1)).alias("_copies")).withColumn(
+        "_ask", F.coalesce(F.col("as_of"), F.lit("9999-12-31 00:00:00").cast("timestamp")))
+    accepted, unknown = reject_unknown(folded, features)
+    rows = asof_bars(accepted.select("Ticker", "as_of", "_ask"), features.na.drop(subset=list(feature_cols)), seq_len + horizon)
+    w = Window.partitionBy("Ticker", "_ask").orderBy(F.col("Timestamp").desc())
+    rows = rows.withColumn("_k", F.row_number().over(w))  # at most seq_len + horizon rows a request
+    latest = rows.filter(F.col("_k") == horizon + 1).drop("_k", "as_of", "request")
+    enough = rows.groupBy("Ticker", "_ask").agg(F.count(F.lit(1)).alias("_n"))
+    asked = accepted.join(enough, ["Ticker", "_ask"], "left").withColumn(
+        "_ok", F.coalesce(F.col("_n"), F.lit(0)) >= seq_len + horizon)
+    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("request")
+    rejected = (asked.filter(~F.col("_ok")).withColumn("reason", F.lit(f"fewer than {seq_len} feature rows"))
+                .select("Ticker", "as_of", "_copies", "reason")
+                .unionByName(unknown.select("Ticker", "as_of", "_copies", "reason")).select("Ticker", "as_of", "reason", again))
+    scored = predict(asked.filter("_ok").join(latest, ["Ticker", "_ask"])).crossJoin(F.broadcast(sigma.select("rmse", "mae")))
+    ic = interval_and_confidence(F.col("predictions"), F.col("rmse"), F.col("mae"))
+    resp = scored.select(F.col("Ticker").alias("ticker"), "as_of", again, F.col("Timestamp").alias("feature_ts"), "predictions",
+                         ic["confidence"].alias("confidence"), ic["intervals"].alias("intervals"),
+                         F.lit(model_version).alias("model_version"))
     return resp, rejected

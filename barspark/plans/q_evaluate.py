@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from barspark import config as C
 from barspark.functions.columns import output
+from barspark.operators import dataset
 from barspark.operators import evaluate as ev
 from barspark.plans import sql as S
 from barspark.plans.q_features import features
 from barspark.plans.q_profile import daily_clean
 from barspark.plans.registry import query
+from barspark.plans.series import RN
 
 WM = 'PARTITION BY Model, Ticker ORDER BY "Timestamp"'
 SQRT252 = repr(math.sqrt(C.TRADING_DAYS))
@@ -129,14 +131,17 @@ def q_ensemble(spark, sf_dir):
 SELECT p.Model, p.Ticker, {S.r('q.q10')} AS q10, {S.r('q.q50')} AS q50, {S.r('q.q90')} AS q90,
        {S.r('avg(CAST(p.y >= p.yhat + q.q10 AND p.y <= p.yhat + q.q90 AS DOUBLE)) * 100')} AS coverage_pct,
        avg(CAST(p.y >= p.yhat + q.q10 AND p.y <= p.yhat + q.q90 AS DOUBLE)) * 100 BETWEEN {C.CALIBRATED_COVERAGE[0]} AND {C.CALIBRATED_COVERAGE[1]} AS calibrated
-FROM preds p JOIN (SELECT Model, Ticker, quantile_cont(y - yhat, 0.1) AS q10, quantile_cont(y - yhat, 0.5) AS q50,
-                          quantile_cont(y - yhat, 0.9) AS q90 FROM preds GROUP BY 1, 2) q USING (Model, Ticker)
-GROUP BY p.Model, p.Ticker, q.q10, q.q50, q.q90""", PRED_CTES))
+FROM parted p JOIN (SELECT Model, Ticker, quantile_cont(y - yhat, 0.1) AS q10, quantile_cont(y - yhat, 0.5) AS q50,
+                          quantile_cont(y - yhat, 0.9) AS q90 FROM parted WHERE is_train GROUP BY 1, 2) q USING (Model, Ticker)
+WHERE NOT p.is_train GROUP BY p.Model, p.Ticker, q.q10, q.q50, q.q90""", PRED_CTES + [
+    ("parted", f"SELECT *, row_number() OVER ({WM}) - 1 < floor(count(*) OVER (PARTITION BY Model, Ticker) * 0.7) AS is_train FROM preds")]))
 def q_quantiles(spark, sf_dir):
-    """K03 residual quantiles per model, then L17 coverage of [yhat+q10, yhat+q90]."""
-    p = preds(spark, sf_dir)
-    q = ev.residual_quantiles(p)
-    iv = p.join(q, ["Model", "Ticker"]).withColumns({"lo": F.col("yhat") + F.col("q10"), "hi": F.col("yhat") + F.col("q90")})
+    """K03 residual quantiles fitted on the first 70 % of each series, L17 coverage of
+    [yhat+q10, yhat+q90] on the later rows, which the quantiles have not seen."""
+    p = dataset.with_counts(preds(spark, sf_dir), keys=("Model", "Ticker"))
+    train = F.col(RN) < F.floor(F.col("_n") * 0.7)
+    q = ev.residual_quantiles(p.filter(train))
+    iv = p.filter(~train).join(q, ["Model", "Ticker"]).withColumns({"lo": F.col("yhat") + F.col("q10"), "hi": F.col("yhat") + F.col("q90")})
     cov = ev.interval_coverage(iv)
     return output(q.join(cov, ["Model", "Ticker"]).select("Model", "Ticker", "q10", "q50", "q90", "coverage_pct", "calibrated"))
 

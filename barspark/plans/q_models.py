@@ -10,6 +10,7 @@ from barspark.operators import dataset, models
 from barspark.operators import evaluate as ev
 from barspark.plans import sql as S
 from barspark.plans.q_evaluate import PRED_CTES, preds
+from barspark.plans.q_features import package_features_sql
 from barspark.plans.q_profile import EDA_CTES, daily_clean
 from barspark.plans.registry import query
 
@@ -95,14 +96,32 @@ def q_global_linear(spark, sf_dir):
     return output(scored.select("Ticker", "Timestamp", F.col("target_t1").alias("y"), F.col("prediction").alias("yhat")))
 
 
-@query("K06_walk_forward_eval")
+# Next close from the close and the bar's body, both known when the bar ends.
+FOLD_CTES = [("bars", S.BARS_DAILY), ("cleaned", S.clean("bars")),
+    ("nx", f"""SELECT * FROM (SELECT *, lead("Close") OVER ({W}) AS nc, "Close" - "Open" AS oc FROM cleaned) a WHERE nc IS NOT NULL"""),
+    ("fold_rows", f"""SELECT a.*, g.fold, rn < te + g.fold * step AS is_train
+  FROM (SELECT *, CAST(floor(n * 0.7) AS BIGINT) AS te, CAST(floor((CAST(floor(n * 0.85) AS BIGINT) - CAST(floor(n * 0.7) AS BIGINT)) / 5) AS BIGINT) AS step
+        FROM (SELECT *, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY Ticker) AS n FROM nx) x) a
+  JOIN generate_series(0, 4) g(fold) ON a.rn < a.te + (g.fold + 1) * a.step WHERE a.step > 0"""),
+    ("sums", """SELECT fold, count(*) AS train_size, avg("Close") AS mx, avg(oc) AS mz, avg(nc) AS my, var_pop("Close") AS xx, var_pop(oc) AS zz,
+  covar_pop("Close", oc) AS xz, covar_pop("Close", nc) AS xy, covar_pop(oc, nc) AS zy FROM fold_rows WHERE is_train GROUP BY fold"""),
+    ("errors", """SELECT CAST(fold AS INTEGER) AS fold, train_size, nc - "Close" AS ne,
+  nc - (my + (xy * zz - zy * xz) / (xx * zz - xz * xz) * ("Close" - mx) + (zy * xx - xy * xz) / (xx * zz - xz * xz) * (oc - mz)) AS e
+  FROM fold_rows JOIN sums USING (fold) WHERE NOT is_train"""),
+    ("scores", """SELECT fold, train_size, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, sqrt(avg(ne * ne)) AS naive_rmse, avg(abs(ne)) AS naive_mae,
+  count(*) AS test_size FROM errors GROUP BY fold, train_size""")]
+SCORES = ["rmse", "mae", "naive_rmse", "naive_mae"]
+
+
+def _walk_forward(spark, sf_dir):
+    d = models.next_close(daily_clean(spark, sf_dir)).withColumn("oc", F.col("Close") - F.col("Open"))
+    return models.walk_forward_eval(dataset.walk_forward_folds(d), ["Close", "oc"], "next_close", naive="Close")
+
+
+@query("K06_walk_forward_eval", S.with_views(f"SELECT fold, train_size, test_size, {S.rcols(SCORES, 4)} FROM scores", FOLD_CTES))
 def q_walk_forward(spark, sf_dir):
-    """Expanding walk-forward folds on the daily series; a linear model per fold; RMSE/MAE per fold."""
-    d = daily_clean(spark, sf_dir)
-    from barspark.operators import evaluate  # noqa: F401
-    feats = d.withColumns({"hl": F.col("High") - F.col("Low"), "oc": F.col("Close") - F.col("Open")})
-    folded = dataset.walk_forward_folds(feats)
-    return output(models.walk_forward_eval(folded, ["Open", "hl", "oc", "Volume"], "Close"))
+    """Expanding walk-forward folds on the daily series; next close by least squares, against the naive forecast."""
+    return output(_walk_forward(spark, sf_dir).select("fold", "train_size", "test_size", *SCORES), 4)
 
 
 @query("K02_boosted_trees")
@@ -118,31 +137,62 @@ def q_boosted(spark, sf_dir):
     return output(pred.select("Ticker", "Timestamp", F.col("Target_Return").alias("y"), F.col("prediction").alias("yhat")))
 
 
-@query("L20_predict_batch")
+REQUESTS = [("req", """SELECT upper(ticker) AS Ticker, as_of FROM (
+  SELECT lower(t) AS ticker, TIMESTAMP '2024-01-20 10:00:00' AS as_of FROM (SELECT DISTINCT Ticker AS t FROM bars) a
+  UNION ALL SELECT min(Ticker), NULL FROM bars UNION ALL SELECT 'ZZZZ.NS', NULL
+  UNION ALL SELECT DISTINCT Ticker, TIMESTAMP '2024-01-20 10:00:00' FROM bars WHERE Ticker LIKE '%.NS'
+  UNION ALL SELECT DISTINCT Ticker, TIMESTAMP '2024-01-01 00:00:00' FROM bars) r""")]
+HORIZONS = range(1, C.HORIZON + 1)
+L, H = 40, C.HORIZON  # feature rows a request needs
+_lines = ", ".join(f'regr_slope(target_t{h}, "Close") AS s{h}, regr_intercept(target_t{h}, "Close") AS i{h}' for h in HORIZONS)
+_errors = ", ".join(f'target_t{h} - (i{h} + s{h} * "Close")' for h in HORIZONS)
+PREDICT_CTES = [("bars", S.BARS_HOURLY), *REQUESTS,
+    ("ff", package_features_sql("hourly", rounded=False)), ("fa", package_features_sql("hourly", drop_nulls=False, rounded=False)),
+    ("sp", f"""SELECT *, rn < cutoff AS is_train, rn >= greatest({C.SEQUENCE_LENGTH}, cutoff - {C.SEQUENCE_LENGTH}) AS is_val FROM (
+      SELECT *, row_number() OVER ({W}) - 1 AS rn, CAST(floor(count(*) OVER (PARTITION BY Ticker) * {1.0 - C.VALIDATION_SPLIT!r}) AS BIGINT) AS cutoff FROM ff) x"""),
+    ("lines", f"SELECT {_lines} FROM sp WHERE is_train"),
+    ("sigma", f"SELECT sqrt(avg(e * e)) AS s FROM (SELECT unnest([{_errors}]) AS e FROM sp, lines WHERE is_val) x"),
+    ("numbered", "SELECT *, row_number() OVER (PARTITION BY Ticker, as_of ORDER BY 1) AS request FROM req"),
+    ("usable", f"""SELECT * FROM fa WHERE {' AND '.join(f'{S.q(c)} IS NOT NULL' for c in C.PACKAGE_FEATURES)}"""),
+    ("ranked", """SELECT r.Ticker, r.as_of, r.request, u."Timestamp", u."Close", row_number() OVER (PARTITION BY r.Ticker, r.as_of, r.request ORDER BY u."Timestamp" DESC) AS k,
+      count(*) OVER (PARTITION BY r.Ticker, r.as_of, r.request) AS n FROM numbered r JOIN usable u ON u.Ticker = r.Ticker AND (r.as_of IS NULL OR u."Timestamp" <= r.as_of)"""),
+    ("answered", f"""SELECT Ticker, as_of, request, "Timestamp", {', '.join(f'i{h} + s{h} * "Close" AS p{h}' for h in HORIZONS)}, s FROM ranked, lines, sigma WHERE k = {H + 1} AND n >= {L + H}"""),
+]
+_out = ", ".join(f"{S.r(f'p{h}', 4)} AS p{h}, {S.r(f'p{h} - 1.96 * s', 4)} AS lo{h}, {S.r(f'p{h} + 1.96 * s', 4)} AS hi{h}" for h in HORIZONS)
+_ratio = " + ".join(f"s / greatest(abs(p{h}), 1.0)" for h in HORIZONS)
+_none = ", ".join(f"NULL AS {k}{h}" for h in HORIZONS for k in ("p", "lo", "hi"))
+
+
+@query("L20_predict_batch", S.with_views(f"""
+SELECT Ticker AS ticker, as_of, NULL AS reason, "Timestamp" AS feature_ts, {_out}, {S.r(f'exp(-({_ratio}) / {H})', 4)} AS confidence FROM answered
+UNION ALL SELECT r.Ticker, r.as_of, CASE WHEN r.Ticker IN (SELECT Ticker FROM fa) THEN 'fewer than {L} feature rows' ELSE 'unknown ticker' END, NULL, {_none}, NULL
+FROM numbered r LEFT JOIN answered a ON a.Ticker = r.Ticker AND a.as_of IS NOT DISTINCT FROM r.as_of AND a.request = r.request WHERE a.Ticker IS NULL""", PREDICT_CTES))
 def q_predict_batch(spark, sf_dir):
-    """Batch of prediction requests (every ticker as of a cutoff, one latest, one unknown) answered
-    in one job: as-of feature rows, history gate, per-horizon models, intervals and confidence."""
+    """Batch of requests (as of a cutoff, latest, repeated, too early, unknown), each answered with three
+    predictions and intervals or rejected with a reason; one line per horizon, sigma over all horizons."""
     from barspark.operators import cleaning, indicators, serving
     from barspark.sources import fixtures as fx
-    clean = cleaning.clean_market_data(fx.bars_hourly(spark, sf_dir))
-    feats = indicators.feature_frame(clean, drop_nulls=False)
-    train = dataset.split_train_val(feats.na.drop(how="any"))
-    fitted = {h: models.fit_linear(train.filter("is_train"), C.PACKAGE_FEATURES, f"target_t{h}") for h in (1, 2, 3)}
-    val = fitted[1].transform(train.filter("is_val"))
-    e = F.col("target_t1") - F.col("prediction")
-    sigma = val.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+    bars = fx.bars_hourly(spark, sf_dir)
+    feats = indicators.feature_frame(cleaning.clean_market_data(bars), drop_nulls=False)
+    split = dataset.split_train_val(feats.na.drop(how="any"))
+    targets = [f"target_t{h}" for h in HORIZONS]
+    lines = models.fit_horizons(split.filter("is_train"), "Close", targets)
+    predict = lambda df: models.predict_horizons(df, lines, "Close", len(targets))
+    val = predict(split.filter("is_val")).select(F.lit("all").alias("Model"), F.array(*targets).alias("y"), F.col("predictions").alias("yhat"))
+    tickers = bars.select("Ticker").distinct()
+    stamp = lambda s: F.lit(s).cast("timestamp").alias("as_of")
     req = cleaning.normalize_ticker(fx.requests(spark, sf_dir).withColumnRenamed("ticker", "Ticker"))
-    resp, _rejected = serving.predict_batch(req, feats, fitted, sigma, C.PACKAGE_FEATURES, seq_len=C.SEQUENCE_LENGTH)
-    return output(resp.select("ticker", "as_of", "feature_ts", F.col("predictions")[0].alias("p1"),
-                              F.col("predictions")[1].alias("p2"), F.col("predictions")[2].alias("p3"),
-                              "confidence", F.col("intervals")[0][0].alias("lo1"), F.col("intervals")[0][1].alias("hi1"),
-                              "model_version"))
+    req = (req.unionByName(tickers.filter(F.col("Ticker").endswith(".NS")).select("Ticker", stamp("2024-01-20 10:00:00")))
+           .unionByName(tickers.select("Ticker", stamp("2024-01-01 00:00:00"))))
+    resp, rejected = serving.predict_batch(req, feats, predict, ev.rmse_mae(val), C.PACKAGE_FEATURES, seq_len=L)
+    cols = [c for h in HORIZONS for c in (F.col("predictions")[h - 1].alias(f"p{h}"), F.col("intervals")[h - 1][0].alias(f"lo{h}"),
+                                          F.col("intervals")[h - 1][1].alias(f"hi{h}"))]
+    out = resp.select("ticker", "as_of", F.lit(None).cast("string").alias("reason"), "feature_ts", *cols, "confidence")
+    return output(out.unionByName(rejected.select(F.col("Ticker").alias("ticker"), "as_of", "reason"), allowMissingColumns=True), 4)
 
 
-@query("D26_fold_summary")
+@query("D26_fold_summary", S.with_views(
+    "SELECT " + ", ".join(f"{S.r(f'avg({m})', 4)} AS {m}_mean, {S.r(f'stddev_samp({m})', 4)} AS {m}_std" for m in SCORES) + ", count(*) AS n_folds FROM scores", FOLD_CTES))
 def q_fold_summary(spark, sf_dir):
-    """Mean and std of the walk-forward fold metrics."""
-    d = daily_clean(spark, sf_dir)
-    feats = d.withColumns({"hl": F.col("High") - F.col("Low"), "oc": F.col("Close") - F.col("Open")})
-    folds = models.walk_forward_eval(dataset.walk_forward_folds(feats), ["Open", "hl", "oc", "Volume"], "Close")
-    return output(ev.fold_summary(folds))
+    """Mean and std of the walk-forward fold scores, of the model and of the naive forecast."""
+    return output(ev.fold_summary(_walk_forward(spark, sf_dir), SCORES), 4)

@@ -105,8 +105,8 @@ def q_as_of(spark, sf_dir):
 
 
 @query("B22_B23_request_gate", S.with_views("""
-SELECT upper(trim(ticker)) AS Ticker, as_of, upper(trim(ticker)) IN (SELECT Ticker FROM h) AS accepted,
-       CASE WHEN upper(trim(ticker)) IN (SELECT Ticker FROM h) THEN NULL ELSE 'unknown ticker' END AS reason
+SELECT upper(ticker) AS Ticker, as_of, upper(ticker) IN (SELECT Ticker FROM h) AS accepted,
+       CASE WHEN upper(ticker) IN (SELECT Ticker FROM h) THEN NULL ELSE 'unknown ticker' END AS reason
 FROM req""", [("h", S.BARS_HOURLY), ("req", REQ_SQL)]))
 def q_gate(spark, sf_dir):
     req = cleaning.normalize_ticker(fx.requests(spark, sf_dir).withColumnRenamed("ticker", "Ticker"))
@@ -129,15 +129,17 @@ def q_history(spark, sf_dir):
 
 
 @query("C06_asof_request_join", S.with_views("""
-SELECT Ticker, as_of, count(*) AS n_bars, min("Timestamp") AS first_ts, max("Timestamp") AS last_ts FROM (
-  SELECT upper(trim(r.ticker)) AS Ticker, r.as_of, b."Timestamp",
-         row_number() OVER (PARTITION BY upper(trim(r.ticker)), r.as_of ORDER BY b."Timestamp" DESC) AS k
-  FROM req r JOIN cleaned b ON b.Ticker = upper(trim(r.ticker)) AND (r.as_of IS NULL OR b."Timestamp" <= r.as_of)) x
-WHERE k <= 100 GROUP BY 1, 2""", [("h", S.BARS_HOURLY), ("bars", S.BARS_HOURLY), ("cleaned", S.clean("bars")), ("req", REQ_SQL)]))
+SELECT Ticker, as_of, CAST(request AS INTEGER) AS request, count(*) AS n_bars, min("Timestamp") AS first_ts, max("Timestamp") AS last_ts FROM (
+  SELECT upper(r.ticker) AS Ticker, r.as_of, r.request, b."Timestamp",
+         row_number() OVER (PARTITION BY upper(r.ticker), r.as_of, r.request ORDER BY b."Timestamp" DESC) AS k
+  FROM (SELECT *, row_number() OVER (PARTITION BY upper(ticker), as_of ORDER BY 1) AS request FROM (SELECT * FROM req UNION ALL SELECT * FROM req) q) r
+  JOIN cleaned b ON b.Ticker = upper(r.ticker) AND (r.as_of IS NULL OR b."Timestamp" <= r.as_of)) x
+WHERE k <= 100 GROUP BY 1, 2, 3""", [("h", S.BARS_HOURLY), ("bars", S.BARS_HOURLY), ("cleaned", S.clean("bars")), ("req", REQ_SQL)]))
 def q_asof(spark, sf_dir):
-    """Each request's newest 100 clean bars at or before its as_of (NULL = latest)."""
+    """Each request's newest 100 clean bars at or before its as_of (NULL = latest); every request is asked twice."""
     req = cleaning.normalize_ticker(fx.requests(spark, sf_dir).withColumnRenamed("ticker", "Ticker"))
+    req = req.unionByName(req)
     bars = cleaning.clean_market_data(fx.bars_hourly(spark, sf_dir))
     j = serving.asof_bars(req, bars, n=100)
-    return output(j.groupBy("Ticker", "as_of").agg(F.count(F.lit(1)).alias("n_bars"), F.min("Timestamp").alias("first_ts"),
+    return output(j.groupBy("Ticker", "as_of", "request").agg(F.count(F.lit(1)).alias("n_bars"), F.min("Timestamp").alias("first_ts"),
                                                    F.max("Timestamp").alias("last_ts")))
