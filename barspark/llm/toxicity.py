@@ -19,6 +19,7 @@ repeated rows get the same score; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +35,7 @@ HELD_OUT_OF = 5
 PREFIXES = (4, 5, 6, 7)
 LEAST_DOCS, LEAST_Z, MAX_FEATURES = 4, 3.0, 20_000
 ROUNDS, RATE, DECAY, START = 250, 0.1, 1e-4, -5.0
+DOCS_AT_ONCE = 200
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -70,37 +72,42 @@ def fit(texts: list[str | None], labels: np.ndarray, class_sizes: tuple[int, int
     if not len(labels) or labels.min() == labels.max():
         return Model()
     words: dict[str, int] = {}
-    tok_word, tok_sent, sent_doc = [], [], []
+    tok_word, tok_sent, sent_doc = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for _, _, found in sentences(text):
             tok_word.extend(words.setdefault(w, len(words)) for w in found)
             tok_sent.extend([len(sent_doc)] * len(found))
             sent_doc.append(d)
-    tok_word, tok_sent, sent_doc = (np.array(x, dtype=np.int64) for x in (tok_word, tok_sent, sent_doc))
+    tok_word, tok_sent, sent_doc = (np.array(x, dtype=np.int32) for x in (tok_word, tok_sent, sent_doc))
     n_docs, n_sent = len(labels), len(sent_doc)
+    if not words:
+        return Model()
 
     names: dict[str, int] = {}
-    pair_word, pair_feature = [], []
+    pair_word, pair_feature = array("i"), array("i")
     for w, i in words.items():
         for f in word_features(w):
             pair_word.append(i)
             pair_feature.append(names.setdefault(f, len(names)))
-    pair_word, pair_feature = np.array(pair_word, dtype=np.int64), np.array(pair_feature, dtype=np.int64)
-
-    # Screening: documents of each class that hold a feature, compared by a two-proportion z.
-    doc_word = np.unique(sent_doc[tok_sent] * len(words) + tok_word) if n_sent else np.zeros(0, dtype=np.int64)
-    order = np.argsort(pair_word, kind="stable")
-    starts = np.searchsorted(pair_word[order], np.arange(len(words) + 1))
-    counts = np.diff(starts)[doc_word % max(1, len(words))]
-    docs = np.repeat(doc_word // max(1, len(words)), counts)
-    first = np.repeat(starts[doc_word % max(1, len(words))], counts)
-    within = np.arange(len(docs)) - np.repeat(np.cumsum(counts) - counts, counts)
-    feats = pair_feature[order][first + within] if len(docs) else np.zeros(0, dtype=np.int64)
-    held = np.unique(docs * len(names) + feats) if len(docs) else np.zeros(0, dtype=np.int64)
-    is_toxic = labels[held // max(1, len(names))] if len(held) else np.zeros(0)
+    pair_word, pair_feature = np.array(pair_word, dtype=np.int32), np.array(pair_feature, dtype=np.int32)
+
+    # Screening: documents of each class that hold a feature, compared by a two-proportion z. The
+    # pairs come ordered by word; documents are counted a few at a time to bound memory.
+    starts = np.searchsorted(pair_word, np.arange(len(words) + 1))
+    tok_doc = sent_doc[tok_sent]
+    c1, c0 = np.zeros(len(names)), np.zeros(len(names))
+    for lo in range(0, n_docs, DOCS_AT_ONCE):
+        a, b = np.searchsorted(tok_doc, [lo, lo + DOCS_AT_ONCE])
+        seen = np.unique(tok_doc[a:b].astype(np.int64) * len(words) + tok_word[a:b])
+        word = seen % len(words)
+        counts = np.diff(starts)[word]
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        feature = pair_feature[np.repeat(starts[word], counts) + within]
+        held = np.unique(np.repeat(seen // len(words), counts) * len(names) + feature)
+        toxic = labels[held // len(names)] == 1
+        c1 += np.bincount(held[toxic] % len(names), minlength=len(names))
+        c0 += np.bincount(held[~toxic] % len(names), minlength=len(names))
     n1, n0 = labels.sum(), n_docs - labels.sum()
-    c1 = np.bincount(held % max(1, len(names)), weights=is_toxic, minlength=len(names))
-    c0 = np.bincount(held % max(1, len(names)), minlength=len(names)) - c1
     share = (c1 + c0 + 1) / (n_docs + 2)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     z[c1 + c0 < LEAST_DOCS] = 0
@@ -108,11 +115,11 @@ def fit(texts: list[str | None], labels: np.ndarray, class_sizes: tuple[int, int
     chosen = chosen[z[chosen] >= LEAST_Z]
     slot = np.full(len(names), -1)
     slot[chosen] = np.arange(len(chosen))
-    used = slot[pair_feature] >= 0 if len(pair_feature) else np.zeros(0, dtype=bool)
+    used = slot[pair_feature] >= 0
     pair_word, pair_slot = pair_word[used], slot[pair_feature[used]]
     some = np.zeros(len(words), dtype=bool)
     some[pair_word] = True
-    keep = some[tok_word] if len(tok_word) else np.zeros(0, dtype=bool)
+    keep = some[tok_word]
     tok_word, tok_sent = tok_word[keep], tok_sent[keep]
 
     weight = np.where(labels == 1, class_sizes[1] / n1, class_sizes[0] / n0)
@@ -183,5 +190,11 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
     return unpacked(out.select("row", F.col("x.score").alias("score"), F.col("x.sentences").alias("offending")), "score", "offending")
 
 
+def keep_clean(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The input rows that score below ``threshold``, with the input's columns."""
+    rows = packed(df).select("row", F.col("row").getField(text).alias("text"))
+    return unpacked(score(rows, model, "text").where(~is_toxic(threshold=threshold)))
+
+
 def is_toxic(score_column="score", threshold: float = 0.5):
     return F.col(score_column) >= threshold
