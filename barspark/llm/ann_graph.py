@@ -126,7 +126,10 @@ class Graph:
         place = np.arange(len(dst)) - np.repeat(first, counts)
         added = np.full((len(ends), counts.max(initial=1)), -1, dtype=np.int64)
         added[np.repeat(np.arange(len(ends)), counts), place] = src
-        cand = np.concatenate([self.edges[ends].astype(np.int64), added], 1)
+        own = self.edges[ends].astype(np.int64)
+        for k in range(added.shape[1]):  # edges that are there already
+            added[(added[:, k:k + 1] == own).any(1), k] = -1
+        cand = np.concatenate([own, added], 1)
         for lo in range(0, len(ends), BATCH):
             part = slice(lo, lo + BATCH)
             p, c = ends[part], cand[part]
@@ -265,13 +268,13 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
 
 def recall(df: DataFrame, found: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K) -> float:
     """Part of the true k nearest distances that ``found`` reaches; brute force, for evaluation on small tables."""
-    rows = df.select(key, vector).where(F.col(key).isNotNull() & usable(F.col(vector))).distinct().toPandas()
-    ids, x = rows[key].to_numpy(), np.array(rows[vector].tolist(), dtype=np.float64)
+    rows = df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(key, vector, is_query.alias("asked")).distinct().toPandas()
     got = found.toPandas().groupby("query_id")["score"].apply(list).to_dict()
     hit = total = 0
-    for r in df.where(is_query).select(key, vector).where(F.col(key).isNotNull() & usable(F.col(vector))).distinct().collect():
-        d = np.sqrt(((x - np.array(r[1], dtype=np.float64)) ** 2).sum(1))[ids != r[0]]
-        want = np.sort(d)[:k]
-        total += len(want)
-        hit += sum(s <= want[-1] + 1e-9 for s in got.get(r[0], [])) if len(want) else 0
+    for _, same in rows.groupby(rows[vector].map(len)):
+        ids, x = same[key].to_numpy(), np.array(same[vector].tolist(), dtype=np.float64)
+        for i in np.flatnonzero(same["asked"].to_numpy(dtype=bool)):
+            want = np.sort(np.sqrt(((x - x[i]) ** 2).sum(1))[ids != ids[i]])[:k]
+            total += len(want)
+            hit += sum(s <= want[-1] + 1e-9 for s in got.get(ids[i], [])) if len(want) else 0
     return hit / max(1, total)

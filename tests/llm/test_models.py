@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from barspark.llm import ann_graph, decontaminate, queries, toxicity
 from tests.llm.util import documents_dir
@@ -122,12 +123,12 @@ def test_neighbours(spark, tmp_path_factory):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     df.write.parquet(f"{path}/embeddings.parquet")
     old = ann_graph.SHARD_ROWS
-    found = ann_graph.nearest(spark.read.parquet(f"{path}/embeddings.parquet"), df.vec_id % 100 == 0, shard_rows=400)
+    found = ann_graph.nearest(spark.read.parquet(f"{path}/embeddings.parquet"), F.col("vec_id") % 100 == 0, shard_rows=400)
     got = {}
     for r in found.collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
     assert ann_graph.SHARD_ROWS == old and set(got) == set(range(0, 1500, 100)) | set(range(2000, 2700, 100)) | {3600, 3700}
-    assert ann_graph.recall(df, found, df.vec_id % 100 == 0) >= 0.9
+    assert ann_graph.recall(df, found, F.col("vec_id") % 100 == 0) >= 0.9
     for q, hits in got.items():
         hits.sort()
         assert [h[0] for h in hits] == list(range(1, len(hits) + 1)) and hits == sorted(hits, key=lambda h: (h[1], h[2]))
