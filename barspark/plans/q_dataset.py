@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspark import config as C
-from barspark.functions.columns import output
+from barspark.functions.columns import output, round_half_away
 from barspark.operators import dataset
 from barspark.plans import sql as S
 from barspark.plans.q_features import features, package_features_sql
@@ -19,8 +19,12 @@ W = 'Ticker ORDER BY "Timestamp"'
 
 
 def x_checksum(col: str = "X"):
-    """Sum of every float in a window (in order, as double)."""
-    return F.aggregate(F.flatten(col), F.lit(0.0).cast("double"), lambda acc, v: acc + v.cast("double"))
+    """Sum of every float in a window times its place (1, 2, ...): steps or features that change places show."""
+    weighted = F.transform(F.flatten(col), lambda v, i: v.cast("double") * (i + 1))
+    return F.aggregate(weighted, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
+
+
+X_SUM = "list_sum(list_transform(flatten(X), lambda v, i: CAST(v AS DOUBLE) * i))"
 
 
 SPLIT_CTES = [
@@ -71,7 +75,7 @@ def q_scaled(spark, sf_dir):
 def _seq_sql(split: str) -> str:
     return S.with_views(f"""
 SELECT s.Ticker, i.stock_id, split, s."Timestamp", CAST(len(X) AS INTEGER) AS n_steps,
-       {S.r('list_sum(list_transform(flatten(X), lambda v: CAST(v AS DOUBLE)))', 4)} AS x_sum,
+       {S.r(X_SUM, 2)} AS x_sum,
        {S.r('CAST(y[1] AS DOUBLE)', 4)} AS y1, {S.r('CAST(y[2] AS DOUBLE)', 4)} AS y2, {S.r('CAST(y[3] AS DOUBLE)', 4)} AS y3
 FROM seqs s JOIN ids i USING (Ticker) WHERE split = '{split}'""", SEQ_CTES)
 
@@ -80,7 +84,7 @@ def _seq_spark(spark, sf_dir, split):
     win, _, _ = dataset.sequence_dataset(features(spark, sf_dir))
     win = win.filter(F.col("split") == split)
     return output(win.select("Ticker", "stock_id", "split", "Timestamp", F.size("X").alias("n_steps"),
-                             x_checksum().alias("x_sum"), F.col("y")[0].cast("double").alias("y1"),
+                             round_half_away(x_checksum(), 2).alias("x_sum"), F.col("y")[0].cast("double").alias("y1"),
                              F.col("y")[1].cast("double").alias("y2"), F.col("y")[2].cast("double").alias("y3")), 4)
 
 
@@ -96,7 +100,7 @@ def q_seq_val(spark, sf_dir):
 
 
 @query("J06_latest_sequence", S.with_views(f"""
-SELECT Ticker, as_of, n_rows, {S.r('list_sum(list_transform(flatten(X), lambda v: CAST(v AS DOUBLE)))', 4)} AS x_sum FROM (
+SELECT Ticker, as_of, n_rows, {S.r(X_SUM, 2)} AS x_sum FROM (
   SELECT Ticker, max("Timestamp") AS as_of, count(*) AS n_rows, list(xr ORDER BY "Timestamp") AS X
   FROM (SELECT *, row_number() OVER (PARTITION BY Ticker ORDER BY "Timestamp" DESC) AS k FROM rows) t WHERE k <= {L}
   GROUP BY Ticker) z""", SEQ_CTES))
@@ -104,7 +108,7 @@ def q_latest_seq(spark, sf_dir):
     f = features(spark, sf_dir)
     scaler = dataset.fit_scaler(dataset.split_train_val(f).filter("is_train"))
     ls = dataset.latest_sequence(f, scaler)
-    return output(ls.select("Ticker", "as_of", "n_rows", x_checksum().alias("x_sum")), 4)
+    return output(ls.select("Ticker", "as_of", "n_rows", round_half_away(x_checksum(), 2).alias("x_sum")), 4)
 
 
 @query("J07_split_3way", S.with_views(f"""
@@ -120,7 +124,7 @@ def q_split3(spark, sf_dir):
 
 @query("J08_horizon_sequences", S.with_views(f"""
 SELECT Ticker, "Timestamp", CAST(len(X) AS INTEGER) AS n_steps,
-       {S.r('list_sum(list_transform(flatten(X), lambda v: CAST(v AS DOUBLE)))', 2)} AS x_sum, {S.r('CAST(y AS DOUBLE)', 2)} AS y FROM (
+       {S.r(X_SUM, 2)} AS x_sum, {S.r('CAST(y AS DOUBLE)', 2)} AS y FROM (
   SELECT Ticker, "Timestamp", rn, list([CAST("Close" AS FLOAT), CAST("Volume" AS FLOAT)]) OVER (PARTITION BY {W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS X,
          CAST(lead("Close", 1) OVER (PARTITION BY {W}) AS FLOAT) AS y
   FROM (SELECT *, row_number() OVER (PARTITION BY {W}) - 1 AS rn FROM cleaned) a) b
@@ -128,7 +132,7 @@ WHERE rn >= 9 AND y IS NOT NULL""", [("bars", S.BARS_DAILY), ("cleaned", S.clean
 def q_horizon(spark, sf_dir):
     """J08 with L=10, h=1, X = (Close, Volume), y = next Close (explicit target)."""
     d = dataset.horizon_sequences(daily_clean(spark, sf_dir), 10, 1, ["Close", "Volume"], "Close")
-    return output(d.select("Ticker", "Timestamp", F.size("X").alias("n_steps"), x_checksum().alias("x_sum"),
+    return output(d.select("Ticker", "Timestamp", F.size("X").alias("n_steps"), round_half_away(x_checksum(), 2).alias("x_sum"),
                            F.col("y").cast("double").alias("y")), 2)
 
 

@@ -33,10 +33,20 @@ def q_normalize(spark, sf_dir):
 @query("A02_bars_from_json_payload", S.with_views(f"SELECT {BAR_OUT} FROM bars", [("bars", S.BARS_HOURLY)]))
 def q_json(spark, sf_dir):
     """One JSON document per ticker -> bars (payload parse, point explode, rename, upper ticker, UTC)."""
-    bars, _empty = io.bars_from_json(fx.bars_payload(spark, sf_dir))
+    bars, _ = io.bars_from_json(fx.bars_payload(spark, sf_dir))
     return _bars(bars)
 
 
+@query("A02_empty_payloads", S.with_views(
+    "SELECT DISTINCT Ticker, 'no bar data returned' AS error FROM bars WHERE Ticker LIKE '%.NS'", [("bars", S.BARS_HOURLY)]))
+def q_json_empty(spark, sf_dir):
+    """Payloads without points (empty list, missing list, no document at all) are reported, not dropped."""
+    p = fx.bars_payload(spark, sf_dir)
+    blank = F.when(F.col("ticker").startswith("c"), F.lit('{"points": []}')).otherwise(F.lit("{}"))
+    _, empty = io.bars_from_json(p.withColumn("payload", F.when(F.col("ticker").endswith(".ns"), blank).otherwise(F.col("payload"))))
+    return output(empty)
+
+
 @query("A03_A05_csv_round_trip", S.with_views(f"SELECT {BAR_OUT} FROM bars", [("bars", S.BARS_DAILY)]))
 def q_csv(spark, sf_dir):
     """CSV sink (header, ISO stamps) and the CSV scan that finds the date column and parses it."""

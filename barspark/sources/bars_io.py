@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark import config as C
-from barspark.schema import BAR_SCHEMA
+from barspark.functions.columns import nan_to_null
+from barspark.schema import BAR_SCHEMA, SEQ, validate_bars
 from barspark.session import ensure_checkpoint_dir
 
 POINT_SCHEMA = T.StructType([T.StructField("points", T.ArrayType(T.StructType([
@@ -35,9 +36,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def normalize_bars(df: DataFrame, ticker: str | None = None) -> DataFrame:
-    """Title-case column names, Datetime/Date -> Timestamp, upper-case ticker, 7 columns
-    (extra vendor columns such as 'Adj Close' are dropped)."""
-    renamed = df.toDF(*[c.title() for c in df.columns])
+    """Title-case column names, Datetime/Date -> Timestamp, upper-case ticker, NaN -> NULL, the 7
+    bar columns (extra vendor columns such as 'Adj Close' are dropped) and ``_seq``, the input order
+    that decides which of several copies of a bar is the first. Column names of several levels
+    (``Close|AAPL``, as wide vendor frames have) keep their first level."""
+    df = df.toDF(*[c.split("|")[0].strip() for c in df.columns])
+    seq = F.col(SEQ) if SEQ in df.columns else F.monotonically_increasing_id()
+    df = df.withColumn(SEQ, seq.cast("long"))
+    renamed = df.toDF(*[c if c == SEQ else c.title() for c in df.columns])
     cols = renamed.columns
     if "Datetime" in cols:
         renamed = renamed.withColumnRenamed("Datetime", "Timestamp")
@@ -47,7 +53,8 @@ def normalize_bars(df: DataFrame, ticker: str | None = None) -> DataFrame:
         renamed = renamed.withColumn("Ticker", F.lit(ticker.upper()))
     else:
         renamed = renamed.withColumn("Ticker", F.upper("Ticker"))
-    return renamed.select(*C.BAR_COLUMNS)
+    floats = [c for c, t in renamed.dtypes if c in C.PRICE_COLUMNS and t in ("double", "float")]
+    return validate_bars(renamed.withColumns({c: nan_to_null(c) for c in floats}).select(*C.BAR_COLUMNS, SEQ))
 
 
 def bars_from_json(df: DataFrame, payload_col: str = "payload", ticker_col: str = "ticker") -> tuple[DataFrame, DataFrame]:
@@ -55,11 +62,11 @@ def bars_from_json(df: DataFrame, payload_col: str = "payload", ticker_col: str
     parsed = df.select(F.upper(ticker_col).alias("Ticker"), F.from_json(payload_col, POINT_SCHEMA).alias("p"))
     empty = parsed.filter(F.coalesce(F.size("p.points"), F.lit(0)) <= 0).select(
         "Ticker", F.lit("no bar data returned").alias("error"))
-    bars = parsed.select("Ticker", F.explode("p.points").alias("pt")).select(
+    bars = parsed.select("Ticker", F.posexplode("p.points").alias(SEQ, "pt")).select(
         F.to_timestamp("pt.timestamp").alias("Timestamp"), "Ticker",
         F.col("pt.open").alias("Open"), F.col("pt.high").alias("High"), F.col("pt.low").alias("Low"),
-        F.col("pt.close").alias("Close"), F.col("pt.volume").alias("Volume"))
-    return bars, empty
+        F.col("pt.close").alias("Close"), F.col("pt.volume").alias("Volume"), F.col(SEQ).cast("long").alias(SEQ))
+    return validate_bars(bars), empty
 
 
 def read_bars_csv(spark: SparkSession, path: str, ticker: str | None = None) -> DataFrame:
@@ -77,7 +84,10 @@ def read_bars_csv(spark: SparkSession, path: str, ticker: str | None = None) ->
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("Ticker",)) -> str:
-    """Partitioned parquet (or CSV with header) sink; overwrite."""
+    """Partitioned parquet (or CSV with header) sink; overwrite. Rows are rebalanced by the
+    partition columns first: a small ticker is one file, a large one is split by size."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
