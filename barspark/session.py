@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,10 +65,31 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return configure(spark)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This session's folder for intermediate tables and sinks; deleted when Python ends first."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/barspark-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:  # the session still runs
+        p = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df):
-    """Cut lineage at a pipeline table boundary (clean bars, feature frame): an eager reliable
-    checkpoint into ``spark.checkpoint.dir`` (shared storage on a cluster), so downstream jobs that
-    use the table several times (split, scaler, windows) read it instead of recomputing it, and a
-    lost executor costs a re-read, not a rerun of the whole pipeline."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage at a pipeline table boundary (clean bars, feature frame): write the table to the
+    shared scratch folder and read it back. Later jobs that use it several times (split, scaler,
+    windows) scan only the columns they need, with file statistics, and a lost executor costs a
+    re-read, not a rerun of the whole pipeline."""
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from barspark import config as C
 from barspark.functions.columns import nan_to_null
 from barspark.schema import BAR_SCHEMA, SEQ, validate_bars
-from barspark.session import ensure_checkpoint_dir
+from barspark.session import scratch_folder
 
 POINT_SCHEMA = T.StructType([T.StructField("points", T.ArrayType(T.StructType([
     T.StructField("timestamp", T.StringType()), T.StructField("open", T.DoubleType()),
@@ -26,8 +26,7 @@ POINT_SCHEMA = T.StructType([T.StructField("points", T.ArrayType(T.StructType([
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/barspark-io/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
