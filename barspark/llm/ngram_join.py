@@ -99,7 +99,7 @@ def marks(df: DataFrame, text: str, words: int, percent: int) -> DataFrame:
                 out.append((tk, c, len(s), first))
             yield pd.DataFrame(out, columns=["tk", "c", "n", "first"])
 
-    return cut(rows.mapInPandas(run, "tk long, c long, n long, first array<long>"), "marks")
+    return cut(rows.mapInPandas(run, "tk long, c long, n int, first array<long>"), "marks")
 
 
 def with_partners(first: DataFrame, percent: int) -> DataFrame:
@@ -111,35 +111,29 @@ def with_partners(first: DataFrame, percent: int) -> DataFrame:
             .where(F.col("common") >= common_needed(overlap_needed(F.col("n"), percent))).select("c", "n"))
 
 
-def shared_sets(df: DataFrame, text: str, words: int, percent: int, mark: DataFrame, picked: DataFrame) -> DataFrame:
-    """Classes that pass the bound on their whole set: (c, n, shared, key0, key1, …).
+def shared_sets(df: DataFrame, text: str, words: int, percent: int, wanted: DataFrame) -> DataFrame:
+    """Classes that pass the bound on their whole set: (c, n, shared, key0, key1, ...).
 
-    ``shared``: the shingles other picked classes have too, rarest first, packed; ``key``: minhashes.
+    ``wanted``: text keys, one per class. ``shared``: the shingles other wanted classes have too,
+    rarest first; ``key``: minhashes.
     """
-    # One text per class, by its key; equal texts of a class are dropped before the shuffle.
-    wanted = mark.where("first is not null").join(picked.select("c"), "c", "left_semi").groupBy("c").agg(F.min("tk").alias("tk"))
-    texts = df.select(F.xxhash64(text).alias("tk"), F.col(text).alias("t")).join(wanted.select("tk").distinct(), "tk", "left_semi")
+    # Texts are told apart by the key the join dealt them out by.
+    texts = (df.select(F.xxhash64(text).alias("tk"), F.col(text).alias("t")).join(wanted, "tk", "left_semi")
+             .dropDuplicates(["tk"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
-        done: set[int] = set()
         for pdf in batches:
-            out = []
-            for t in pdf["t"]:
-                s = shingles(t, words, known)
-                c = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
-                if c not in done:
-                    done.add(c)
-                    out.append((c, len(s), s))
-            yield pd.DataFrame(out, columns=["c", "n", "tokens"])
+            sets = [shingles(t, words, known) for t in pdf["t"]]
+            yield pd.DataFrame({"c": [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets],
+                                "n": [len(s) for s in sets], "tokens": sets})
 
-    sets = texts.mapInPandas(run, "c long, n long, tokens array<long>")
-    tokens = sets.select("c", "n", F.explode("tokens").alias("token")).distinct()
+    tokens = texts.select("t").mapInPandas(run, "c long, n int, tokens array<long>").select("c", "n", F.explode("tokens").alias("token"))
     held = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     per_class = held.groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
     fit = per_class.where(F.size("x") >= overlap_needed(F.col("n"), percent))
     keys = [F.array_min(F.transform("x", lambda t, k=k: _minhash(t, k))).alias(f"key{k}") for k in range(ROUNDS)]
-    return cut(fit.select("c", "n", F.col("x.token").alias("shared"), *keys), "shared")
+    return cut(fit.select("c", F.col("n").cast("long").alias("n"), F.col("x.token").alias("shared"), *keys), "shared")
 
 
 def _minhash(t: Column, k: int) -> Column:
@@ -244,32 +238,44 @@ def links_across(rows: DataFrame, percent: int) -> DataFrame:
            .groupBy("g", "g2").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("least", "least2")).alias("least")))
     pairs = cut(met.where(F.col("common") >= common_needed(F.col("least"))).select("g", "g2"), "pairs")
     drop(matrix)
-    # Groups known to be of one component as a whole need no comparison; the rest are opened.
-    whole = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    ends = whole.select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one"))
-    open_pairs = (pairs.join(ends, "g").join(ends.select(F.col("g").alias("g2"), F.col("one").alias("one2")), "g2")
-                  .where("one is null or one2 is null or one <> one2"))
-    pair = F.xxhash64("g", "g2")
-    sides = open_pairs.select(pair.alias("pair"), F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("g")), F.struct(F.lit(1).alias("side"), F.col("g2").alias("g")))).alias("s")).select("pair", "s.side", "s.g")
-    put = F.pmod(F.xxhash64("pair"), F.lit(max(1, pairs.count() // 32 + 1)))
+    # Groups known to be of one component as a whole need no comparison. Of the others the larger
+    # group of a pair is the host: its members are sent once and meet the members of all its guests.
+    whole = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    ends = whole.select("g", "size", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("one"))
+    other_end = ends.select(F.col("g").alias("g2"), F.col("size").alias("size2"), F.col("one").alias("one2"))
+    larger = F.col("size") >= F.col("size2")
+    meets = (pairs.join(ends, "g").join(other_end, "g2").where("one is null or one2 is null or one <> one2")
+             .select(F.when(larger, F.col("g")).otherwise(F.col("g2")).alias("host"),
+                     F.when(larger, F.col("g2")).otherwise(F.col("g")).alias("guest"), F.least("size", "size2").alias("members")))
+    rooms = F.ceil(F.col("come") / TOGETHER).cast("int")
+    come = meets.groupBy("host").agg(F.sum("members").alias("come"))
+    room = F.xxhash64("host", F.pmod(F.xxhash64("guest"), rooms))
+    meets = cut(meets.join(come, "host").select("host", "guest", room.alias("room")), "meets")
+    drop(pairs)
+    sides = (meets.select("room", F.col("host").alias("g")).distinct().withColumn("side", F.lit(0))
+             .unionByName(meets.select("room", F.col("guest").alias("g"), F.lit(1).alias("side"))))
+    put = F.pmod(F.xxhash64("room"), F.lit(max(1, meets.count() // 32 + 1)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        for _, both in pdf.groupby("pair"):
+        for _, both in pdf.groupby("room"):
             a, b = (both[both["side"] == k].sort_values("c") for k in (0, 1))
             if len(a) and len(b):
                 out += spanning(links_between(a, b, percent))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return sides.join(rows, "g").select("pair", "side", "comp", "c", "n", "shared", put.alias("put")).groupBy("put").applyInPandas(run, LINKS)
+    return sides.join(rows, "g").select("room", "side", "comp", "c", "n", "shared", put.alias("put")).groupBy("put").applyInPandas(run, LINKS)
 
 
 def class_components(df: DataFrame, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(marks of all rows, (node, root) of linked classes)."""
+    """((tk, c, n) of all texts with words, (node, root) of linked classes)."""
     mark = marks(df, text, words, percent)
-    picked = cut(with_partners(mark.where("first is not null").select("c", "n", "first"), percent), "picked")
-    sets = shared_sets(df, text, words, percent, mark, picked)
+    seen = mark.where("first is not null")
+    picked = with_partners(seen.select("c", "n", "first"), percent)
+    wanted = cut(seen.select("c", "tk").join(picked.select("c"), "c", "left_semi").groupBy("c").agg(F.min("tk").alias("tk")).select("tk").distinct(), "wanted")
+    classes = cut(mark.where("n > 0").select("tk", "c", "n").distinct(), "classes")
+    drop(mark)  # the first shingles are not needed any more
+    sets = shared_sets(df, text, words, percent, wanted)
     found = [cut(links_in_groups(grouped(sets, f"key{k}", k), percent), "links") for k in range(ROUNDS)]
     links = found[0]
     for more in found[1:]:
@@ -284,35 +290,33 @@ def class_components(df: DataFrame, text: str, words: int, percent: int) -> tupl
         alone.withColumn("comp", F.col("c")).select(columns)), "placed")
     across = cut(links_across(placed, percent), "links")
     roots = cut(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across)), "roots")
-    drop(picked, sets, known, placed, across, *found)
-    return mark, roots
+    drop(wanted, sets, known, placed, across, *found)
+    return classes, roots
 
 
-def join(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Input rows with n_shingles and component_id (smallest key reachable by links)."""
-    mark, roots = class_components(df, text, words, percent)
-    classes = mark.where("n > 0").select("tk", "c", "n").distinct()
-    by_text = cut(classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("tk", "n", F.coalesce("root", "c").alias("root")), "classes")
-    drop(mark, roots)
+def _joined(df: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
+    """Packed input rows with id, n_shingles, component_id and root (the component; null without words)."""
+    classes, roots = class_components(df, text, words, percent)
+    by_text = cut(classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("tk", "n", F.coalesce("root", "c").alias("root")), "roots_by_text")
+    drop(classes, roots)
     row = F.col("row")
     rows = packed(df).withColumns({"tk": F.xxhash64(row.getField(text)), "id": row.getField(key)})
-    thin = rows.select("tk", "id")
-    least = thin.join(by_text, "tk").groupBy("root").agg(F.min("id").alias("component_id"))
-    named = cut(by_text.join(least, "root").select("tk", "n", "component_id"), "named")
-    out = rows.join(named, "tk", "left").withColumns({
+    least = rows.select("tk", "id").join(by_text, "tk").groupBy("root").agg(F.min("id").alias("component_id"))
+    named = cut(by_text.join(least, "root").select("tk", "n", "root", "component_id"), "named")
+    return rows.join(named, "tk", "left").withColumns({
         "n_shingles": F.coalesce("n", F.lit(0)).cast("long"),
         "component_id": F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("component_id"))})
-    return unpacked(out, "n_shingles", "component_id")
 
 
-def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Rows of the documents to keep: one of each component, the one with the smallest key.
+def join(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Input rows with n_shingles and component_id (smallest key reachable by links)."""
+    return unpacked(_joined(df, text, key, words, percent), "n_shingles", "component_id")
 
-    Rows without words are all kept; rows that repeat a kept key with a linked text go as well,
-    but for one of them.
-    """
-    names = df.columns
-    held = join(packed(df).select("row", F.col("row").getField(key).alias(key), F.col("row").getField(text).alias(text)), text, key, words, percent)
-    first = F.row_number().over(Window.partitionBy("component_id").orderBy(F.col(key).asc_nulls_last(), F.xxhash64(text)))
-    linked = held.where("n_shingles > 0").withColumn("place", first).where("place = 1").drop("place")
-    return held.where("n_shingles = 0").unionByName(linked).select(*[F.col("row").getField(n).alias(n) for n in names])
+
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The input rows to keep: of each component the row with the smallest key (ties: smallest text
+    hash; a null key comes last), and every row without words."""
+    rows = _joined(df, text, key, words, percent)
+    first = F.row_number().over(Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "tk"))
+    linked = rows.where("root is not null").withColumn("place", first).where("place = 1").select("row")
+    return unpacked(rows.where("root is null").select("row").unionByName(linked))

@@ -68,13 +68,14 @@ def test_components_match_brute_force(spark, tmp_path_factory, monkeypatch):
 
 
 def test_keep_one(spark, tmp_path_factory):
-    rows = corpus(12)[:120]
+    rows = corpus(12)
+    rows = rows[:120] + [Row(doc_id=None, text=f"no id number {i} but words of its own {i}", component_id="", c="") for i in range(3)]
     df = spark.read.parquet(documents_dir(spark, tmp_path_factory, rows) + "/documents.parquet")
     kept = ngram_join.keep_one(df, words=5, percent=80)
     assert kept.columns == df.columns
-    want = {c for _, n, c in brute(rows, 5, 80) if n}
+    want = {c for _, n, c in brute(rows, 5, 80) if n and c != "None"}
     empty = [r for r in rows if not shingle_set(r.text)]
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(want | {str(r.doc_id) for r in empty})
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*want, *(str(r.doc_id) for r in empty), *["None"] * 3])
 
 
 def test_components_of_long_chains(spark):
