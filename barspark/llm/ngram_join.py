@@ -117,8 +117,9 @@ def shared_sets(df: DataFrame, text: str, words: int, percent: int, wanted: Data
     ``wanted``: text keys, one per class. ``shared``: the shingles other wanted classes have too,
     rarest first; ``key``: minhashes.
     """
-    # Texts are told apart by the key the join dealt them out by.
-    texts = (df.select(F.xxhash64(text).alias("tk"), F.col(text).alias("t")).join(wanted, "tk", "left_semi")
+    # ``wanted`` grows with the table, so it is never broadcast: the plan is the same at every size,
+    # and texts are told apart by the key the join dealt them out by.
+    texts = (df.select(F.xxhash64(text).alias("tk"), F.col(text).alias("t")).join(wanted.hint("merge"), "tk", "left_semi")
              .dropDuplicates(["tk"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
