@@ -95,4 +95,23 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 FROM keyed LEFT JOIN best USING (k)
 """
 
-ORACLE_SQL = {"op9_url_rules": OP9_SQL}
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3])) END AS sh
+  FROM w),
+t AS (SELECT r, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM t a JOIN t b ON a.g = b.g AND a.r < b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r, r AS z FROM s UNION SELECT reach.r, e.y FROM reach JOIN e ON reach.z = e.x)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN reach USING (r) JOIN s o ON o.r = reach.z GROUP BY s.r, s.doc_id, s.sh
+"""
+
+ORACLE_SQL = {"op6_ngram_join": OP6_SQL, "op9_url_rules": OP9_SQL}
