@@ -211,11 +211,18 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """(rep, vector) queries -> (query, point, score): each query's k + 1 nearest points of every shard."""
-    n = queries.count()
-    block = F.pmod(F.xxhash64("rep"), F.lit(max(1, math.ceil(n / BLOCK_QUERIES))))
+    n_blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    block = F.pmod(F.xxhash64("rep"), F.lit(n_blocks))
     blocks = (queries.select(F.size("vector").alias("dim"), block.alias("block"), F.struct("rep", "vector").alias("q"))
               .groupBy("dim", "block").agg(F.collect_list("q").alias("qs")))  # BLOCK_QUERIES a block
-    tasks = index.join(blocks, "dim")
+    # Every block meets every shard of its length; both sides name all three keys, so the pairs are
+    # dealt over all tasks and none gathers a whole side.
+    shards = F.lit(0)
+    for dim, last in index.groupBy("dim").agg(F.max("shard")).collect():  # one row per length
+        shards = F.when(F.col("dim") == dim, last).otherwise(shards)
+    each = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))
+    tasks = index.withColumn("block", each(F.lit(n_blocks - 1))).join(
+        blocks.withColumn("shard", each(shards)), ["dim", "shard", "block"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
