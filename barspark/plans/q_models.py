@@ -10,7 +10,7 @@ from barspark.operators import dataset, models
 from barspark.operators import evaluate as ev
 from barspark.plans import sql as S
 from barspark.plans.q_evaluate import PRED_CTES, preds
-from barspark.plans.q_features import package_features_sql
+from barspark.plans.q_features import features, package_features_sql
 from barspark.plans.q_profile import EDA_CTES, daily_clean
 from barspark.plans.registry import query
 
@@ -196,3 +196,24 @@ def q_predict_batch(spark, sf_dir):
 def q_fold_summary(spark, sf_dir):
     """Mean and std of the walk-forward fold scores, of the model and of the naive forecast."""
     return output(ev.fold_summary(_walk_forward(spark, sf_dir), SCORES), 4)
+
+
+@query("K01_K04_horizon_lines", S.with_views(f"""
+SELECT Ticker, "Timestamp", {', '.join(f'{S.r(f"target_t{h}", 4)} AS y{h}, {S.r(f"i{h} + s{h} * {S.q("Close")}", 4)} AS p{h}' for h in HORIZONS)}
+FROM sp, lines WHERE is_val""", PREDICT_CTES))
+def q_horizon_lines(spark, sf_dir):
+    """All three horizons fitted on the train rows of all tickers; val rows scored in tasks, the
+    model built once per partition from its six numbers."""
+    from barspark.operators import serving
+
+    f = dataset.split_train_val(features(spark, sf_dir))
+    targets = [f"target_t{h}" for h in HORIZONS]
+    row = models.fit_horizons(f.filter("is_train"), "Close", targets).first()
+    lines = [(row[f"intercept_{i}"], row[f"slope_{i}"]) for i in range(len(targets))]
+
+    def make_model():
+        return lambda pdf: pdf["Close"].map(lambda x: [a + b * x for a, b in lines])
+
+    scored = serving.score_batch(f.filter("is_val").select("Ticker", "Timestamp", "Close", *targets), make_model)
+    cols = [c for i, t in enumerate(targets) for c in (F.col(t).alias(f"y{i + 1}"), F.col("predictions")[i].alias(f"p{i + 1}"))]
+    return output(scored.select("Ticker", "Timestamp", *cols), 4)
