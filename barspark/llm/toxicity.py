@@ -1,14 +1,17 @@
 """Toxicity by multiple-instance learning: labels are on documents, scores on sentences.
 
 A sentence's score is logistic in the words it holds; a document is toxic unless every sentence is
-clean (noisy-or: 1 - prod(1 - s)). Sentence weights are trained from document labels by the
-gradient of the noisy-or likelihood, so the model learns which sentences made a document toxic and
-can point at them. A word's features are the word and its prefixes, screened by how differently
-toxic and clean training documents hold them.
-
-The classifier is fitted on a bounded sample of labelled rows (``MAX_PER_CLASS`` rows of each
-class, by hash order of the key, of at most ``MAX_CHARS`` characters each), weighted back to the
-class sizes. Everything else reads whole texts of all rows. Labels, language, source and key are
+clean (noisy-or: 1 - prod(1 - s)). The bias is a leak: it is charged once per document, and a sentence
+adds only what its words raise its score above the bias. Of these excesses, what as many sentences of
+clean training documents hold on average (``noise``) is taken off, down to the excess of the worst
+sentence; so length alone makes no document toxic, and hides no toxic sentence.
+Sentence weights are trained from document labels by the gradient of the noisy-or likelihood, so the
+model learns which sentences made a document toxic and can point at them. A word's features are the
+word and its prefixes, screened by how differently toxic and clean training documents hold them.
+
+The classifier is fitted on a bounded sample of labelled documents of any length (``MAX_PER_CLASS``
+of each class, by hash order of the key, as far as they fit ``MAX_CLASS_CHARS`` characters), weighted
+back to the class sizes. Everything else reads whole texts of all rows. Labels, language, source and key are
 no inputs of a score.
 
 Defined cases: null or empty text, or text without words, has no sentence and scores 0; several
@@ -27,10 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import packed, unpacked
+from barspark.llm.common import cut, drop, packed, unpacked
 
 # Production parameters of op7.
-MAX_PER_CLASS, MAX_CHARS = 4000, 20_000
+MAX_PER_CLASS = 4000
+MAX_CLASS_CHARS = MAX_PER_CLASS * 20_000  # of all sampled texts of a class together
 HELD_OUT_OF = 5
 PREFIXES = (4, 5, 6, 7)
 LEAST_DOCS, LEAST_Z, MAX_FEATURES = 4, 3.0, 20_000
@@ -60,6 +64,7 @@ def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float | None = None  # None: nothing was learned
+    noise: float = 0.0  # mean excess hazard of a sentence of a clean document
 
     def word_weight(self, word: str) -> float:
         get = self.weights.get
@@ -124,24 +129,31 @@ def fit(texts: list[str | None], labels: np.ndarray, class_sizes: tuple[int, int
 
     weight = np.where(labels == 1, class_sizes[1] / n1, class_sizes[0] / n0)
     weight = weight / weight.mean()
+    worded = np.bincount(sent_doc, minlength=n_docs) > 0
     theta, bias = np.zeros(len(chosen)), START
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, ROUNDS + 1):
         word_weight = np.bincount(pair_word, weights=theta[pair_slot], minlength=len(words))
-        logit = np.clip(bias + np.bincount(tok_sent, weights=word_weight[tok_word], minlength=n_sent), -30, 30)
-        s = 1 / (1 + np.exp(-logit))
-        clean = np.bincount(sent_doc, weights=-np.logaddexp(0, logit), minlength=n_docs)  # log prod(1 - s)
-        p = np.clip(-np.expm1(clean), 1e-9, 1)
-        # d loss / d logit of a sentence: s for clean documents, -s (1 - p) / p for toxic ones
-        pull = weight * np.where(labels == 1, -(1 - p) / p, 1.0)
-        g_logit = pull[sent_doc] * s / n_docs
+        x = np.bincount(tok_sent, weights=word_weight[tok_word], minlength=n_sent)
+        logit = np.clip(bias + x, -30, 30)
+        s, leak = 1 / (1 + np.exp(-logit)), 1 / (1 + np.exp(-bias))
+        above = np.maximum(np.logaddexp(0, logit) - np.logaddexp(0, bias), 0)
+        hazard = np.bincount(sent_doc, weights=above, minlength=n_docs) + worded * np.logaddexp(0, bias)  # -log P(clean)
+        p = np.clip(-np.expm1(-hazard), 1e-9, 1)
+        # d loss / d hazard: 1 for clean documents, -(1 - p) / p for toxic ones
+        pull = weight * np.where(labels == 1, -(1 - p) / p, 1.0) / n_docs
+        g_logit = np.where(x >= 0, pull[sent_doc] * s, 0.0)
+        g_bias = (pull * worded).sum() * leak + (pull[sent_doc] * (s - leak))[x > 0].sum()
         g_word = np.bincount(tok_word, weights=g_logit[tok_sent], minlength=len(words))
-        g = np.append(np.bincount(pair_slot, weights=g_word[pair_word], minlength=len(chosen)) + DECAY * theta, g_logit.sum())
+        g = np.append(np.bincount(pair_slot, weights=g_word[pair_word], minlength=len(chosen)) + DECAY * theta, g_bias)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         theta, bias = theta - move[:-1], bias - move[-1]
+    word_weight = np.bincount(pair_word, weights=theta[pair_slot], minlength=len(words))
+    logit = bias + np.bincount(tok_sent, weights=word_weight[tok_word], minlength=n_sent)
+    above = np.maximum(np.logaddexp(0, logit) - np.logaddexp(0, bias), 0)[labels[sent_doc] == 0]
     listed = list(names)
-    return Model({listed[f]: float(t) for f, t in zip(chosen, theta)}, float(bias))
+    return Model({listed[f]: float(t) for f, t in zip(chosen, theta)}, float(bias), float(above.mean()) if len(above) else 0.0)
 
 
 def is_held_out(key: str = "doc_id"):
@@ -155,9 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     picked = [known.where(F.col("label") == c).orderBy(F.xxhash64(key), key).limit(MAX_PER_CLASS) for c in (0, 1)]
     sample = picked[0].unionByName(picked[1])
-    rows = (docs.select(key, text).join(F.broadcast(sample), key)  # at most 2 * MAX_PER_CLASS rows
-            .where(F.length(text) <= MAX_CHARS).groupBy(key, "label").agg(F.min(text).alias("text"))
-            .toPandas().sort_values(key))
+    found = cut(docs.select(key, text).join(F.broadcast(sample), key)  # at most 2 * MAX_PER_CLASS documents
+                .groupBy(key, "label").agg(F.min(text).alias("text")).where(F.col("text").isNotNull()), "sample")
+    lengths = found.select(key, "label", F.length("text").alias("n")).orderBy(F.xxhash64(key), key).collect()
+    room, too_much = {0: MAX_CLASS_CHARS, 1: MAX_CLASS_CHARS}, []
+    for k, c, n in lengths:
+        if n <= room[c]:
+            room[c] -= n
+        else:
+            too_much.append(k)
+    rows = found.where(~F.col(key).isin(too_much)) if too_much else found
+    rows = rows.toPandas().sort_values(key)
+    drop(found)
     return fit(rows["text"].tolist(), rows["label"].to_numpy(), (sizes.get(0, 0), sizes.get(1, 0)))
 
 
@@ -166,21 +187,25 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
     @F.pandas_udf(OFFENCES)
     def scored(texts: pd.Series) -> pd.DataFrame:
         weight: dict[str, float] = {}
+        leak = 0.0 if model.bias is None else float(np.logaddexp(0.0, model.bias))
         out_score, out_sentences = [], []
         for text in texts:
-            log_clean, bad = 0.0, []
-            for start, end, words in sentences(text) if model.bias is not None else ():
+            found = sentences(text) if model.bias is not None else []
+            excess, worst, bad = 0.0, 0.0, []
+            for start, end, words in found:
                 logit = model.bias
                 for w in words:
                     x = weight.get(w)
                     if x is None:
                         x = weight[w] = model.word_weight(w)
                     logit += x
-                log_clean -= np.logaddexp(0.0, logit)
+                above = max(0.0, float(np.logaddexp(0.0, logit)) - leak)
+                excess, worst = excess + above, max(worst, above)
                 s = 1 / (1 + np.exp(-max(-700.0, logit)))
                 if s >= threshold:
                     bad.append({"start": start, "end": end, "score": float(s)})
-            out_score.append(float(-np.expm1(log_clean)))
+            hazard = leak + max(worst, excess - len(found) * model.noise) if found else 0.0  # -log P(clean)
+            out_score.append(float(-np.expm1(-hazard)))
             out_sentences.append(bad)
             if len(weight) > 1_000_000:  # a cache only: bounded memory
                 weight.clear()

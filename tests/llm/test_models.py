@@ -74,6 +74,35 @@ def test_toxicity_points_at_sentences(spark, corpus):
     assert total > 50 and found >= 0.95 * total
 
 
+def test_length_alone_is_not_toxic(spark, corpus):
+    path = corpus[0]
+    df = spark.read.parquet(f"{path}/documents.parquet")
+    model = toxicity.train(df, spark.read.parquet(f"{path}/labels.parquet"))
+    clean = df.where("doc_id = 903")  # 5,000 clean sentences
+    assert toxicity.score(clean, model).first().score < 0.5 and toxicity.keep_clean(df, model).where("doc_id = 903").count() == 1
+    bad = clean.withColumn("text", F.concat("text", F.lit(f". {sentence(True)}. {sentence(True)}.")))  # length hides nothing
+    assert toxicity.score(bad, model).first().score >= 0.5
+
+
+def test_long_documents_are_learned_from(spark):
+    rng = random.Random(9)
+    filler = lambda n: ". ".join(" ".join(rng.choice(VOCAB) for _ in range(8)) for _ in range(n))
+    rows = [(i, f"{filler(450)}. {'zzqidiot go' if i % 3 == 0 else 'please go'}.", int(i % 3 == 0)) for i in range(60)]
+    assert min(len(r[1]) for r in rows) > 20_000
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.drop("text"))
+    assert model.bias is not None and model.word_weight("zzqidiot") > 1
+
+
+def test_sample_is_bounded_by_total_size(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "MAX_CLASS_CHARS", 100)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, sizes: seen.extend(zip(texts, labels)))
+    df = spark.createDataFrame([(i, "w" * (500 if i == 7 else 30), i % 2) for i in range(40)], "doc_id long, text string, toxic int")
+    toxicity.train(df.drop("toxic"), df.drop("text"))
+    assert sorted((len(t), c) for t, c in seen) == [(30, 0)] * 3 + [(30, 1)] * 3
+
+
 def test_toxicity_without_labels(spark, corpus):
     df = spark.read.parquet(f"{corpus[0]}/documents.parquet")
     model = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
