@@ -34,6 +34,7 @@ from barspark.llm.url_rules import host_and_path
 
 FAN_IN = 32            # partial wrappers merged by one task
 WIDEST = 48            # siblings a wrapper node lists before they become one repeated group
+FOLDED_TAGS = 8        # of them for labels over that, folded by their tag names
 FAIR_SHARE = 0.3       # of the running text, for an article or main element to be the main text
 LEAST_PAGES = 10       # pages a template text must be seen on
 LINKED = 0.8           # part of a node's text in links that makes it a link list
@@ -129,6 +130,8 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
     yield from closed(0)
 
 
+MAINS = ("article", "main")  # elements of main text, the first choice first
+
 # ---- wrappers: nodes [label, quantifier, pages, text mass, link mass, template text, children] ----
 
 LABEL, QUANT, PAGES, MASS, LINKS, TEXT, KIDS = range(7)
@@ -194,15 +197,36 @@ def folded(kids: list) -> list:
         for n in out:
             by_label[n[LABEL]] = merge(by_label[n[LABEL]], n, True) if n[LABEL] in by_label else n
         out = [[n[LABEL], "*", *n[PAGES:]] for n in by_label.values()]
-        rare = sorted(out, key=lambda n: -n[MASS])[WIDEST:]
-        if rare:  # more labels than that: the slightest become one nameless optional
-            out = [n for n in out if n not in rare] + [["#any", "*", 1, sum(n[MASS] for n in rare), sum(n[LINKS] for n in rare), SLOT, []]]
+        if len(out) > WIDEST:  # more labels than that: the slightest are folded by tag name
+            out = _by_tag(out)
     return out
 
 
+def _by_tag(nodes: list) -> list:
+    """The heaviest labels; the others as one node ``tag.*`` per tag name, with their masses and children."""
+    heavy = sorted(nodes, key=lambda n: (n[LABEL].endswith(".*") or n[LABEL] == "#any", -total(n, MASS)))
+    kept, by_tag = heavy[:WIDEST - FOLDED_TAGS], {}
+    for n in heavy[WIDEST - FOLDED_TAGS:]:
+        label = n[LABEL] if n[LABEL] == "#any" else n[LABEL].split(".", 1)[0] + ".*"
+        n = [label, "*", *n[PAGES:]]
+        by_tag[label] = merge(by_tag[label], n, True) if label in by_tag else n
+    slight = [by_tag.pop("#any")] if "#any" in by_tag else []
+    tags = sorted(by_tag.values(), key=lambda n: -total(n, MASS))
+    slight += tags[FOLDED_TAGS:]  # more tag names than that: one nameless optional
+    nameless = [["#any", "*", 1, sum(total(n, MASS) for n in slight), sum(total(n, LINKS) for n in slight), SLOT, []]] if slight else []
+    listed = {n[LABEL] for n in kept}
+    return [n for n in nodes if n[LABEL] in listed] + tags[:FOLDED_TAGS] + nameless
+
+
 def page_tree(page: str | None) -> list:
     """The wrapper of one page: what is left out holds no text and no children."""
+    return tree_and_masses(page)[0]
+
+
+def tree_and_masses(page: str | None) -> tuple[list, list[int]]:
+    """``page_tree``, and the mass of all text, of the text in article and of that in main elements."""
     root = ["", "1", 1, 0, 0, None, []]
+    masses, within = [0, 0, 0], [1, 0, 0]  # within: open elements of each kind
     path, out_depth, links = [root], 0, 0
     for kind, value, out in events(page or ""):
         if kind == "open":
@@ -213,9 +237,13 @@ def page_tree(page: str | None) -> list:
                 path[-1][KIDS].append(node)
                 out_depth = int(out)
             path.append(node)
+            for k, tag in enumerate(MAINS, 1):
+                within[k] += value.split(".", 1)[0] == tag
             links += value == "a" or value.startswith("a.")
         elif kind == "close":
             node = path.pop()
+            for k, tag in enumerate(MAINS, 1):
+                within[k] -= value == tag
             links -= node[LABEL] == "a" or node[LABEL].startswith("a.")
             if out_depth:
                 out_depth -= 1
@@ -224,11 +252,13 @@ def page_tree(page: str | None) -> list:
         elif kind == "text" and not out_depth and not value.isspace():
             node = path[-1]
             node[MASS] += len(value)
+            for k in range(3):
+                masses[k] += len(value) if within[k] else 0
             node[LINKS] += len(value) if links else 0
             text = value.strip()[:64]
             node[TEXT] = text if node[TEXT] is None else SLOT
     root[KIDS] = folded(root[KIDS])
-    return root
+    return root, masses
 
 
 def total(n: list, k: int) -> int:
@@ -242,15 +272,10 @@ def expression(n: list) -> str:
     return body if n[QUANT] == "1" else f"({body}){n[QUANT]}"
 
 
-def rule_of(wrapper: list) -> tuple[str, list[str]]:
-    """(main element, paths left out) of a host."""
-    whole = total(wrapper, MASS)
-
-    def share(tag: str, n: list) -> int:
-        return total(n, MASS) if n[LABEL].split(".")[0] == tag else sum(share(tag, c) for c in n[KIDS])
-
-    for tag in ("article", "main"):
-        if whole and share(tag, wrapper) >= FAIR_SHARE * whole:
+def rule_of(wrapper: list, masses: tuple[int, int, int]) -> tuple[str, list[str]]:
+    """(main element, paths left out) of a host; ``masses``: sums of its pages' ``tree_and_masses``."""
+    for tag, mass in zip(MAINS, masses[1:]):
+        if masses[0] and mass >= FAIR_SHARE * masses[0]:
             return tag, []
     left_out: list[str] = []
 
@@ -313,28 +338,32 @@ def _text_inside(page: str, main: str, left_out: frozenset[str]) -> str | None:
 
 # ---- Spark jobs ----
 
-WRAPPERS = "host string, part long, pages long, wrapper string"
+COLUMNS = ["host", "part", "pages", "wrapper", "mass", "article_mass", "main_mass"]
+WRAPPERS = "host string, part long, pages long, wrapper string, mass long, article_mass long, main_mass long"
 
 
 def infer_wrappers(df: DataFrame, url: str = "url", html: str = "html", fan_in: int = FAN_IN) -> DataFrame:
-    """(host, pages, wrapper): one wrapper per host, as a written table."""
+    """(host, pages, wrapper, mass, article_mass, main_mass): one wrapper per host, as a written table. The
+    masses are sums over all pages of a host, so they are exact whatever the wrapper folds."""
     rows = df.select(host_and_path(F.col(url))[0].alias("host"), F.col(html).alias("html"))
     rows = rows.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("part", F.spark_partition_id().cast("long"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, list] = {}
+        found: dict[str, tuple[list, list[int]]] = {}
         part = 0
         for pdf in batches:
             for host, page, part in zip(pdf["host"], pdf["html"], pdf["part"]):
-                tree = page_tree(page)
-                found[host] = merge(found[host], tree) if host in found else tree
+                tree, masses = tree_and_masses(page)
+                if host in found:
+                    tree, masses = merge(found[host][0], tree), [x + y for x, y in zip(found[host][1], masses)]
+                found[host] = tree, masses
             if len(found) > 2000:
                 yield partial(found, part)
                 found = {}
         yield partial(found, part)
 
-    def partial(found: dict[str, list], part: int) -> pd.DataFrame:
-        return pd.DataFrame([(h, part, w[PAGES], json.dumps(w)) for h, w in found.items()], columns=["host", "part", "pages", "wrapper"])
+    def partial(found: dict[str, tuple[list, list[int]]], part: int) -> pd.DataFrame:
+        return pd.DataFrame([(h, part, w[PAGES], json.dumps(w), *m) for h, (w, m) in found.items()], columns=COLUMNS)
 
     def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "wrapper"])
@@ -342,7 +371,8 @@ def infer_wrappers(df: DataFrame, url: str = "url", html: str = "html", fan_in:
         for text in pdf["wrapper"]:
             w = json.loads(text)
             whole = merge(whole, w) if whole else w
-        return pd.DataFrame([(key[0], key[1], int(pdf["pages"].sum()), json.dumps(whole))], columns=["host", "part", "pages", "wrapper"])
+        masses = (int(pdf[c].sum()) for c in COLUMNS[4:])
+        return pd.DataFrame([(key[0], key[1], int(pdf["pages"].sum()), json.dumps(whole), *masses)], columns=COLUMNS)
 
     parts = cut(rows.mapInPandas(fold, WRAPPERS), "wrappers")
     while (parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
@@ -351,7 +381,7 @@ def infer_wrappers(df: DataFrame, url: str = "url", html: str = "html", fan_in:
         # Enough groups that each holds about fan_in partial wrappers; a host of few parts has one group.
         grouped = parts.join(per_host, "host").withColumn("n", F.col("parts")).withColumn(
             "part", F.pmod(F.xxhash64("host", "part", "wrapper"), F.greatest(F.lit(1), F.when(F.col("n") <= fan_in, 1).otherwise(deal + 1))))
-        merged = cut(grouped.select("host", "part", "pages", "wrapper").groupBy("host", "part").applyInPandas(combine, WRAPPERS), "wrappers")
+        merged = cut(grouped.select(*COLUMNS).groupBy("host", "part").applyInPandas(combine, WRAPPERS), "wrappers")
         drop(parts)
         parts = merged
     return parts.drop("part")
@@ -360,10 +390,10 @@ def infer_wrappers(df: DataFrame, url: str = "url", html: str = "html", fan_in:
 def rules(wrappers: DataFrame) -> DataFrame:
     """(host, main, left_out) of each wrapper."""
     @F.pandas_udf("struct<main:string,left_out:array<string>>")
-    def rule(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([rule_of(json.loads(t)) for t in texts], columns=["main", "left_out"])
+    def rule(texts: pd.Series, whole: pd.Series, article: pd.Series, main: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([rule_of(json.loads(t), m) for t, *m in zip(texts, whole, article, main)], columns=["main", "left_out"])
 
-    return wrappers.withColumn("rule", rule("wrapper")).select(F.col("host").alias("rule_host"), "rule.main", "rule.left_out")
+    return wrappers.withColumn("rule", rule("wrapper", *COLUMNS[4:])).select(F.col("host").alias("rule_host"), "rule.main", "rule.left_out")
 
 
 def extract(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

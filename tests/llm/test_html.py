@@ -51,6 +51,33 @@ def test_wrapper_size_is_bounded():
     assert len(w[h.KIDS]) <= h.WIDEST + 1
 
 
+def extracted(spark, tmp_path_factory, pages):
+    """page_id -> text of (page_id, url, html) rows."""
+    path = str(tmp_path_factory.mktemp("pages"))
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4).write.parquet(f"{path}/pages.parquet")
+    return {r.page_id: r.text for r in queries.op2_html_wrappers(spark, path).collect()}
+
+
+def word(i):
+    return "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+
+
+def test_hundreds_of_article_labels(spark, tmp_path_factory):
+    pages = [(i, f"http://wide.example/{i}", f"<body><div><p>{'Constant words. ' * 10}</p></div><article class='tag-{word(i)} x{word(i * 7)}'>"
+              f"<p>Story {i} {'goes on ' * 20}</p></article><span>byline {i}</span></body>") for i in range(400)]
+    got = extracted(spark, tmp_path_factory, pages)
+    assert all(got[i] == f"Story {i} {'goes on ' * 20}".strip() for i in got) and len(got) == 400
+
+
+def test_folded_labels_keep_their_mass():
+    kids = "".join(f"<div class='{word(i)}'><p>{'w' * 10}</p></div>" for i in range(300)) + "<b>x</b>"
+    w = h.page_tree(kids)
+    assert h.total(w, h.MASS) == 3001 and len(w[h.KIDS]) <= h.WIDEST + 1
+    for k in range(5):
+        w = h.merge(w, h.page_tree(kids.replace("class='", f"class='{word(k)} ")))
+    assert h.total(w, h.MASS) == 6 * 3001 and len(w[h.KIDS]) <= h.WIDEST + 1
+
+
 def test_empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("pages"))
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
