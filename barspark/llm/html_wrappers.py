@@ -20,6 +20,7 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -36,7 +37,7 @@ FAN_IN = 32            # partial wrappers merged by one task
 WIDEST = 48            # siblings a wrapper node lists before they become one repeated group
 FOLDED_TAGS = 8        # of them for labels over that, folded by their tag names
 FAIR_SHARE = 0.3       # of the running text, for an article or main element to be the main text
-LEAST_PAGES = 10       # pages a template text must be seen on
+LEAST_PAGES = 10       # different pages a template text must be seen on
 LINKED = 0.8           # part of a node's text in links that makes it a link list
 
 # Element classes of HTML, and words that name what is not main text.
@@ -132,9 +133,10 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
 
 MAINS = ("article", "main")  # elements of main text, the first choice first
 
-# ---- wrappers: nodes [label, quantifier, pages, text mass, link mass, template text, children] ----
+# ---- wrappers: nodes [label, quantifier, pages, text mass, link mass, template text, children, seen] ----
+# seen: hashes of the texts of LEAST_PAGES different pages, or all if fewer, that hold the template text.
 
-LABEL, QUANT, PAGES, MASS, LINKS, TEXT, KIDS = range(7)
+LABEL, QUANT, PAGES, MASS, LINKS, TEXT, KIDS, SEEN = range(8)
 SLOT = 0  # value of TEXT where texts differ; None: no text so far
 
 
@@ -147,8 +149,14 @@ def quant(a: str, b: str, repeated: bool = False) -> str:
 def merge(a: list, b: list, same_page: bool = False) -> list:
     """Align node b with node a of the same label. ``same_page``: adjacent siblings of one page."""
     text = a[TEXT] if b[TEXT] is None else b[TEXT] if a[TEXT] is None else a[TEXT] if a[TEXT] == b[TEXT] and not same_page else SLOT
+    if not isinstance(text, str):
+        seen = []
+    elif a[TEXT] is None or b[TEXT] is None:
+        seen = b[SEEN] if a[TEXT] is None else a[SEEN]
+    else:
+        seen = sorted({*a[SEEN], *b[SEEN]})[:LEAST_PAGES]
     return [a[LABEL], quant(a[QUANT], b[QUANT], same_page), max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES],
-            a[MASS] + b[MASS], a[LINKS] + b[LINKS], text, align(a[KIDS], b[KIDS], same_page)]
+            a[MASS] + b[MASS], a[LINKS] + b[LINKS], text, align(a[KIDS], b[KIDS], same_page), seen]
 
 
 def optional(n: list) -> list:
@@ -213,11 +221,18 @@ def _by_tag(nodes: list) -> list:
     slight = [by_tag.pop("#any")] if "#any" in by_tag else []
     tags = sorted(by_tag.values(), key=lambda n: -total(n, MASS))
     slight += tags[FOLDED_TAGS:]  # more tag names than that: one nameless optional
-    nameless = [["#any", "*", 1, sum(total(n, MASS) for n in slight), sum(total(n, LINKS) for n in slight), SLOT, []]] if slight else []
+    nameless = [["#any", "*", 1, sum(total(n, MASS) for n in slight), sum(total(n, LINKS) for n in slight), SLOT, [], []]] if slight else []
     listed = {n[LABEL] for n in kept}
     return [n for n in nodes if n[LABEL] in listed] + tags[:FOLDED_TAGS] + nameless
 
 
+def whole_text(text: str, content) -> str:
+    """A text to compare with others: itself, or its start and a hash of all of it. Adds it to ``content``."""
+    raw = text.encode("utf-8", "surrogatepass")
+    content.update(raw + b"\0")
+    return text if len(text) <= 64 else f"{text[:64]}...{hashlib.blake2b(raw, digest_size=16).hexdigest()}"
+
+
 def page_tree(page: str | None) -> list:
     """The wrapper of one page: what is left out holds no text and no children."""
     return tree_and_masses(page)[0]
@@ -225,12 +240,14 @@ def page_tree(page: str | None) -> list:
 
 def tree_and_masses(page: str | None) -> tuple[list, list[int]]:
     """``page_tree``, and the mass of all text, of the text in article and of that in main elements."""
-    root = ["", "1", 1, 0, 0, None, []]
+    seen: list[int] = []  # shared by the nodes of this page; filled when all its text is known
+    content = hashlib.blake2b(digest_size=6)
+    root = ["", "1", 1, 0, 0, None, [], seen]
     masses, within = [0, 0, 0], [1, 0, 0]  # within: open elements of each kind
     path, out_depth, links = [root], 0, 0
     for kind, value, out in events(page or ""):
         if kind == "open":
-            node = [value, "1", 1, 0, 0, None, []]
+            node = [value, "1", 1, 0, 0, None, [], seen]
             if out_depth:
                 out_depth += 1
             else:
@@ -255,9 +272,10 @@ def tree_and_masses(page: str | None) -> tuple[list, list[int]]:
             for k in range(3):
                 masses[k] += len(value) if within[k] else 0
             node[LINKS] += len(value) if links else 0
-            text = value.strip()[:64]
+            text = whole_text(value.strip(), content)
             node[TEXT] = text if node[TEXT] is None else SLOT
     root[KIDS] = folded(root[KIDS])
+    seen.append(int.from_bytes(content.digest(), "big"))
     return root, masses
 
 
@@ -281,7 +299,7 @@ def rule_of(wrapper: list, masses: tuple[int, int, int]) -> tuple[str, list[str]
 
     def visit(n: list, path: str) -> None:
         mass, links = total(n, MASS), total(n, LINKS)
-        template = n[PAGES] >= LEAST_PAGES and isinstance(n[TEXT], str) and not n[KIDS]
+        template = isinstance(n[TEXT], str) and len(n[SEEN]) >= LEAST_PAGES and not n[KIDS]
         if path.count("/") > 1 and mass and (template or (links > LINKED * mass and n[LABEL].split(".")[0] in ("ul", "ol", "div", "table", "p"))):
             left_out.append(path)
             return

@@ -78,6 +78,17 @@ def test_folded_labels_keep_their_mass():
     assert h.total(w, h.MASS) == 6 * 3001 and len(w[h.KIDS]) <= h.WIDEST + 1
 
 
+def test_template_text_is_whole_and_on_different_pages(spark, tmp_path_factory):
+    lead = "The same opening words of every page of this host, well over sixty-four characters, then story "
+    pages = [(i, f"http://lead.example/{i}", f"<body><div class='c'><div class='top'>{'Constant words ' * 6}</div><div class='x'>{lead}{word(i)}</div></div></body>")
+             for i in range(30)]
+    copy = "<body><div class='c'><h1>Head</h1><div class='lead'>Lead words</div><div class='x'>Body words</div></div></body>"
+    pages += [(100 + i, f"http://copy.example/{i}", copy + f"<!-- {i} -->" * (i % 2)) for i in range(40)]
+    got = extracted(spark, tmp_path_factory, pages)
+    assert all(got[i] == f"{lead}{word(i)}" for i in range(30))  # the constant text is still cut
+    assert {got[100 + i] for i in range(40)} == {"Head Lead words Body words"}
+
+
 def test_empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("pages"))
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
