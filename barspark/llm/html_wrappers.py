@@ -10,7 +10,8 @@ host are merged in rounds of at most ``FAN_IN``, so no task holds more than that
 A wrapper says where the main text is: the ``article`` (else ``main``) element if it holds a fair
 part of the host's running text, else the body without the wrapper's template texts and link lists.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are left out by element, role and the words of class and id.
+are left out by element, role and the words of class and id. A word of class or id leaves out no
+element that holds the page's main text (``resolved``).
 
 Defined cases: null, empty or text-less html gives an empty text; urls without host share the empty
 host; unclosed or stray tags are read as browsers do (roughly); a page without its host's main
@@ -40,6 +41,8 @@ FAIR_SHARE = 0.3       # of the running text, for an article or main element to
 LEAST_PAGES = 10       # different pages a template text must be seen on
 LINKED = 0.8           # part of a node's text in links that makes it a link list
 
+MAINS = ("article", "main")  # elements of main text, the first choice first
+
 # Element classes of HTML, and words that name what is not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -58,6 +61,8 @@ LEFT_OUT_WORDS = frozenset(
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment "
     "comments commentlist disqus respond replies reply discussion related recommended widget widgets pagination pager copyright".split())
 
+READER_WORDS = frozenset("comment comments commentlist disqus respond replies reply discussion".split())
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noframes|xmp)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"""
     r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|</?[a-z][^>]*>|<[!?/][^>]*>|[^<]+|<""", re.I | re.S)
@@ -69,37 +74,113 @@ def attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if raw else {}
 
 
-_NAMES: dict[tuple[str, str], tuple[str, bool]] = {}
+HARD, BY_WORD, READERS = 1, 2, 3  # left out by element or role; by a class or id word; by one of reader comments
+_NAMES: dict[tuple[str, str], tuple[str, int]] = {}
 
 
-def element(tag: str, raw: str) -> tuple[str, bool]:
-    """(label, is it left out) of an opening tag; the label is the tag with its class and id words."""
+def element(tag: str, raw: str) -> tuple[str, int]:
+    """(label, how it is left out or 0) of an opening tag; the label is the tag with its class and id words."""
     known = _NAMES.get((tag, raw)) if len(raw) < 200 else None
     if known:
         return known
     attrs = attributes(raw)
     words = [w.lower() for w in NAME_WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))]
-    out = (tag in LEFT_OUT or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs
-           or (tag not in ("body", "html", "main", "article") and not LEFT_OUT_WORDS.isdisjoint(words)))
+    out = 0
+    if tag in LEFT_OUT or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs:
+        out = HARD
+    elif tag not in ("body", "html", "main", "article") and not LEFT_OUT_WORDS.isdisjoint(words):
+        out = BY_WORD if READER_WORDS.isdisjoint(words) else READERS
     found = ".".join([tag, *dict.fromkeys(words)]), out
     if len(_NAMES) < 50_000 and len(raw) < 200:
         _NAMES[tag, raw] = found
     return found
 
 
-def events(page: str) -> Iterator[tuple[str, str, bool]]:
+def events(page: str) -> list[tuple[str, str, int]]:
     """(kind, value, left out): kind "open" / "close" with a label, "text" with its raw text, "break"."""
+    found = list(raw_events(page))
+    return resolved(found) if any(out > HARD for _, _, out in found) else found
+
+
+def resolved(found: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """The events of a page with class and id words overruled, outermost first, where an element holds
+
+    * most of the page's running text, or all of it if a word is of reader comments, while no article or
+      main element is outside of what is left out, or inside such an element;
+    * the page's main or only article, or articles of a fair part of its running text, while none is
+      outside of what is left out;
+    * a first-level headline in an article or main element.
+    """
+    # Per element left out by word, or root: [how, running text, mains, outermost articles, headlines,
+    # article text, article and main elements in no deeper such element].
+    spans: dict[int, list[int]] = {-1: [0] * 7}
+    stack: list[tuple[int, str, bool]] = []  # event, tag, is it in an article
+    words: list[int] = [-1]
+    hard = links = 0
+    for i, (kind, value, out) in enumerate(found):
+        if kind == "open":
+            tag = value.split(".", 1)[0]
+            in_article = bool(stack) and stack[-1][2]
+            hard += out == HARD
+            if out > HARD:
+                spans[i] = [out, *[0] * 6]
+                words.append(i)
+            links += tag == "a"
+            if not hard and (tag in MAINS or tag == "h1"):
+                for k in words:
+                    spans[k][2] += tag == "main"
+                    spans[k][3] += tag == "article" and not in_article
+                    spans[k][4] += tag == "h1"
+                spans[words[-1]][6] += tag in MAINS
+            stack.append((i, tag, in_article or tag == "article"))
+        elif kind == "close":
+            i, tag, _ = stack.pop()
+            hard -= found[i][2] == HARD
+            links -= tag == "a"
+            if words[-1] == i:
+                words.pop()
+        elif kind == "text" and not hard and not links:
+            n = len("".join(value.split()))
+            for k in words:
+                spans[k][1] += n
+                spans[k][5] += n if stack and stack[-1][2] else 0
+    whole, free = spans[-1][1], spans[-1][6]
+    out_list, open_tags, left = list(found), [], 0  # open_tags: (tag, does it leave out)
+    mains = 0
+    for i, (kind, value, out) in enumerate(found):
+        if kind == "open":
+            tag = value.split(".", 1)[0]
+            if out > HARD and not left:
+                how, mass, main, articles, headlines, article_mass, direct = spans[i]
+                most = mass > 0 and (mass == whole if how == READERS else 2 * mass > whole)
+                holds = main or articles == 1 or (articles and article_mass >= FAIR_SHARE * whole)
+                if (not free or mains) and most or (not free and holds) or (mains and headlines and how == BY_WORD):
+                    out = 0
+                    out_list[i] = kind, value, 0
+                    free += direct
+            mains += tag in MAINS and not left
+            open_tags.append((tag, bool(out), tag in MAINS and not left))
+            left += bool(out)
+        elif kind == "close":
+            _, was_out, was_main = open_tags.pop()
+            left -= was_out
+            mains -= was_main
+    return out_list
+
+
+def raw_events(page: str) -> Iterator[tuple[str, str, int]]:
+    """``events`` with an element's own mark: how it would be left out."""
     stack: list[str] = []
 
-    def closed(to: int) -> Iterator[tuple[str, str, bool]]:
+    def closed(to: int) -> Iterator[tuple[str, str, int]]:
         while len(stack) > to:
-            yield "close", stack.pop(), False
+            yield "close", stack.pop(), 0
 
     for m in TOKEN.finditer(page):
         tag = m.group(3)
         if tag is None:
             if m.group(1) is None and (m.group().isspace() or m.group()[0] != "<" or m.group() == "<"):
-                yield "text", m.group(), False
+                yield "text", m.group(), 0
             continue
         tag = tag.lower()
         if m.group(2):
@@ -123,7 +204,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
                 if stack[k] in CLOSE_LIMIT:
                     break
         if tag in VOID:
-            yield "break", tag, False
+            yield "break", tag, 0
             continue
         label, out = element(tag, m.group(4))
         stack.append(tag)
@@ -131,8 +212,6 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
     yield from closed(0)
 
 
-MAINS = ("article", "main")  # elements of main text, the first choice first
-
 # ---- wrappers: nodes [label, quantifier, pages, text mass, link mass, template text, children, seen] ----
 # seen: hashes of the texts of LEAST_PAGES different pages, or all if fewer, that hold the template text.
 
@@ -252,7 +331,7 @@ def tree_and_masses(page: str | None) -> tuple[list, list[int]]:
                 out_depth += 1
             else:
                 path[-1][KIDS].append(node)
-                out_depth = int(out)
+                out_depth = int(out > 0)
             path.append(node)
             for k, tag in enumerate(MAINS, 1):
                 within[k] += value.split(".", 1)[0] == tag

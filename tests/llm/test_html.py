@@ -89,6 +89,28 @@ def test_template_text_is_whole_and_on_different_pages(spark, tmp_path_factory):
     assert {got[100 + i] for i in range(40)} == {"Head Lead words Body words"}
 
 
+def test_class_words_leave_out_no_main_text(spark, tmp_path_factory):
+    story = "Story text goes on and on. " * 10
+    side = "<div class='sidebar'><article>teaser one</article><article>teaser two</article></div>"
+    cases = {
+        0: (f"<div class='layout has-sidebar'><article><p>{story}</p></article>{side}</div>", story),
+        1: (f"<div class='ad-free'><main><p>{story}</p></main></div><div class='ad'>Buy</div>", story),
+        2: (f"<div class='social page'><p>{story}</p></div><div class='share'>Share this</div>", story),
+        3: (f"<article><div class='entry-header'><h1>Head</h1></div><p>{story}</p></article><div class='header'>Site</div>", "Head " + story),
+        4: (f"<article><h1>Head</h1><div class='story social'><p>{story}</p></div></article>", "Head " + story),
+        5: (f"<article><p>Short.</p><section id='comments'><article class='comment-body'>{story}</article></section></article>", "Short."),
+        6: (f"<article><p>Short.</p></article><div class='ad'>{story}</div>", "Short."),
+        7: (f"<article><p>Short.</p></article><section class='comments'><article class='comment-body'>{story}</article></section>", "Short."),
+        8: (f"<div class='page no-comments'><p>{story}</p></div>", story),
+        9: (f"{side}<div class='content'><p>{story}</p></div>", story),
+        10: (f"<div class='related'><div class='layout sidebar'><article>{story}</article><div class='sidebar'>x</div></div></div>", story),
+        11: (f"<div class='layout has-sidebar'><article>{story}</article><section class='comments'><article>nice</article></section></div>", story),
+    }
+    pages = [(k, f"http://case{k}.example/", f"<body>{page}</body>") for k, (page, _) in cases.items()]
+    got = extracted(spark, tmp_path_factory, pages)
+    assert {k: got[k] for k in cases} == {k: want.strip() for k, (_, want) in cases.items()}
+
+
 def test_empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("pages"))
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
