@@ -1,16 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds propose passages, local alignment scores them.
+"""Benchmark decontamination: n-gram seeds propose passages, local alignment scores them.
 
-1. How many documents hold each n-gram of the test items is counted over all documents.
-2. Each item keeps the rarest of its n-grams as seeds (ranked within the item, so an item copied
-   into thousands of documents keeps seeds too).
-3. Every document is searched for seeds; around each hit the passage that would align with the
+1. All n-grams of the test items are seeds.
+2. Every document is searched for seeds; around each hit the passage that would align with the
    item is cut out and scored by Smith-Waterman on words. A passage leaks an item if the score is
    at least half of the item's own, or if 20 aligned words agree.
 
+Not found: an edited copy that shares no run of ``N`` words with the item. Every third word replaced,
+or a word put in after each one or two, leaves none and can still reach half of the item's score.
+
 Items go to the tasks in blocks of bounded size, as a query set; documents are not shuffled.
 
 Defined cases: null or empty texts hold nothing; items of fewer than ``N`` words are not searched;
-repeated documents are each reported; items of equal text each count; empty tables give no leaks.
+repeated documents are each reported; items of equal text each count; items with a null id are searched
+too and reported with a null id; empty tables give no leaks.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from barspark.llm.common import packed, unpacked
 
 # Production parameters of op10.
 N = 3                    # words of a seed
-SEED_SHARE = 0.75        # the rarest part of an item's n-grams that are seeds
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5        # of the item's score with itself
 LEAST_WORDS = 20         # or so many agreeing words
@@ -46,13 +47,13 @@ def words_of(text: str | None) -> list[str]:
 class Items:
     """A block of test items as word numbers, and its n-grams as sorted keys."""
 
-    ids: list[int]
+    ids: list[int | None]
     items: list[np.ndarray]
     vocab: dict[str, int]
     grams: np.ndarray  # sorted distinct keys
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
+    def of(cls, rows: list[tuple[int | None, str]]) -> Items:
         vocab: dict[str, int] = {}
         ids, items = [], []
         for i, text in rows:
@@ -116,14 +117,11 @@ class Seeds:
     owners: list[tuple[int, int]]  # (item, position in it)
 
     @classmethod
-    def of(cls, block: Items, held: dict[int, int]) -> Seeds:
-        """``held``: documents that hold the n-gram at each place of ``block.grams``."""
+    def of(cls, block: Items) -> Seeds:
         by_key: dict[int, list[tuple[int, int]]] = {}
         for i, w in enumerate(block.items):
-            key = block.keys(w)
-            rank = sorted(range(len(key)), key=lambda j: (held.get(int(np.searchsorted(block.grams, key[j])), 0), j))
-            for j in rank[:math.ceil(SEED_SHARE * len(rank))]:
-                by_key.setdefault(int(key[j]), []).append((i, j))
+            for j, key in enumerate(block.keys(w).tolist()):
+                by_key.setdefault(key, []).append((i, j))
         grams = np.array(sorted(by_key), dtype=np.int64)
         owners = [o for g in grams for o in by_key[int(g)]]
         starts = np.cumsum([0] + [len(by_key[int(g)]) for g in grams])
@@ -171,26 +169,12 @@ def merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 def blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
     """Test items in blocks of about BLOCK_WORDS words, one block in memory at a time."""
-    items = benchmark.select(F.col(key).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(key).alias("i"), F.col(text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / (5 * BLOCK_WORDS)))
     for b in range(n):
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
-        yield Items.of(sorted((r[0], r[1]) for r in part.collect()))
-
-
-def document_counts(docs: DataFrame, text: str, block: Items) -> dict[int, int]:
-    """Documents that hold each n-gram of a block, over all documents."""
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(block.grams), dtype=np.int64)
-        for pdf in batches:
-            for t in pdf["t"]:
-                total[np.unique(block.hits(block.numbers(t), block.grams)[1])] += 1
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"place": some, "n": total[some]})
-
-    found = docs.select(F.col(text).alias("t")).mapInPandas(counted, "place long, n long")
-    return {r[0]: r[1] for r in found.groupBy("place").agg(F.sum("n")).collect()}  # at most a block's n-grams
+        yield Items.of(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[1] if r[0] is None else r)))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -199,7 +183,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key
     rows = packed(df)
     for block in blocks(benchmark, item_key, item_text):
         if block.items:
-            seeds = Seeds.of(block, document_counts(df, text, block))
+            seeds = Seeds.of(block)
             leaks = F.concat(leaks, searched(seeds)(F.col("row").getField(text)))
     return unpacked(rows.withColumn("leaks", leaks), "leaks")
 

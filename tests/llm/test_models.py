@@ -125,6 +125,17 @@ def test_leaks_in_blocks(spark, corpus, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} == set(leaks.items())
 
 
+def test_items_without_id_and_passages_of_common_words(spark):
+    common = [f"c{k}" for k in range(22)]
+    item = common + [f"r{k}" for k in range(88)]  # its first 22 words are in many documents
+    other = " ".join(f"n{k}" for k in range(14))
+    docs = spark.createDataFrame([(i, "before " + " ".join(common) + f" after{i}") for i in range(50)] + [(99, f"x {other} y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (None, other), (None, other.upper() + " z")], "item_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {i: [1] for i in range(50)} | {99: [None, None]}
+    assert decontaminate.keep_clean(docs, items).count() == 0
+
+
 def plain_alignment(a, b):
     h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i, x in enumerate(a, 1):
