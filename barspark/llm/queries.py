@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import ann_graph, decontaminate, html_wrappers, mixing, ngram_join, pii, secrets, shuffle_shards, toxicity, url_rules
+from barspark.llm import (ann_graph, decontaminate, html_wrappers, mixing, ngram_join, pii, run_index, secrets, shuffle_shards,
+                          token_alignment, toxicity, url_rules, whitening)
 from barspark.llm.common import table
 
 
@@ -70,8 +71,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "leak.item_id", "leak.score", "leak.n_words", "leak.start_word", "leak.end_word"))
 
 
+def op11_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return run_index.remove_repeats(docs).select(
+        "doc_id", (length + F.octet_length("kept")).alias("n_bytes"), length.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    explained = [float(e / model.trace) for e in model.eigenvalues]
+    per_component = F.posexplode(F.arrays_zip(F.col("whitened"), F.array(*[F.lit(e) for e in explained]).alias("explained")))
+    return (whitening.transform(vectors, model).select("vec_id", "deviation", per_component.alias("component", "c"))
+            .select("vec_id", (F.col("component") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation",
+                    F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"),
+                    F.lit(model.identity_error).alias("identity_error")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_corpus(docs)
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_wrappers, op3_secret_scan, op4_graph_neighbours, op5_pii, op6_ngram_join, op7_toxicity, op8_external_shuffle, op9_url_rules,
-                                     op10_decontamination)}
+                                     op10_decontamination, op11_run_index, op12_whitening, op13_token_alignment)}
 
 OP9_SQL = r"""
 WITH u AS (
