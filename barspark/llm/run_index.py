@@ -46,7 +46,7 @@ from barspark.llm.common import cut, drop, packed, unpacked
 # Production parameters of op11.
 WIDTH = 100               # bytes of a repeated string
 SEED = 32                 # bytes of a seed
-BUCKET = 4 << 20          # bytes of a bucket
+BUCKET = 1 << 20          # bytes of a bucket
 HOT = 8192                # most classes of a seed that go to one bucket
 SLICE = 1 << 19           # bytes hashed at once
 PLACE_BITS = np.uint64(24)
