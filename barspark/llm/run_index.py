@@ -46,8 +46,10 @@ from barspark.llm.common import cut, drop, packed, unpacked
 # Production parameters of op11.
 WIDTH = 100               # bytes of a repeated string
 SEED = 32                 # bytes of a seed
-BUCKET = 1 << 20          # bytes of a bucket
-HOT = 8192                # most classes of a seed that go to one bucket
+BUCKET = 1 << 18          # bytes of a bucket
+HOT = 1024                # most classes of a seed that go to one bucket
+SHARE = 4096              # seeds with more than 1/SHARE of all repeated pieces, so at most SHARE, are split
+SALTS = 64                # parts of such a seed in joins
 SLICE = 1 << 19           # bytes hashed at once
 PLACE_BITS = np.uint64(24)
 
@@ -224,18 +226,26 @@ class RunIndex:
         """Positions whose ``width`` bytes also stand at a place of smaller order. ``order``: of each
         string's start; places further right in a string count up from it."""
         neighbour, length = self.matching_statistics()
-        here = np.arange(self.size)
-        root = np.where(length >= width, neighbour, here)
-        while True:
-            further = root[root]
-            if np.array_equal(further, root):
-                break
-            root = further
-        string = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, self.size)))
-        place = order[string] + (here - self.starts[string])
-        earliest = np.full(self.size, np.iinfo(np.int64).max)
-        np.minimum.at(earliest, root, place)
-        return (place > earliest[root]) & (self.last - here >= width)
+        out = np.zeros(self.size, dtype=bool)
+        linked = np.flatnonzero(length >= width)
+        if not len(linked):
+            return out
+        root = np.arange(self.size)
+        root[linked] = neighbour[linked]
+        todo = linked
+        while len(todo):                                     # halve the way to the start of each chain
+            further = root[root[todo]]
+            moved = further != root[todo]
+            root[todo] = further
+            todo = todo[moved]
+        at = np.unique(np.concatenate([linked, root[linked]]))
+        string = np.searchsorted(self.starts, at, "right") - 1
+        place = order[string] + (at - self.starts[string])
+        of, chain = np.unique(root[at], return_inverse=True)
+        earliest = np.full(len(of), np.iinfo(np.int64).max)
+        np.minimum.at(earliest, chain, place)
+        out[at] = place > earliest[chain]
+        return out
 
 
 def repeated_spans(strings: list[bytes], order: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -274,14 +284,24 @@ def find_spans(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET, hot: i
                 of = pa.array(rows[doc])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").take(of), batch.column("th").take(of), pa.array(seed), pa.array(same),
-                     pa.array((start - limits[doc] + offsets[doc]).astype(np.int32)), pa.array(length.astype(np.int32))],
-                    ["key", "th", "seed", "class", "start", "length"])
+                     pa.array((start - limits[doc] + offsets[doc]).astype(np.int32)), pa.array(length.astype(np.int32)),
+                     pa.array(np.where(np.isin(seed, crowds_of), np.arange(len(seed)) % SALTS, 0).astype(np.int32))],
+                    ["key", "th", "seed", "class", "start", "length", "salt"])
+
+    seeds = cut(docs.select("text").mapInArrow(seeds_only, "seed long").groupBy("seed").count().where("count > 1"), "seeds")
+    repeated = seeds.agg(F.sum("count")).first()[0] or 0
+    crowds_of = np.array([r[0] for r in seeds.where(F.col("count") > repeated / SHARE).select("seed").collect()], dtype=np.int64)
+
+    def salted(table: DataFrame) -> DataFrame:
+        """A copy for each salt of the seeds that are split."""
+        salts = F.when(F.col("seed").isin(crowds_of.tolist()), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        return table.withColumn("salt", F.explode(salts))
 
-    seeds = (docs.select("text").mapInArrow(seeds_only, "seed long").groupBy("seed").count()
-             .where("count > 1").select("seed"))
-    found = T.StructType([*place, _field("seed", long_), _field("class", long_), _field("start", int_), _field("length", int_)])
+    found = T.StructType([*place, _field("seed", long_), _field("class", long_), _field("start", int_), _field("length", int_),
+                          _field("salt", int_)])
     # Both sides grow with the corpus: joined by key at every size, never broadcast.
-    held = cut(docs.mapInArrow(all_pieces, found).join(seeds.hint("merge"), "seed"), "pieces")
+    held = cut(docs.mapInArrow(all_pieces, found).join(salted(seeds.select("seed")).hint("merge"), ["seed", "salt"]), "pieces")
+    drop(seeds)
     classes = cut(held.groupBy("seed", "class").agg(F.min(F.struct("key", "start", "th", "length")).alias("first")), "classes")
 
     size = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.sum("first.length").alias("bytes"))
@@ -342,7 +362,7 @@ def find_spans(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET, hot: i
     earliest = single.groupBy("bytes").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowds = (single.join(earliest.hint("merge"), "bytes").where(F.struct("key", "start") > F.col("first"))
               .select("key", "th", "start", (F.col("start") + width).alias("end")))
-    members = (held.join(classes.hint("merge"), ["seed", "class"])
+    members = (held.join(salted(classes).hint("merge"), ["seed", "class", "salt"])
                .where(F.struct("key", "start") > F.struct("first.key", "first.start"))
                .select("key", "th", "start", (F.col("start") + F.col("length")).alias("end")))
     spans = (members.unionByName(indexed).unionByName(crowds)
