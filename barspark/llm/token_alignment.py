@@ -22,6 +22,8 @@ result; other columns of the input are left out, so none can clash.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 from collections.abc import Iterator
 
@@ -40,7 +42,7 @@ from barspark.llm.common import cut
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 UNIT = 2 << 20            # bytes of text of a unit
-LANE = 2048               # bytes of a lane
+LANE = 512                # bytes of a lane
 LARGE = 1024              # pairs from which a group's ids are made distinct before pairing
 DIGESTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -52,44 +54,65 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-class ByteLevel:
-    """Tokenizer A: ids and the bytes of each id."""
+class Vocabulary:
+    """The bytes of all ids, joined."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.bytes = pieces
+        self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.joined = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of a token sequence."""
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        return self.joined[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class ByteLevel(Vocabulary):
+    """Tokenizer A. The merges of its file are listed in the order of their ids, so the vocabulary serves as ranks."""
+
+    # Fixed value: how this tokenizer splits a text before merging.
+    PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         alphabet = byte_alphabet()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes = [b""] * (max(self.tokenizer.get_vocab().values()) + 1)
-        for piece, i in vocabulary.items():
-            if all(c in alphabet for c in piece):
-                self.bytes[i] = bytes(alphabet[c] for c in piece)
+        pieces = {i: bytes(alphabet[c] for c in p) for p, i in model["vocab"].items() if all(c in alphabet for c in p)}
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        ids = [model["vocab"][m.replace(" ", "")] for m in merges]
+        if ids != sorted(ids):
+            raise ValueError(f"{path}: ids do not follow the order of the merges")
+        last = max(ids)                                      # later ids come from no merge: never found in a text
+        ranks = {b: i for i, b in pieces.items() if i <= last}
+        self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        super().__init__([pieces.get(i, b"") for i in range(last + 1)])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list:
+        return [self.encoding.encode_ordinary(" " + t) for t in texts]
 
 
-class Pieces:
-    """Tokenizer B: pieces with a blank put before the text by the tokenizer itself."""
+class Pieces(Vocabulary):
+    """Tokenizer B, which puts a blank before the text itself."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes = []
-        for i in range(self.processor.get_piece_size()):
-            piece = self.processor.id_to_piece(i)
-            if self.processor.is_byte(i):
-                self.bytes.append(bytes([int(piece[3:5], 16)]))
-            elif self.processor.is_control(i) or self.processor.is_unknown(i):
-                self.bytes.append(b"")
+        p = self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = []
+        for i in range(p.get_piece_size()):
+            piece = p.id_to_piece(i)
+            if p.is_byte(i):
+                pieces.append(bytes([int(piece[3:5], 16)]))
             else:
-                self.bytes.append(piece.replace("▁", " ").encode())
+                pieces.append(b"" if p.is_control(i) or p.is_unknown(i) else piece.replace("\u2581", " ").encode())
+        super().__init__(pieces)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list:
         return self.processor.encode(texts, out_type=int, num_threads=1)
 
 
@@ -169,47 +192,81 @@ def links(groups: np.ndarray, group_doc: np.ndarray, a_ids: np.ndarray, b_ids: n
     return found, np.bincount(inverse, weights=np.concatenate(times), minlength=len(found)).astype(np.int64)
 
 
-def align(texts: list[str | None], tokenizer_a, tokenizer_b) -> dict:
+def _joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    limits = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
+    return np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=int(limits[-1])), limits
+
+
+def _parts(values: np.ndarray, limits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the chosen documents, and their limits."""
+    if chosen.all():
+        return values, limits
+    lengths = np.diff(limits)
+    return values[np.repeat(chosen, lengths)], np.concatenate(([0], np.cumsum(lengths[chosen])))
+
+
+def written_groups(groups: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """``a1,a2|b1;a3|b2;`` for all groups, and where each token's bytes begin."""
+    n = len(a_ids) + len(b_ids)
+    group_of_a = np.repeat(np.arange(len(groups)), groups[:, 1] - groups[:, 0])
+    group_of_b = np.repeat(np.arange(len(groups)), groups[:, 3] - groups[:, 2])
+    ids, follow = np.empty(n, dtype=np.int64), np.full(n, ord(","), dtype=np.uint8)
+    ids[np.arange(len(a_ids)) + groups[group_of_a, 2]] = a_ids
+    ids[np.arange(len(b_ids)) + groups[group_of_b, 1]] = b_ids
+    follow[groups[:, 1] + groups[:, 2] - 1] = ord("|")
+    follow[groups[:, 1] + groups[:, 3] - 1] = ord(";")
+    size = int(ids.max(initial=0)) + 1
+    digits = np.arange(size).astype("S").view(np.uint8).reshape(size, -1)
+    width = digits.shape[1]
+    length = (digits != 0).sum(axis=1)
+    cells = np.zeros((n, width + 1), dtype=np.uint8)
+    cells[:, :width] = digits[ids]
+    cells[np.arange(n), length[ids]] = follow
+    return cells[cells != 0].tobytes(), np.concatenate(([0], np.cumsum(length[ids] + 1)))
+
+
+def align(texts: list[str | None], tokenizer_a, tokenizer_b, keep_groups: bool = True) -> dict:
     """The merged unit: counts and group digest per document, distinct pairs and links per document."""
     size_a, size_b = len(tokenizer_a.bytes), len(tokenizer_b.bytes)
     some = [d for d, t in enumerate(texts) if t]
-    ids = [tok.encode([texts[d] for d in some]) for tok in (tokenizer_a, tokenizer_b)]
-    docs, raw = [], []
-    for k, d in enumerate(some):
-        whole = (" " + texts[d]).encode("utf-8", "surrogatepass")
-        if all(b"".join([tok.bytes[i] for i in ids[side][k]]) == whole for side, tok in enumerate((tokenizer_a, tokenizer_b))):
-            docs.append(k)
-            raw.append(len(whole))
-    limits = np.concatenate(([0], np.cumsum(raw, dtype=np.int64)))
-    side_ids, side_limits, ends = [], [], []
-    for side, tok in enumerate((tokenizer_a, tokenizer_b)):
-        joined = np.array([i for k in docs for i in ids[side][k]], dtype=np.int64)
-        side_ids.append(joined)
-        side_limits.append(np.concatenate(([0], np.cumsum([len(ids[side][k]) for k in docs], dtype=np.int64))))
-        ends.append(np.cumsum(np.array([len(b) for b in tok.bytes], dtype=np.int64)[joined]))
-    groups = merge(ends[0], ends[1], limits)
-    group_doc = np.searchsorted(side_limits[0], groups[:, 0], "right") - 1
-    n_groups = np.bincount(group_doc, minlength=len(docs))
-    n_links = np.bincount(group_doc, weights=((groups[:, 1] - groups[:, 0]) * (groups[:, 3] - groups[:, 2])),
-                          minlength=len(docs)).astype(np.int64)
+    raw = [(" " + texts[d]).encode("utf-8", "surrogatepass") for d in some]
+    limits = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
+    sides = [_joined(tok.encode([texts[d] for d in some])) for tok in (tokenizer_a, tokenizer_b)]
+    valid = np.ones(len(some), dtype=bool)
+    for tok, (ids, bounds) in zip((tokenizer_a, tokenizer_b), sides):
+        read = np.concatenate(([0], np.cumsum(tok.lengths[ids])))[bounds]
+        valid &= np.diff(read) == np.diff(limits)
+    whole = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    for tok, (ids, bounds) in zip((tokenizer_a, tokenizer_b), sides):
+        right = valid.copy()
+        chosen, _ = _parts(ids, bounds, right)
+        text, text_limits = _parts(whole, limits, right)
+        wrong = np.flatnonzero(tok.spell(chosen) != text)
+        valid[np.flatnonzero(right)[np.unique(np.searchsorted(text_limits, wrong, "right") - 1)]] = False
+    (a_ids, a_limits), (b_ids, b_limits) = (_parts(*side, valid) for side in sides)
+    limits = np.concatenate(([0], np.cumsum(np.diff(limits)[valid])))
+    groups = merge(np.cumsum(tokenizer_a.lengths[a_ids]), np.cumsum(tokenizer_b.lengths[b_ids]), limits)
+    n_docs = int(valid.sum())
+    group_doc = np.searchsorted(a_limits, groups[:, 0], "right") - 1
+    sizes = (groups[:, 1] - groups[:, 0]) * (groups[:, 3] - groups[:, 2])
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    group_limits = np.searchsorted(group_doc, np.arange(n_docs + 1))
     width, size = size_b, size_a * size_b
-    keys, times = links(groups, group_doc, *side_ids, width, size)
-    key_doc = keys // size
+    keys, times = links(groups, group_doc, a_ids, b_ids, width, size)
     pairs, slot, held = np.unique(keys % size, return_inverse=True, return_counts=True)
-
-    spelled_a, spelled_b = side_ids[0].astype(str).tolist(), side_ids[1].astype(str).tolist()
-    text = [f"{','.join(spelled_a[a0:a1])}|{','.join(spelled_b[b0:b1])}" for a0, a1, b0, b1 in groups.tolist()]
-    bounds = np.concatenate(([0], np.cumsum(n_groups)))
-    n = len(texts)
-    out = {name: np.zeros(n, dtype=np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
-    where = np.array([some[k] for k in docs], dtype=np.int64)
-    out["n_a"][where], out["n_b"][where] = np.diff(side_limits[0]), np.diff(side_limits[1])
-    out["n_groups"][where], out["n_links"][where] = n_groups, n_links
-    written = [""] * n
-    for d, lo, hi in zip(where.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-        written[d] = ";".join(text[lo:hi])
-    return out | {"groups": written, "pairs": pairs, "held": held, "slots": slot.astype(np.int32), "times": times,
-                  "docs": where[key_doc].astype(np.int32)}
+    where = np.array(some, dtype=np.int64)[valid]
+    out = {name: np.zeros(len(texts), dtype=np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
+    out["n_a"][where], out["n_b"][where] = np.diff(a_limits), np.diff(b_limits)
+    out["n_groups"][where], out["n_links"][where] = np.diff(group_limits), np.diff(total[group_limits])
+    written, at = written_groups(groups, a_ids, b_ids)
+    digest, spelled = [""] * len(texts), [""] * len(texts) if keep_groups else [None] * len(texts)
+    bounds = at[a_limits + b_limits].tolist()
+    for d, lo, hi in zip(where.tolist(), bounds[:-1], bounds[1:]):
+        digest[d] = hashlib.sha256(written[lo:hi - 1]).hexdigest()
+        if keep_groups:
+            spelled[d] = written[lo:hi - 1].decode()
+    return out | {"sha": digest, "groups": spelled, "pairs": pairs, "held": held, "slots": slot.astype(np.int32),
+                  "times": times, "docs": where[keys // size].astype(np.int32)}
 
 
 def unit_rows(lengths: list[int], bound: int) -> Iterator[tuple[int, int]]:
@@ -243,9 +300,7 @@ def align_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             for lo, hi in unit_rows(lengths, unit):
-                found = align(batch.column("text").slice(lo, hi - lo).to_pylist(), a, b)
-                found["sha"] = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found["groups"]]
-                found["groups"] = found["groups"] if keep_groups else [None] * (hi - lo)
+                found = align(batch.column("text").slice(lo, hi - lo).to_pylist(), a, b, keep_groups)
                 found["key"] = batch.column("key").slice(lo, hi - lo).to_pylist()
                 found["unit"] = number
                 yield pa.RecordBatch.from_arrays([pa.array([found[f.name]], to_arrow_type(f.dataType)) for f in schema.fields],

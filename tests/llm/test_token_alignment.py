@@ -11,9 +11,25 @@ from barspark.llm import queries, token_alignment
 from tests.llm.util import documents_dir
 
 
-def tokenizers():
-    return [token_alignment._tokenizer(kind, token_alignment.FOLDER, name) for kind, name in
-            ((token_alignment.ByteLevel, token_alignment.A_FILE), (token_alignment.Pieces, token_alignment.B_FILE))]
+class Listed:
+    """Tokenizer A by the library its file is made for."""
+
+    def __init__(self):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(f"{token_alignment.FOLDER}/{token_alignment.A_FILE}")
+        self.tokenizer.encode_special_tokens = True
+        alphabet = token_alignment.byte_alphabet()
+        self.bytes = {i: bytes(alphabet.get(c, 0) for c in p) for p, i in self.tokenizer.get_vocab().items()}
+
+    def encode(self, texts):
+        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
+def tokenizers(_made=[]):  # noqa: B006
+    if not _made:
+        _made += [Listed(), token_alignment.Pieces(f"{token_alignment.FOLDER}/{token_alignment.B_FILE}")]
+    return _made
 
 
 def brute_groups(text):
@@ -100,6 +116,12 @@ def test_large_groups_are_made_distinct(monkeypatch):
         assert {(k // 63, k % 63 // 7, k % 7): t for k, t in zip(keys.tolist(), times.tolist())} == dict(plain)
 
 
+def test_long_pieces_of_one_kind():
+    a = token_alignment.ByteLevel(f"{token_alignment.FOLDER}/{token_alignment.A_FILE}")
+    texts = ["=" * 50_000, "ab" * 20_000, " " * 30_000, "1" * 10_000, "é" * 10_000, "<|endoftext|> <|endoftext|>", "it's\u00a0I'LL 'tis"]
+    assert a.encode(texts) == tokenizers()[0].encode(texts)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_alignment.align_corpus(empty).collect() == []
