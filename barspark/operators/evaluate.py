@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from barspark import config as C
 from barspark.functions.columns import round_sig, safe_div
+from barspark.operators.quantiles import exact_quantiles
 from barspark.plans import series
 from barspark.plans.series import RN
+from barspark.session import materialize
 
 KEYS = ("Model", "Ticker")
 SQRT_252 = math.sqrt(C.TRADING_DAYS)
@@ -51,7 +53,8 @@ def _steps(preds: DataFrame) -> DataFrame:
                               "_strat": F.col("_r") * F.col("_sig"),
                               "_dir_a": (F.signum("_dy") == F.col("_sig")).cast("double")})
 
-    return series.run_ordered(preds, build, halo=2, keys=KEYS, keep_index=True)
+    # Written once: the totals, both prefix scans and the final aggregate read this narrow table.
+    return materialize(series.run_ordered(preds, build, halo=2, keys=KEYS, keep_index=True))
 
 
 def _equity(d: DataFrame, ret: str, out: str) -> DataFrame:
@@ -84,25 +87,27 @@ def validation_metrics(preds: DataFrame) -> DataFrame:
         (F.min("_cum_dd") * 100).alias("Max_Drawdown_pct"),
         # Compounded returns span many orders of magnitude: kept to 10 significant digits.
         round_sig((F.max_by("_cum", RN) - 1) * 100).alias("Total_Return_pct"),
-        F.coalesce(F.sum("_trade"), F.lit(0.0)).alias("Num_Trades"))
+        F.coalesce(F.sum("_trade"), F.when(F.count(e) > 0, F.lit(0.0))).alias("Num_Trades"))
 
 
 def test_metrics(preds: DataFrame) -> DataFrame:
     """L13 (test flavour): MAPE with 1e-10, directional accuracy on up-flags, long/cash strategy,
-    Sharpe with population std and no risk-free rate, drawdown and cumulative return."""
+    Sharpe with population std and no risk-free rate, drawdown and cumulative return. A model
+    without a valid forecast has NULL metrics, never the 0 of a strategy that stands still."""
     d = _equity(_steps(preds), "_ret_b", "_cum")
     e = F.col("y") - F.col("yhat")
     sd = F.stddev_pop("_ret_b")
     n = F.count(F.lit(1))
+    zero = F.when(F.count(e) > 0, F.lit(0.0))
     return d.groupBy(*KEYS).agg(
         F.sqrt(F.avg(e * e)).alias("RMSE"), F.avg(F.abs(e)).alias("MAE"),
         (F.avg(F.abs(e / (F.col("y") + F.lit(C.MAPE_EPSILON)))) * 100).alias("MAPE_pct"),
         F.when(n > 1, F.avg(F.when(F.col("_dp").isNotNull(), F.col("_up_eq").cast("double"))) * 100)
-        .otherwise(F.lit(0.0)).alias("Dir_Accuracy_pct"),
-        F.when(F.coalesce(sd, F.lit(0.0)) > 0, F.avg("_ret_b") / sd * F.lit(SQRT_252)).otherwise(F.lit(0.0)).alias("Sharpe_Ratio"),
-        F.coalesce(F.min("_cum_dd") * 100, F.lit(0.0)).alias("Max_Drawdown_pct"),
+        .otherwise(zero).alias("Dir_Accuracy_pct"),
+        F.when(F.coalesce(sd, F.lit(0.0)) > 0, F.avg("_ret_b") / sd * F.lit(SQRT_252)).otherwise(zero).alias("Sharpe_Ratio"),
+        F.coalesce(F.min("_cum_dd") * 100, zero).alias("Max_Drawdown_pct"),
         round_sig(F.coalesce((F.max_by("_cum", F.when(F.col("_cum").isNotNull(), F.col(RN))) - 1) * 100,
-                             F.lit(0.0))).alias("Cumulative_Return_pct"))
+                             zero)).alias("Cumulative_Return_pct"))
 
 
 def rmse_mae(df: DataFrame, y: str = "y", yhat: str = "yhat", keys: Sequence[str] = ("Model",)) -> DataFrame:
@@ -158,8 +163,8 @@ def weighted_ensemble(preds: DataFrame, weights: DataFrame, models: Sequence[str
 
 def residual_quantiles(preds: DataFrame, qs: Sequence[float] = (0.1, 0.5, 0.9), keys=("Model", "Ticker")) -> DataFrame:
     """Exact residual quantiles per model (linear interpolation)."""
-    r = F.col("y") - F.col("yhat")
-    return preds.groupBy(*keys).agg(*[F.percentile(r, q).alias(f"q{int(q * 100):02d}") for q in qs])
+    found = exact_quantiles(preds, keys, {"residual": F.col("y") - F.col("yhat")}, qs)
+    return found.select(*keys, *[F.col("q")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(qs)])
 
 
 def interval_coverage(df: DataFrame, lo: str = "lo", hi: str = "hi", keys=("Model", "Ticker")) -> DataFrame:

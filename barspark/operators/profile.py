@@ -1,7 +1,7 @@
 """Data profiling / EDA aggregates.
 
-Everything is a grouped aggregate with partial (map-side) aggregation; exact percentiles use
-``percentile`` (linear interpolation like pandas), never the approximate ``summary()``.
+Everything is a grouped aggregate with partial (map-side) aggregation; percentiles are exact, by
+distributed selection (``quantiles``, linear interpolation like pandas).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barspark import config as C
 from barspark.functions.columns import pct_change, roll_mean, roll_std, safe_div
+from barspark.operators.quantiles import exact_quantiles
 from barspark.plans import series
 from barspark.session import materialize as _materialize
 
@@ -71,12 +72,10 @@ def price_validation(df: DataFrame) -> DataFrame:
 
 def describe_bars(df: DataFrame, cols: Sequence[str] = tuple(C.PRICE_COLUMNS)) -> DataFrame:
     """Count, mean, std, min, 25/50/75%, max per ticker and column (long format)."""
-    long = df.select("Ticker", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                                                   for c in cols])).alias("s")).select("Ticker", "s.column", "s.v")
-    return long.groupBy("Ticker", "column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.percentile("v", 0.25).alias("p25"), F.percentile("v", 0.5).alias("p50"),
-        F.percentile("v", 0.75).alias("p75"), F.max("v").alias("max"))
+    q = exact_quantiles(df, ["Ticker"], {c: c for c in cols}, (0.25, 0.5, 0.75), {
+        "count": F.count("v"), "mean": F.avg("v"), "std": F.stddev_samp("v"), "min": F.min("v"), "max": F.max("v")})
+    return q.select("Ticker", "column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
+                    F.col("q")[2].alias("p75"), "max")
 
 
 def price_performance(df: DataFrame) -> DataFrame:
@@ -102,13 +101,13 @@ def recent_candles(df: DataFrame, n: int = 60) -> DataFrame:
 
 def return_stats(eda: DataFrame) -> DataFrame:
     """mean/median/std/best/worst daily return; % positive/negative over all rows."""
-    r, n = F.col("Daily_Return"), F.count(F.lit(1))
-    return eda.groupBy("Ticker").agg(
-        F.avg(r).alias("mean_return"), F.percentile(r, 0.5).alias("median_return"),
-        F.stddev_samp(r).alias("std_return"), F.max(r).alias("best_return"), F.min(r).alias("worst_return"),
-        F.sum((r > 0).cast("long")).alias("positive_bars"), F.sum((r < 0).cast("long")).alias("negative_bars"),
-        (F.sum((r > 0).cast("long")) * 100.0 / n).alias("positive_pct"),
-        (F.sum((r < 0).cast("long")) * 100.0 / n).alias("negative_pct"))
+    r, n = F.col("v"), F.count(F.lit(1))
+    up, down = F.sum((r > 0).cast("long")), F.sum((r < 0).cast("long"))
+    q = exact_quantiles(eda, ["Ticker"], {"Daily_Return": "Daily_Return"}, (0.5,), {
+        "mean_return": F.avg(r), "std_return": F.stddev_samp(r), "best_return": F.max(r), "worst_return": F.min(r),
+        "positive_bars": up, "negative_bars": down, "positive_pct": up * 100.0 / n, "negative_pct": down * 100.0 / n})
+    return q.select("Ticker", "mean_return", F.col("q")[0].alias("median_return"), "std_return", "best_return", "worst_return",
+                    "positive_bars", "negative_bars", "positive_pct", "negative_pct")
 
 
 def ma_position(eda: DataFrame) -> DataFrame:
@@ -210,7 +209,8 @@ def eda_summary(eda: DataFrame, raw_cols: Sequence[str] = tuple(C.BAR_COLUMNS))
 
 def iqr_outliers(df: DataFrame, k: float = 3.0, col: str = "Close") -> DataFrame:
     """Per-ticker fences Q1-k*IQR, Q3+k*IQR (exact percentiles); rows flagged, not removed."""
-    fences = df.groupBy("Ticker").agg(F.percentile(col, 0.25).alias("q1"), F.percentile(col, 0.75).alias("q3"))
+    q = exact_quantiles(df, ["Ticker"], {col: col}, (0.25, 0.75))
+    fences = q.select("Ticker", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     fences = fences.select("Ticker", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower"),
                            (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper"))
     # One row per ticker: joined back by key (AQE broadcasts it when small, shuffles otherwise).

@@ -51,7 +51,7 @@ VAL_CTES = PRED_CTES + [
        avg(dir_a) * 100 AS "Dir_Accuracy_pct",
        CASE WHEN stddev_samp(ex) = 0 THEN 0.0 ELSE {SQRT252} * avg(ex) / stddev_samp(ex) END AS "Sharpe_Ratio",
        min((cum - cmax) / NULLIF(cmax, 0)) * 100 AS "Max_Drawdown_pct",
-       {S.rsig('(arg_max(cum, rn) - 1) * 100')} AS "Total_Return_pct", coalesce(sum(trade), 0.0) AS "Num_Trades"
+       {S.rsig('(arg_max(cum, rn) - 1) * 100')} AS "Total_Return_pct", coalesce(sum(trade), CASE WHEN count(y - yhat) > 0 THEN 0.0 END) AS "Num_Trades"
 FROM v3 GROUP BY Model, Ticker"""),
 ]
 VAL_COLS = ["RMSE", "MAE", "MAPE", "R2", "Dir_Accuracy_pct", "Sharpe_Ratio", "Max_Drawdown_pct", "Total_Return_pct", "Num_Trades"]
@@ -75,10 +75,11 @@ TEST_CTES = PRED_CTES + [
     ("t3", f"SELECT *, CASE WHEN cum IS NULL THEN NULL ELSE max(cum) OVER ({WM} ROWS UNBOUNDED PRECEDING) END AS cmax FROM t2"),
     ("tm", f"""SELECT Model, Ticker, sqrt(avg((y - yhat) * (y - yhat))) AS "RMSE", avg(abs(y - yhat)) AS "MAE",
        avg(abs((y - yhat) / (y + {C.MAPE_EPSILON!r}))) * 100 AS "MAPE_pct",
-       CASE WHEN count(*) > 1 THEN avg(CASE WHEN dp IS NOT NULL THEN CAST(up_eq AS DOUBLE) END) * 100 ELSE 0.0 END AS "Dir_Accuracy_pct",
-       CASE WHEN coalesce(stddev_pop(ret_b), 0) > 0 THEN avg(ret_b) / stddev_pop(ret_b) * {SQRT252} ELSE 0.0 END AS "Sharpe_Ratio",
-       coalesce(min((cum - cmax) / NULLIF(cmax, 0)) * 100, 0.0) AS "Max_Drawdown_pct",
-       {S.rsig('coalesce((arg_max(cum, CASE WHEN cum IS NOT NULL THEN rn END) - 1) * 100, 0.0)')} AS "Cumulative_Return_pct"
+       CASE WHEN count(*) > 1 THEN avg(CASE WHEN dp IS NOT NULL THEN CAST(up_eq AS DOUBLE) END) * 100 WHEN count(y - yhat) > 0 THEN 0.0 END AS "Dir_Accuracy_pct",
+       CASE WHEN coalesce(stddev_pop(ret_b), 0) > 0 THEN avg(ret_b) / stddev_pop(ret_b) * {SQRT252}
+            WHEN count(y - yhat) > 0 THEN 0.0 END AS "Sharpe_Ratio",
+       coalesce(min((cum - cmax) / NULLIF(cmax, 0)) * 100, CASE WHEN count(y - yhat) > 0 THEN 0.0 END) AS "Max_Drawdown_pct",
+       {S.rsig('coalesce((arg_max(cum, CASE WHEN cum IS NOT NULL THEN rn END) - 1) * 100, CASE WHEN count(y - yhat) > 0 THEN 0.0 END)')} AS "Cumulative_Return_pct"
 FROM t3 GROUP BY Model, Ticker"""),
 ]
 TEST_COLS = ["RMSE", "MAE", "MAPE_pct", "Dir_Accuracy_pct", "Sharpe_Ratio", "Max_Drawdown_pct", "Cumulative_Return_pct"]

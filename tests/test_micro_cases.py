@@ -157,3 +157,18 @@ def test_sharpe_and_drawdown_flavours(spark):
     assert abs(t["Sharpe_Ratio"] - r.mean() / r.std() * np.sqrt(252)) < 1e-9
     cum = np.cumprod(1 + r)
     assert abs(t["Cumulative_Return_pct"] - (cum[-1] - 1) * 100) < 1e-6
+
+
+def test_failed_model_has_null_metrics(spark):
+    from barspark.operators.evaluate import test_metrics as metrics_on_test
+    from barspark.operators.evaluate import validation_metrics
+
+    rows = [(m, "T", f"2024-01-{d:02d} 00:00:00", 100.0 + d, None if m == "failed" else 99.0 + d)
+            for m in ("failed", "fine") for d in range(1, 9)]
+    preds = spark.createDataFrame(rows, "Model string, Ticker string, Timestamp string, y double, yhat double").withColumn(
+        "Timestamp", F.to_timestamp("Timestamp"))
+    for fn in (metrics_on_test, validation_metrics):
+        got = {r.Model: r.asDict() for r in fn(preds).collect()}
+        bad = {k for k, v in got["failed"].items() if k not in ("Model", "Ticker") and v is not None}
+        assert not bad, bad
+        assert got["fine"]["RMSE"] == 1.0
