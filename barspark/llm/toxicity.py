@@ -11,7 +11,9 @@ word and its prefixes, screened by how differently toxic and clean training docu
 
 The classifier is fitted on a bounded sample of labelled documents of any length (``MAX_PER_CLASS``
 of each class, by hash order of the key, as far as they fit ``MAX_CLASS_CHARS`` characters), weighted
-back to the class sizes. Everything else reads whole texts of all rows. Labels, language, source and key are
+back to the class sizes. Tasks count the features and look up the chosen ones; the driver gets only the
+chosen features of the sentences that hold some (4 bytes each; 40 million characters give some tens of MB).
+Everything else reads whole texts of all rows. Labels, language, source and key are
 no inputs of a score.
 
 Defined cases: null or empty text, or text without words, has no sentence and scores 0; several
@@ -22,7 +24,8 @@ repeated rows get the same score; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from array import array
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,7 +37,7 @@ from barspark.llm.common import cut, drop, packed, unpacked
 
 # Production parameters of op7.
 MAX_PER_CLASS = 4000
-MAX_CLASS_CHARS = MAX_PER_CLASS * 20_000  # of all sampled texts of a class together
+MAX_CLASS_CHARS = MAX_PER_CLASS * 5_000  # of all sampled texts of a class together
 HELD_OUT_OF = 5
 PREFIXES = (4, 5, 6, 7)
 LEAST_DOCS, LEAST_Z, MAX_FEATURES = 4, 3.0, 20_000
@@ -71,89 +74,97 @@ class Model:
         return sum(get(f, 0.0) for f in word_features(word))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, class_sizes: tuple[int, int]) -> Model:
-    """Noisy-or likelihood by gradient steps (Adam) over all sentences of the sample."""
+def screened(counts: DataFrame, n0: int, n1: int) -> list[str]:
+    """The features whose share of documents differs most between the classes, by a two-proportion z."""
+    share = (F.col("c1") + F.col("c0") + 1) / F.lit(n0 + n1 + 2)
+    z = F.abs(F.col("c1") / F.lit(n1) - F.col("c0") / F.lit(n0)) / F.sqrt(share * (1 - share) * F.lit(1 / n1 + 1 / n0))
+    rows = (counts.where(F.col("c1") + F.col("c0") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+            .orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect())
+    return [r[0] for r in rows]
+
+
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(feature, c0, c1): sampled documents of each class that hold it."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), DOCS_AT_ONCE):
+                held: tuple[Counter, Counter] = (Counter(), Counter())
+                for text, label in zip(batch["text"][lo:lo + DOCS_AT_ONCE], batch["label"][lo:lo + DOCS_AT_ONCE]):
+                    words = {w for _, _, found in sentences(text) for w in found}
+                    held[int(label)].update({f for w in words for f in word_features(w)})
+                features = list(held[0] | held[1])
+                yield pd.DataFrame({"feature": features, "c0": [held[0][f] for f in features], "c1": [held[1][f] for f in features]})
+
+    counts = sample.select("text", F.col("label").cast("int").alias("label")).mapInPandas(run, "feature string, c0 long, c1 long")
+    return counts.groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def feature_rows(sample: DataFrame, key: str, chosen: list[str]) -> DataFrame:
+    """Per sampled document its number of sentences and the chosen features of those that hold some:
+    ``slots`` of one after the other, ``sizes`` of each."""
+    slot = {f: i for i, f in enumerate(chosen)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            rows = []
+            for k, text, label in zip(batch["key"], batch["text"], batch["label"]):
+                slots, sizes, n = [], [], 0
+                for _, _, words in sentences(text):
+                    n, before = n + 1, len(slots)
+                    for w in words:
+                        if w not in known:
+                            known[w] = [slot[f] for f in word_features(w) if f in slot]
+                        slots += known[w]
+                    if len(slots) > before:
+                        sizes.append(len(slots) - before)
+                rows.append((k, label, n, np.array(slots, dtype=np.int32), np.array(sizes, dtype=np.int32)))
+                if len(known) > 1_000_000:  # a cache only: bounded memory
+                    known.clear()
+            yield pd.DataFrame(rows, columns=["key", "label", "n", "slots", "sizes"])
+
+    return (sample.select(F.xxhash64(key).alias("key"), F.col("label").cast("int").alias("label"), "text")
+            .mapInPandas(run, "key long, label int, n int, slots array<int>, sizes array<int>"))
+
+
+def fit(labels: np.ndarray, n: np.ndarray, slots: np.ndarray, sizes: list[np.ndarray], chosen: list[str],
+        class_sizes: tuple[int, int]) -> Model:
+    """Noisy-or likelihood by gradient steps (Adam) over all sentences of the sample. A sentence without a
+    chosen feature adds nothing to its document but the common leak."""
     labels = np.asarray(labels, dtype=float)
-    if not len(labels) or labels.min() == labels.max():
-        return Model()
-    words: dict[str, int] = {}
-    tok_word, tok_sent, sent_doc = array("i"), array("i"), array("i")
-    for d, text in enumerate(texts):
-        for _, _, found in sentences(text):
-            tok_word.extend(words.setdefault(w, len(words)) for w in found)
-            tok_sent.extend([len(sent_doc)] * len(found))
-            sent_doc.append(d)
-    tok_word, tok_sent, sent_doc = (np.array(x, dtype=np.int32) for x in (tok_word, tok_sent, sent_doc))
-    n_docs, n_sent = len(labels), len(sent_doc)
-    if not words:
-        return Model()
-
-    names: dict[str, int] = {}
-    pair_word, pair_feature = array("i"), array("i")
-    for w, i in words.items():
-        for f in word_features(w):
-            pair_word.append(i)
-            pair_feature.append(names.setdefault(f, len(names)))
-    pair_word, pair_feature = np.array(pair_word, dtype=np.int32), np.array(pair_feature, dtype=np.int32)
-
-    # Screening: documents of each class that hold a feature, compared by a two-proportion z. The
-    # pairs come ordered by word; documents are counted a few at a time to bound memory.
-    starts = np.searchsorted(pair_word, np.arange(len(words) + 1))
-    tok_doc = sent_doc[tok_sent]
-    c1, c0 = np.zeros(len(names)), np.zeros(len(names))
-    for lo in range(0, n_docs, DOCS_AT_ONCE):
-        a, b = np.searchsorted(tok_doc, [lo, lo + DOCS_AT_ONCE])
-        seen = np.unique(tok_doc[a:b].astype(np.int64) * len(words) + tok_word[a:b])
-        word = seen % len(words)
-        counts = np.diff(starts)[word]
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        feature = pair_feature[np.repeat(starts[word], counts) + within]
-        held = np.unique(np.repeat(seen // len(words), counts) * len(names) + feature)
-        toxic = labels[held // len(names)] == 1
-        c1 += np.bincount(held[toxic] % len(names), minlength=len(names))
-        c0 += np.bincount(held[~toxic] % len(names), minlength=len(names))
-    n1, n0 = labels.sum(), n_docs - labels.sum()
-    share = (c1 + c0 + 1) / (n_docs + 2)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < LEAST_DOCS] = 0
-    chosen = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    chosen = chosen[z[chosen] >= LEAST_Z]
-    slot = np.full(len(names), -1)
-    slot[chosen] = np.arange(len(chosen))
-    used = slot[pair_feature] >= 0
-    pair_word, pair_slot = pair_word[used], slot[pair_feature[used]]
-    some = np.zeros(len(words), dtype=bool)
-    some[pair_word] = True
-    keep = some[tok_word]
-    tok_word, tok_sent = tok_word[keep], tok_sent[keep]
-
+    n1, n0, n_docs = labels.sum(), len(labels) - labels.sum(), len(labels)
+    sent_doc = np.repeat(np.arange(n_docs), [len(x) for x in sizes])
+    sent_size = np.concatenate(sizes) if len(sizes) else np.zeros(0, dtype=np.int32)
+    first = np.cumsum(sent_size) - sent_size
     weight = np.where(labels == 1, class_sizes[1] / n1, class_sizes[0] / n0)
     weight = weight / weight.mean()
-    worded = np.bincount(sent_doc, minlength=n_docs) > 0
+    worded = n > 0
+
+    def logits(theta, bias):
+        x = np.add.reduceat(theta[slots], first) if len(first) else np.zeros(0)
+        logit = np.clip(bias + x, -30, 30)
+        return x, logit, np.maximum(np.logaddexp(0, logit) - np.logaddexp(0, bias), 0)
+
     theta, bias = np.zeros(len(chosen)), START
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, ROUNDS + 1):
-        word_weight = np.bincount(pair_word, weights=theta[pair_slot], minlength=len(words))
-        x = np.bincount(tok_sent, weights=word_weight[tok_word], minlength=n_sent)
-        logit = np.clip(bias + x, -30, 30)
+        x, logit, above = logits(theta, bias)
         s, leak = 1 / (1 + np.exp(-logit)), 1 / (1 + np.exp(-bias))
-        above = np.maximum(np.logaddexp(0, logit) - np.logaddexp(0, bias), 0)
         hazard = np.bincount(sent_doc, weights=above, minlength=n_docs) + worded * np.logaddexp(0, bias)  # -log P(clean)
         p = np.clip(-np.expm1(-hazard), 1e-9, 1)
         # d loss / d hazard: 1 for clean documents, -(1 - p) / p for toxic ones
         pull = weight * np.where(labels == 1, -(1 - p) / p, 1.0) / n_docs
         g_logit = np.where(x >= 0, pull[sent_doc] * s, 0.0)
         g_bias = (pull * worded).sum() * leak + (pull[sent_doc] * (s - leak))[x > 0].sum()
-        g_word = np.bincount(tok_word, weights=g_logit[tok_sent], minlength=len(words))
-        g = np.append(np.bincount(pair_slot, weights=g_word[pair_word], minlength=len(chosen)) + DECAY * theta, g_bias)
+        g_theta = np.bincount(slots, weights=np.repeat(g_logit, sent_size), minlength=len(chosen))
+        g = np.append(g_theta + DECAY * theta, g_bias)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         theta, bias = theta - move[:-1], bias - move[-1]
-    word_weight = np.bincount(pair_word, weights=theta[pair_slot], minlength=len(words))
-    logit = bias + np.bincount(tok_sent, weights=word_weight[tok_word], minlength=n_sent)
-    above = np.maximum(np.logaddexp(0, logit) - np.logaddexp(0, bias), 0)[labels[sent_doc] == 0]
-    listed = list(names)
-    return Model({listed[f]: float(t) for f, t in zip(chosen, theta)}, float(bias), float(above.mean()) if len(above) else 0.0)
+    _, _, above = logits(theta, bias)
+    clean_sentences = n[labels == 0].sum()
+    noise = above[labels[sent_doc] == 0].sum() / clean_sentences if clean_sentences else 0.0
+    return Model({f: float(t) for f, t in zip(chosen, theta)}, float(bias), float(noise))
 
 
 def is_held_out(key: str = "doc_id"):
@@ -176,10 +187,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             room[c] -= n
         else:
             too_much.append(k)
-    rows = found.where(~F.col(key).isin(too_much)) if too_much else found
-    rows = rows.toPandas().sort_values(key)
+    sample = found.where(~F.col(key).isin(too_much)) if too_much else found
+    counts = dict(sample.groupBy("label").count().collect())
+    model = Model()
+    if len(counts) == 2:
+        chosen = screened(feature_counts(sample), counts[0], counts[1])
+        rows = feature_rows(sample, key, chosen).toPandas().sort_values("key", kind="stable")
+        if rows["n"].sum():
+            slots = np.concatenate(rows["slots"].tolist()).astype(np.int32)
+            model = fit(rows["label"].to_numpy(), rows["n"].to_numpy(), slots, rows["sizes"].tolist(), chosen,
+                        (sizes.get(0, 0), sizes.get(1, 0)))
     drop(found)
-    return fit(rows["text"].tolist(), rows["label"].to_numpy(), (sizes.get(0, 0), sizes.get(1, 0)))
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -97,12 +97,52 @@ def test_long_documents_are_learned_from(spark):
 def test_sample_is_bounded_by_total_size(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "MAX_CLASS_CHARS", 100)
-    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, sizes: seen.extend(zip(texts, labels)))
+    counted = toxicity.feature_counts
+    monkeypatch.setattr(toxicity, "feature_counts", lambda sample: (seen.extend((r.text, r.label) for r in sample.collect()), counted(sample))[1])
     df = spark.createDataFrame([(i, "w" * (500 if i == 7 else 30), i % 2) for i in range(40)], "doc_id long, text string, toxic int")
     toxicity.train(df.drop("toxic"), df.drop("text"))
     assert sorted((len(t), c) for t, c in seen) == [(30, 0)] * 3 + [(30, 1)] * 3
 
 
+def test_score_is_the_noisy_or_of_its_sentences(spark):
+    model = toxicity.Model({"bad": 2.5, "good": -1.0, "ugly": 3.0, "ugly*": 0.25}, bias=-4.0, noise=0.01)
+    texts = ["Bad day. Good one! ugly uglyish thing", "fine", "", None, "bad bad. bad, good", ". ".join(["bad words here"] * 40)]
+
+    def plain(text):
+        worth = {"bad": 2.5, "good": -1.0, "ugly": 3.25, "uglyish": 0.25}
+        hazard = lambda x: np.log1p(np.exp(-4.0 + x)) - np.log1p(np.exp(-4.0))
+        found = [set(w.strip(",!").lower() for w in s.split()) for s in (text or "").replace("!", ".").split(".") if s.strip()]
+        above = [max(0.0, hazard(sum(worth.get(w, 0.0) for w in s))) for s in found]
+        return 1 - np.exp(-(np.log1p(np.exp(-4.0)) + max([*above, sum(above) - 0.01 * len(found)]))) if found else 0.0
+
+    got = {r.text: r.score for r in toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    for t in texts:
+        assert got[t] == pytest.approx(plain(t), abs=1e-12)
+
+
+def test_fit_follows_the_gradient():
+    rng = np.random.default_rng(0)
+    labels, n = np.array([1, 0, 1, 0, 0, 1]), np.array([3, 4, 2, 0, 5, 1])
+    sizes = [rng.integers(1, 4, min(2, k)) for k in n]
+    slots = rng.integers(0, 5, sum(int(x.sum()) for x in sizes))
+    model = toxicity.fit(labels, n, slots, sizes, list("abcde"), (60, 30))
+
+    def loss(theta, bias):
+        at, total, weight = 0, 0.0, np.where(labels == 1, 30 / 3, 60 / 3)
+        for d in range(6):
+            hazard = np.log1p(np.exp(bias)) * (n[d] > 0)
+            for k in sizes[d]:
+                x = sum(theta[s] for s in slots[at:at + k])
+                at += k
+                hazard += max(0.0, np.log1p(np.exp(bias + x)) - np.log1p(np.exp(bias)))
+            p = min(1, max(1e-9, 1 - np.exp(-hazard)))
+            total += weight[d] / weight.mean() * (-np.log(p) if labels[d] else hazard) / 6
+        return total
+
+    theta = np.array([model.weights[c] for c in "abcde"])
+    assert loss(theta, model.bias) < loss(np.zeros(5), toxicity.START) - 0.1
+
+
 def test_toxicity_without_labels(spark, corpus):
     df = spark.read.parquet(f"{corpus[0]}/documents.parquet")
     model = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
