@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from typing import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +35,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def with_source_order(df: DataFrame) -> DataFrame:
+    """Adds ``_seq``: rows of files in the order of file name, place of the block in its file, and row in the
+    block, however Spark packs blocks into tasks (it reads large files first). Blocks are ranked in a
+    table with one row each. A frame that doesn't come from files keeps the order of its partitions."""
+    row = F.monotonically_increasing_id()
+    try:
+        tagged = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                           row.alias("_row"))
+    except AnalysisException:
+        return df.withColumn(SEQ, row)
+    blocks = tagged.select("_path", "_block").distinct()
+    ranked = blocks.withColumn("_rank", F.row_number().over(Window.orderBy("_path", "_block")).cast("long"))
+    # A task reads a block from its start to its end, so the low 33 bits of the row id, which count
+    # the rows of a task, rise inside it.
+    in_task = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return (tagged.join(ranked, ["_path", "_block"]).withColumn(SEQ, F.shiftleft("_rank", 33).bitwiseOR(in_task))
+            .select(*[f"`{c}`" for c in df.columns], SEQ))
+
+
 def normalize_bars(df: DataFrame, ticker: str | None = None) -> DataFrame:
     """Title-case column names, Datetime/Date -> Timestamp, upper-case ticker, NaN -> NULL, the 7
     bar columns (extra vendor columns such as 'Adj Close' are dropped) and ``_seq``, the input order
     that decides which of several copies of a bar is the first. Column names of several levels
     (``Close|AAPL``, as wide vendor frames have) keep their first level."""
+    df = df.withColumn(SEQ, F.col(SEQ).cast("long")) if SEQ in df.columns else with_source_order(df)
     df = df.toDF(*[c.split("|")[0].strip() for c in df.columns])
-    seq = F.col(SEQ) if SEQ in df.columns else F.monotonically_increasing_id()
-    df = df.withColumn(SEQ, seq.cast("long"))
     renamed = df.toDF(*[c if c == SEQ else c.title() for c in df.columns])
     cols = renamed.columns
     if "Datetime" in cols:
