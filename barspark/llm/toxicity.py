@@ -134,7 +134,7 @@ def fit(labels: np.ndarray, n: np.ndarray, slots: np.ndarray, sizes: list[np.nda
     labels = np.asarray(labels, dtype=float)
     n1, n0, n_docs = labels.sum(), len(labels) - labels.sum(), len(labels)
     sent_doc = np.repeat(np.arange(n_docs), [len(x) for x in sizes])
-    sent_size = np.concatenate(sizes) if len(sizes) else np.zeros(0, dtype=np.int32)
+    sent_size = np.concatenate([np.zeros(0), *sizes]).astype(np.int64)  # empty lists come as doubles
     first = np.cumsum(sent_size) - sent_size
     weight = np.where(labels == 1, class_sizes[1] / n1, class_sizes[0] / n0)
     weight = weight / weight.mean()

@@ -143,6 +143,14 @@ def test_fit_follows_the_gradient():
     assert loss(theta, model.bias) < loss(np.zeros(5), toxicity.START) - 0.1
 
 
+def test_labels_but_no_telling_feature(spark):
+    df = spark.createDataFrame([(i, f"w{i} alone. again v{i}", i % 2) for i in range(30)] + [(40, "", 0), (41, "!", 1)], "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.drop("text"))
+    assert model.weights == {} and model.noise == 0.0
+    scores = {r.text: r.score for r in toxicity.score(df, model).collect()}
+    assert scores[""] == 0.0 and 0 < scores["w1 alone. again v1"] < 1
+
+
 def test_toxicity_without_labels(spark, corpus):
     df = spark.read.parquet(f"{corpus[0]}/documents.parquet")
     model = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
