@@ -15,25 +15,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark import config as C
+from barspark.plans import series
 from barspark.schema import JOBS_SCHEMA, REGISTRY_SCHEMA
 
 
+ASKS_PER_TASK = 100_000  # requests of one series and time block that are placed together
+
+
+def asof_positions(requests: DataFrame, bars: DataFrame) -> DataFrame:
+    """``requests`` (Ticker, as_of, ...) with ``_end``, the number of the series' bars at or before
+    as_of (NULL = all of them); 0 for a ticker without bars.
+
+    A count table with a row per series and time block gives the bars before a request's block. Inside
+    the block, requests and bar stamps are sorted together and the bars are counted; only blocks that
+    hold requests are read, and a block with very many requests is split by salt.
+    """
+    secs = series.block_seconds(bars)
+    asks = requests.filter(F.col("Ticker").isNotNull())
+    latest = F.lit(2 ** 62)  # after every block
+    asks = asks.select(F.struct(*requests.columns).alias("_ask_row"), "Ticker", F.col("as_of").cast("timestamp").alias("_at"),
+                       F.coalesce(series.time_block(F.col("as_of"), secs), latest).alias("_blk"))
+    stamps = bars.select("Ticker", F.col("Timestamp").cast("timestamp").alias("_at"),
+                         series.time_block(F.col("Timestamp"), secs).alias("_blk"))
+    tally = lambda d, n_bars, n_asks: d.groupBy("Ticker", "_blk").agg(n_bars.alias("_bars"), n_asks.alias("_asks"))
+    zero, one = F.lit(0).cast("long"), F.count(F.lit(1))
+    grid = tally(tally(stamps, one, F.max(zero)).unionByName(tally(asks, F.max(zero), one)), F.sum("_bars"), F.sum("_asks"))
+    before = Window.partitionBy("Ticker").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.select("Ticker", "_blk", "_bars", "_asks", F.coalesce(F.sum("_bars").over(before), zero).alias("_before"),
+                       F.ceil(F.col("_asks") / ASKS_PER_TASK).cast("int").alias("_salts"))
+    grid = grid.filter("_asks > 0").drop("_asks")
+    placed = asks.join(grid.drop("_bars"), ["Ticker", "_blk"])
+    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("_ask_row"), F.col("_salts")).cast("int"))
+    seen = (stamps.join(grid.filter("_bars > 0").select("Ticker", "_blk", "_salts"), ["Ticker", "_blk"])
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts"))
+    both = seen.withColumn("_is_ask", F.lit(0)).unionByName(placed.drop("_salts").withColumn("_is_ask", F.lit(1)), allowMissingColumns=True)
+    so_far = (Window.partitionBy("Ticker", "_blk", "_salt").orderBy("_at", "_is_ask")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumn("_in", F.sum(1 - F.col("_is_ask")).over(so_far)).filter("_is_ask = 1")
+    return both.select("_ask_row.*", (F.col("_before") + F.col("_in")).alias("_end"))
+
+
+def asof_pairs(placed: DataFrame, indexed: DataFrame, n: int) -> DataFrame:
+    """Requests with ``_end`` against the bars (``_rn``) of the at most two stretches of ``n`` positions
+    that hold positions ``_end - n`` to ``_end - 1``: at most 2n rows a request, whatever the history."""
+    first, last = F.greatest(F.col("_end") - n, F.lit(0)), F.col("_end") - 1
+    asks = placed.filter("_end > 0").withColumn("_part", F.explode(F.sequence(F.floor(first / n), F.floor(last / n))))
+    return asks.join(indexed.withColumn("_part", F.floor(F.col(series.RN) / n)), ["Ticker", "_part"]).drop("_part")
+
+
 def asof_bars(requests: DataFrame, bars: DataFrame, n: int | None = None) -> DataFrame:
     """For each request (Ticker, as_of) the bars at or before as_of (NULL = latest), newest n.
 
     Equal requests are folded first and each gets the whole answer: ``request`` numbers them (1, 2,
-    ...). Equi-join on Ticker with the cutoff as a join filter; ``row_number() <= n`` per request
-    plans a WindowGroupLimit, so at most n bars per request survive each map task.
+    ...). With ``n`` a request is turned into its position in the series and fetches bars by position;
+    no request meets the history. Without, the whole history is the answer and is joined by Ticker.
     """
-    keys = requests.columns
-    folded = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
-    # Requests are told apart by all their columns; NULLs (latest) are values like any other here.
-    folded = folded.withColumn("_request", F.xxhash64(*keys))
-    j = folded.join(bars, "Ticker").filter(F.col("as_of").isNull() | (F.col("Timestamp") <= F.col("as_of")))
-    if n is not None:
-        w = Window.partitionBy("Ticker", "_request").orderBy(F.col("Timestamp").desc())
-        j = j.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
-    return j.withColumn("request", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_request")
+    folded = requests.groupBy(*requests.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    if n is None:
+        j = folded.join(bars, "Ticker").filter(F.col("as_of").isNull() | (F.col("Timestamp") <= F.col("as_of")))
+    else:
+        pairs = asof_pairs(asof_positions(folded, bars), series.index_rows(bars), n)
+        j = pairs.filter((F.col(series.RN) < F.col("_end")) & (F.col(series.RN) >= F.col("_end") - n)).drop("_end", series.RN)
+    return j.withColumn("request", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies")
 
 
 def align(actual: DataFrame, pred: DataFrame, on: Sequence[str] = ("Ticker", "Timestamp")) -> DataFrame:
@@ -131,31 +174,27 @@ def predict_batch(requests: DataFrame, features: DataFrame, predict: Callable[[D
                   model_version: str = "v1") -> tuple[DataFrame, DataFrame]:
     """Answer every request of a batch in one job; each is answered or rejected with a reason.
 
-    requests (Ticker, as_of) -> the newest ``seq_len + horizon`` feature rows at or before as_of ->
-    the newest ``horizon`` of them are dropped (their targets are unknown as of the request, as in
-    the reference, T7) -> at least ``seq_len`` rows required (B24) -> ``predict`` adds ``predictions``
-    (one per horizon) to the newest remaining row -> intervals and confidence from ``sigma`` (one-row
-    rmse/mae table, L18/L19). Equal requests are worked out once and answered as often as asked.
-    Returns (responses, rejected requests with a reason).
+    requests (Ticker, as_of) -> their position among the complete feature rows -> the newest
+    ``horizon`` rows are dropped (their targets are unknown as of the request, as in the reference,
+    T7) -> at least ``seq_len`` rows before them required (B24) -> ``predict`` adds ``predictions``
+    (one per horizon) to the newest remaining row, the only one a request reads -> intervals and
+    confidence from ``sigma`` (one-row rmse/mae table, L18/L19). Equal requests are worked out once
+    and answered as often as asked. Returns (responses, rejected requests with a reason).
     """
     from barspark.operators.cleaning import reject_unknown
     from barspark.operators.evaluate import interval_and_confidence
 
-    folded = requests.groupBy("Ticker", "as_of").agg(F.count(F.lit(1)).alias("_copies")).withColumn(
-        "_ask", F.coalesce(F.col("as_of"), F.lit("9999-12-31 00:00:00").cast("timestamp")))
+    folded = requests.groupBy("Ticker", "as_of").agg(F.count(F.lit(1)).alias("_copies"))
     accepted, unknown = reject_unknown(folded, features)
-    rows = asof_bars(accepted.select("Ticker", "as_of", "_ask"), features.na.drop(subset=list(feature_cols)), seq_len + horizon)
-    w = Window.partitionBy("Ticker", "_ask").orderBy(F.col("Timestamp").desc())
-    rows = rows.withColumn("_k", F.row_number().over(w))  # at most seq_len + horizon rows a request
-    latest = rows.filter(F.col("_k") == horizon + 1).drop("_k", "as_of", "request")
-    enough = rows.groupBy("Ticker", "_ask").agg(F.count(F.lit(1)).alias("_n"))
-    asked = accepted.join(enough, ["Ticker", "_ask"], "left").withColumn(
-        "_ok", F.coalesce(F.col("_n"), F.lit(0)) >= seq_len + horizon)
+    complete = features.na.drop(subset=list(feature_cols))
+    asked = asof_positions(accepted, complete).withColumn("_ok", F.col("_end") >= seq_len + horizon)
+    newest = (asked.filter("_ok").withColumn(series.RN, F.col("_end") - (horizon + 1))
+              .join(series.index_rows(complete), ["Ticker", series.RN]).drop(series.RN, "_end", "_ok"))
     again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("request")
     rejected = (asked.filter(~F.col("_ok")).withColumn("reason", F.lit(f"fewer than {seq_len} feature rows"))
                 .select("Ticker", "as_of", "_copies", "reason")
                 .unionByName(unknown.select("Ticker", "as_of", "_copies", "reason")).select("Ticker", "as_of", "reason", again))
-    scored = predict(asked.filter("_ok").join(latest, ["Ticker", "_ask"])).crossJoin(F.broadcast(sigma.select("rmse", "mae")))
+    scored = predict(newest).crossJoin(F.broadcast(sigma.select("rmse", "mae")))
     ic = interval_and_confidence(F.col("predictions"), F.col("rmse"), F.col("mae"))
     resp = scored.select(F.col("Ticker").alias("ticker"), "as_of", again, F.col("Timestamp").alias("feature_ts"), "predictions",
                          ic["confidence"].alias("confidence"), ic["intervals"].alias("intervals"),

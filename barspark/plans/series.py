@@ -41,6 +41,10 @@ def _order_cols(order: Sequence) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def time_block(time: Column, secs: int) -> Column:
+    return F.floor(F.unix_micros(time.cast("timestamp")) / F.lit(secs * 1_000_000))
+
+
 def index_rows(df: DataFrame, keys: Sequence[str] = ("Ticker",), order: Sequence = ("Timestamp",),
                time_col: str | None = "Timestamp", block_secs: int | None = None) -> DataFrame:
     """Add ``_rn``: 0-based position of each row in its series, ordered by ``order``.
@@ -51,7 +55,7 @@ def index_rows(df: DataFrame, keys: Sequence[str] = ("Ticker",), order: Sequence
     keys = list(keys)
     secs = block_secs or block_seconds(df)
     if time_col is not None:
-        blk = F.floor(F.unix_micros(F.col(time_col).cast("timestamp")) / F.lit(secs * 1_000_000))
+        blk = time_block(F.col(time_col), secs)
     else:
         first = _order_cols(order)[0]
         blk = F.floor(first / F.lit(65536))
