@@ -1,8 +1,8 @@
 """Forecast evaluation, trading backtests, ensembles and intervals.
 
 All models and tickers are evaluated in one job over a long table (Model, Ticker, Timestamp, y,
-yhat): per-series lags run on the chunked series plan, running products/maxima (equity curve,
-drawdown) on the chunked prefix scan, and the metrics are one grouped aggregate per series.
+yhat): per-series lags run on the chunked series plan; sums, moments, equity curve and drawdown are
+one row per chunk that composes with its neighbours (backtest.py).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from barspark import config as C
 from barspark.functions.columns import round_sig, safe_div
+from barspark.operators.backtest import series_summaries
 from barspark.operators.quantiles import exact_quantiles
 from barspark.plans import series
 from barspark.plans.series import RN
@@ -53,61 +54,64 @@ def _steps(preds: DataFrame) -> DataFrame:
                               "_strat": F.col("_r") * F.col("_sig"),
                               "_dir_a": (F.signum("_dy") == F.col("_sig")).cast("double")})
 
-    # Written once: the totals, both prefix scans and the final aggregate read this narrow table.
-    return materialize(series.run_ordered(preds, build, halo=2, keys=KEYS, keep_index=True))
+    return series.run_ordered(preds, build, halo=2, keys=KEYS, keep_index=True)
 
 
-def _equity(d: DataFrame, ret: str, out: str) -> DataFrame:
-    """Compounded curve of ``ret`` from its first value, its running max and the drawdown."""
-    d = series.prefix_scan(d, {out: ("prod", F.lit(1.0) + F.col(ret))}, keys=KEYS)
-    d = series.prefix_scan(d, {f"{out}_max": ("max", F.col(out))}, keys=KEYS)
-    return d.withColumn(f"{out}_dd", safe_div(F.col(out) - F.col(f"{out}_max"), F.col(f"{out}_max")))
+def _count(c: Column) -> Column:
+    return c.isNotNull().cast("double")
+
+
+def _error_sums(extra: dict[str, Column]) -> dict[str, Column]:
+    e = F.col("y") - F.col("yhat")
+    return {"_se": e * e, "_ae": F.abs(e), "_ne": _count(e), "_rows": F.lit(1.0), **extra}
 
 
 def validation_metrics(preds: DataFrame) -> DataFrame:
     """L12 (validation flavour): RMSE, MAE, MAPE, R2, directional accuracy (sign), long/short
-    strategy with smeared costs, Sharpe (risk-free, sample std), max drawdown, total return, trades."""
-    d = _steps(preds)
-    # One row per series (count, trades, mean y): joined back instead of a whole-series window.
-    per = d.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.sum("_trade").alias("_trades"),
-                               F.avg("y").alias("_ybar"))
-    d = d.join(per, list(KEYS))
-    d = d.withColumn("_net", F.col("_strat") - F.lit(C.TRANSACTION_COST) * F.coalesce(F.col("_trades"), F.lit(0.0))
-                     / (F.col("_n") - 1))
-    d = _equity(d, "_net", "_cum")
-    ex = F.col("_net") - F.lit(C.RISK_FREE_RATE / C.TRADING_DAYS)
-    e = F.col("y") - F.col("yhat")
-    sd = F.stddev_samp(ex)
-    return d.groupBy(*KEYS).agg(
-        F.sqrt(F.avg(e * e)).alias("RMSE"), F.avg(F.abs(e)).alias("MAE"),
-        (F.avg(F.abs(safe_div(e, F.col("y")))) * 100).alias("MAPE"),
-        (F.lit(1.0) - safe_div(F.sum(e * e), F.sum(F.pow(F.col("y") - F.col("_ybar"), 2)))).alias("R2"),
-        (F.avg("_dir_a") * 100).alias("Dir_Accuracy_pct"),
-        F.when(sd == 0, F.lit(0.0)).otherwise(F.lit(SQRT_252) * F.avg(ex) / sd).alias("Sharpe_Ratio"),
-        (F.min("_cum_dd") * 100).alias("Max_Drawdown_pct"),
+    strategy with smeared costs, Sharpe (risk-free, sample std), max drawdown, total return, trades.
+
+    The cost of a step needs the series' trades, so the steps are written once and read twice: for
+    those totals (a row per series) and for the summaries."""
+    d = materialize(_steps(preds))
+    cost = F.lit(C.TRANSACTION_COST) * F.coalesce(F.col("_trades"), F.lit(0.0)) / (F.col("_n") - 1)
+    per = (d.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.sum("_trade").alias("_trades"))
+           .select(*KEYS, F.when(F.col("_n") > 1, cost).alias("_cost")))
+    net = F.col("_strat") - F.col("_cost")
+    ape = F.abs(safe_div(F.col("y") - F.col("yhat"), F.col("y")))
+    s = series_summaries(d.join(per, list(KEYS)), net, _error_sums(
+        {"_ape": ape, "_nape": _count(ape), "_right": F.col("_dir_a"), "_nright": _count(F.col("_dir_a")), "_trades": F.col("_trade")}),
+        {"_y": F.col("y"), "_net": net}, KEYS)
+    n, mean = F.col("_net.n"), F.col("_net.mean") - F.lit(C.RISK_FREE_RATE / C.TRADING_DAYS)
+    sd = F.sqrt(F.when(n > 1, safe_div(F.col("_net.m2"), n - 1)))
+    return s.select(
+        *KEYS, F.sqrt(safe_div(F.col("_se"), F.col("_ne"))).alias("RMSE"), safe_div(F.col("_ae"), F.col("_ne")).alias("MAE"),
+        (safe_div(F.col("_ape"), F.col("_nape")) * 100).alias("MAPE"),
+        (F.lit(1.0) - safe_div(F.col("_se"), F.col("_y.m2"))).alias("R2"),
+        (safe_div(F.col("_right"), F.col("_nright")) * 100).alias("Dir_Accuracy_pct"),
+        F.when(sd == 0, F.lit(0.0)).otherwise(safe_div(F.lit(SQRT_252) * mean, sd)).alias("Sharpe_Ratio"),
+        (F.col("drawdown") * 100).alias("Max_Drawdown_pct"),
         # Compounded returns span many orders of magnitude: kept to 10 significant digits.
-        round_sig((F.max_by("_cum", RN) - 1) * 100).alias("Total_Return_pct"),
-        F.coalesce(F.sum("_trade"), F.when(F.count(e) > 0, F.lit(0.0))).alias("Num_Trades"))
+        round_sig((F.col("curve_end") - 1) * 100).alias("Total_Return_pct"),
+        F.coalesce("_trades", F.when(F.col("_ne") > 0, F.lit(0.0))).alias("Num_Trades"))
 
 
 def test_metrics(preds: DataFrame) -> DataFrame:
     """L13 (test flavour): MAPE with 1e-10, directional accuracy on up-flags, long/cash strategy,
     Sharpe with population std and no risk-free rate, drawdown and cumulative return. A model
     without a valid forecast has NULL metrics, never the 0 of a strategy that stands still."""
-    d = _equity(_steps(preds), "_ret_b", "_cum")
-    e = F.col("y") - F.col("yhat")
-    sd = F.stddev_pop("_ret_b")
-    n = F.count(F.lit(1))
-    zero = F.when(F.count(e) > 0, F.lit(0.0))
-    return d.groupBy(*KEYS).agg(
-        F.sqrt(F.avg(e * e)).alias("RMSE"), F.avg(F.abs(e)).alias("MAE"),
-        (F.avg(F.abs(e / (F.col("y") + F.lit(C.MAPE_EPSILON)))) * 100).alias("MAPE_pct"),
-        F.when(n > 1, F.avg(F.when(F.col("_dp").isNotNull(), F.col("_up_eq").cast("double"))) * 100)
-        .otherwise(zero).alias("Dir_Accuracy_pct"),
-        F.when(F.coalesce(sd, F.lit(0.0)) > 0, F.avg("_ret_b") / sd * F.lit(SQRT_252)).otherwise(zero).alias("Sharpe_Ratio"),
-        F.coalesce(F.min("_cum_dd") * 100, zero).alias("Max_Drawdown_pct"),
-        round_sig(F.coalesce((F.max_by("_cum", F.when(F.col("_cum").isNotNull(), F.col(RN))) - 1) * 100,
-                             zero)).alias("Cumulative_Return_pct"))
+    right = F.when(F.col("_dp").isNotNull(), F.col("_up_eq").cast("double"))
+    ape = F.abs((F.col("y") - F.col("yhat")) / (F.col("y") + F.lit(C.MAPE_EPSILON)))
+    s = series_summaries(_steps(preds), F.col("_ret_b"), _error_sums(
+        {"_ape": ape, "_right": right, "_nright": _count(right)}), {"_ret": F.col("_ret_b")}, KEYS)
+    zero = F.when(F.col("_ne") > 0, F.lit(0.0))
+    sd = F.sqrt(safe_div(F.col("_ret.m2"), F.col("_ret.n")))
+    return s.select(
+        *KEYS, F.sqrt(safe_div(F.col("_se"), F.col("_ne"))).alias("RMSE"), safe_div(F.col("_ae"), F.col("_ne")).alias("MAE"),
+        (safe_div(F.col("_ape"), F.col("_ne")) * 100).alias("MAPE_pct"),
+        F.when(F.col("_rows") > 1, safe_div(F.col("_right"), F.col("_nright")) * 100).otherwise(zero).alias("Dir_Accuracy_pct"),
+        F.when(F.coalesce(sd, F.lit(0.0)) > 0, F.col("_ret.mean") / sd * F.lit(SQRT_252)).otherwise(zero).alias("Sharpe_Ratio"),
+        F.coalesce(F.col("drawdown") * 100, zero).alias("Max_Drawdown_pct"),
+        round_sig(F.coalesce((F.col("curve_end") - 1) * 100, zero)).alias("Cumulative_Return_pct"))
 
 
 def rmse_mae(df: DataFrame, y: str = "y", yhat: str = "yhat", keys: Sequence[str] = ("Model",)) -> DataFrame:
