@@ -5,7 +5,8 @@ batches: a greedy beam search from the medoid proposes neighbours, robust prunin
 edges (a candidate goes if a kept one is ``ALPHA`` times nearer to it than the point is), and the
 kept neighbours get an edge back, pruned again when they have too many. A shard's graph is one row
 of a written index table. Queries come in blocks; every (block, shard) pair is one beam search task,
-and each query's lists are merged. Distances of what is found are computed in double precision.
+and each query's lists are merged. All distances are computed in double precision, in the graph on vectors
+moved and scaled to their shard's own frame; a beam that ends short of k + 1 points takes all of its shard.
 
 Equal vectors are one point that remembers its ``k + 1`` smallest ids, which is all a list of k
 nearest can show of them: a vector that a third of the rows share costs no more than another.
@@ -38,7 +39,7 @@ INDEX = "dim int, shard long, n long, medoid int, ids binary, vectors binary, ed
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of a[i] to each of b[i, :] (points are centred, so the product form is safe)."""
+    """Squared distances of a[i] to each of b[i, :] (points are in their shard's frame, so the product form is safe)."""
     return norms(a)[:, None] + norms(b) - 2 * np.matmul(b, a[:, :, None])[:, :, 0]
 
 
@@ -73,7 +74,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, dist: np.n
 
 @dataclass
 class Graph:
-    x: np.ndarray      # points (n, d), float32
+    x: np.ndarray      # points (n, d) in their frame
     edges: np.ndarray  # (n, DEGREE), -1: none
     medoid: int
 
@@ -81,7 +82,7 @@ class Graph:
         """Greedy beam search of all queries at once: (ids, squared distances), nearest first, -1: none."""
         m, n = len(q), len(self.x)
         ids = np.full((m, width), -1, dtype=np.int64)
-        dist = np.full((m, width), np.inf, dtype=np.float32)
+        dist = np.full((m, width), np.inf)
         ids[:, 0], dist[:, 0] = self.medoid, squared(q, np.broadcast_to(self.x[self.medoid], (m, 1, q.shape[1])))[:, 0]
         done = np.ones((m, width), dtype=bool)
         done[:, 0] = False
@@ -100,7 +101,7 @@ class Graph:
             fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
             a, b = np.nonzero(fresh)
             seen[active[a], near[a, b]] = True
-            nd = np.where(fresh, squared(q[active], self.x[np.maximum(near, 0)]), np.inf).astype(np.float32)
+            nd = np.where(fresh, squared(q[active], self.x[np.maximum(near, 0)]), np.inf)
             all_ids = np.concatenate([ids[active], np.where(fresh, near, -1)], 1)
             all_dist = np.concatenate([dist[active], nd], 1)
             all_done = np.concatenate([done[active], ~fresh], 1)
@@ -146,13 +147,47 @@ class Graph:
             self.edges[p] = kept
 
 
-def centred(v: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(v - points.mean(0), dtype=np.float32)
+class Frame:
+    """A shard's own origin and unit: the median of each component and a power of two near the median
+    distance from there, so neither magnitude nor one odd vector takes the precision of the others."""
+
+    FARTHEST = 2.0 ** 200  # vectors further away than this many units are drawn in to it (their direction stays)
+
+    def __init__(self, points: np.ndarray):
+        top = np.abs(points).max(initial=0)
+        self.first = 2.0 ** -min(1000, max(-1000, math.frexp(top)[1]))  # to at most 1, so differences are finite
+        self.origin = np.median(points * self.first, axis=0)
+        away = np.abs(points * self.first - self.origin).max(1)
+        typical = np.median(away) or away.max(initial=0)
+        self.unit = 2.0 ** -min(1000, max(-1000, math.frexp(typical)[1]))
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", under="ignore"):
+            x = np.clip(v * self.first, -2.0 ** 500, 2.0 ** 500) - self.origin
+            size = np.abs(x).max(1, keepdims=True)
+            far = size * self.unit > self.FARTHEST
+            x = np.where(far, x / np.where(far, size, 1) * self.FARTHEST, x * np.where(far, 1, self.unit))
+        return np.ascontiguousarray(x)
+
+
+def distances(q: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each q to its points, scaled where squares leave the range of a double."""
+    with np.errstate(over="ignore", under="ignore"):
+        diff = points - q[:, None, :]
+        total = (diff ** 2).sum(2)
+        out = np.sqrt(total)
+        odd = (total < 1e-250) | (total > 1e250)
+        if odd.any():
+            size = np.abs(diff[odd]).max(1)
+            inside = np.isfinite(size) & (size > 0)
+            unit = np.where(inside, size, 1)[:, None]
+            out[odd] = np.where(inside, size * np.sqrt(((diff[odd] / unit) ** 2).sum(1)), size)
+    return out
 
 
-def build(x: np.ndarray) -> Graph:
+def build(points: np.ndarray) -> Graph:
     """Graph over points; the result depends only on their order."""
-    x = centred(x, x)
+    x = Frame(points).of(points)
     n = len(x)
     medoid = int(norms(x).argmin())
     g = Graph(x, np.full((n, DEGREE), -1, dtype=np.int32), medoid)
@@ -229,20 +264,24 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
         ids = np.frombuffer(row["ids"], dtype=np.int64)
         original = np.frombuffer(row["vectors"], dtype=np.float64).reshape(len(ids), -1)
         edges = np.frombuffer(row["edges"], dtype=np.int32).reshape(len(ids), -1)
-        g = Graph(centred(original, original), edges, int(row["medoid"]))
+        frame = Frame(original)
+        g = Graph(frame.of(original), edges, int(row["medoid"]))
         qs = sorted(row["qs"], key=lambda q: q["rep"])
         out = []
         for lo in range(0, len(qs), BATCH):
             part = qs[lo:lo + BATCH]
             q = np.array([p["vector"] for p in part], dtype=np.float64)
-            found, _ = g.beam(centred(q, original), beam)
-            exact = np.sqrt(((original[np.maximum(found, 0)] - q[:, None, :]) ** 2).sum(2))
-            exact[found < 0] = np.inf
+            found, _ = g.beam(frame.of(q), beam)
+            for i in np.flatnonzero((found >= 0).sum(1) < min(k + 1, len(ids), beam)):  # a beam cut off: all points
+                nearest_of_all = np.lexsort((ids, distances(q[i:i + 1], original[None])[0]))[:beam]
+                found[i] = -1
+                found[i, :len(nearest_of_all)] = nearest_of_all
+            exact = np.where(found < 0, np.inf, distances(q, original[np.maximum(found, 0)]))
             points = np.where(found >= 0, ids[np.maximum(found, 0)], np.iinfo(np.int64).max)
-            order = np.lexsort((points, exact), axis=1)[:, :k + 1]
+            order = np.lexsort((points, exact, found < 0), axis=1)[:, :k + 1]
+            ok = np.take_along_axis(found >= 0, order, 1).ravel()
             points, exact = np.take_along_axis(points, order, 1), np.take_along_axis(exact, order, 1)
             names = np.repeat([p["rep"] for p in part], points.shape[1])
-            ok = np.isfinite(exact).ravel()
             out.append(pd.DataFrame({"query": names[ok], "point": points.ravel()[ok], "score": exact.ravel()[ok]}))
         return pd.concat(out)
 
