@@ -302,7 +302,7 @@ def find_spans(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET, hot: i
     # Both sides grow with the corpus: joined by key at every size, never broadcast.
     held = cut(docs.mapInArrow(all_pieces, found).join(salted(seeds.select("seed")).hint("merge"), ["seed", "salt"]), "pieces")
     drop(seeds)
-    classes = cut(held.groupBy("seed", "class").agg(F.min(F.struct("key", "start", "th", "length")).alias("first")), "classes")
+    classes = cut(held.groupBy("seed", "class").agg(F.min(F.struct("key", "start", "th", "length")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
 
     size = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.sum("first.length").alias("bytes"))
     total = size.where(F.col("n") <= hot).agg(F.sum("bytes")).first()[0] or 0
@@ -362,7 +362,8 @@ def find_spans(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET, hot: i
     earliest = single.groupBy("bytes").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowds = (single.join(earliest.hint("merge"), "bytes").where(F.struct("key", "start") > F.col("first"))
               .select("key", "th", "start", (F.col("start") + width).alias("end")))
-    members = (held.join(salted(classes).hint("merge"), ["seed", "class", "salt"])
+    # A class of one piece has no further members.
+    members = (held.join(salted(classes.where("n > 1").drop("n")).hint("merge"), ["seed", "class", "salt"])
                .where(F.struct("key", "start") > F.struct("first.key", "first.start"))
                .select("key", "th", "start", (F.col("start") + F.col("length")).alias("end")))
     spans = (members.unionByName(indexed).unionByName(crowds)
