@@ -14,7 +14,8 @@ are left out by element, role and the words of class and id. A word of class or
 element that holds the page's main text (``resolved``).
 
 Defined cases: null, empty or text-less html gives an empty text; urls without host share the empty
-host; unclosed or stray tags are read as browsers do (roughly); a page without its host's main
+host; unclosed or stray tags are read as browsers do (roughly); elements nested
+deeper than ``DEEPEST`` are text of the wrapper's deepest node, and their text is extracted as any other; a page without its host's main
 element falls back to ``main``, then the body; repeated rows are all returned; an empty table gives an
 empty result.
 """
@@ -36,6 +37,7 @@ from barspark.llm.url_rules import host_and_path
 
 FAN_IN = 32            # partial wrappers merged by one task
 WIDEST = 48            # siblings a wrapper node lists before they become one repeated group
+DEEPEST = 64           # nested elements a wrapper lists; what lies deeper counts as their text
 FOLDED_TAGS = 8        # of them for labels over that, folded by their tag names
 FAIR_SHARE = 0.3       # of the running text, for an article or main element to be the main text
 LEAST_PAGES = 10       # different pages a template text must be seen on
@@ -62,6 +64,8 @@ LEFT_OUT_WORDS = frozenset(
     "comments commentlist disqus respond replies reply discussion related recommended widget widgets pagination pager copyright".split())
 
 READER_WORDS = frozenset("comment comments commentlist disqus respond replies reply discussion".split())
+# Of these, an article element itself can be: a reader's comment or a lead to another page.
+ARTICLE_WORDS = READER_WORDS | frozenset("teaser teasers related recommended promo".split())
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noframes|xmp)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"""
@@ -88,7 +92,7 @@ def element(tag: str, raw: str) -> tuple[str, int]:
     out = 0
     if tag in LEFT_OUT or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs:
         out = HARD
-    elif tag not in ("body", "html", "main", "article") and not LEFT_OUT_WORDS.isdisjoint(words):
+    elif tag not in ("body", "html", "main") and not (ARTICLE_WORDS if tag == "article" else LEFT_OUT_WORDS).isdisjoint(words):
         out = BY_WORD if READER_WORDS.isdisjoint(words) else READERS
     found = ".".join([tag, *dict.fromkeys(words)]), out
     if len(_NAMES) < 50_000 and len(raw) < 200:
@@ -110,6 +114,9 @@ def resolved(found: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
     * the page's main or only article, or articles of a fair part of its running text, while none is
       outside of what is left out;
     * a first-level headline in an article or main element.
+
+    An article element with such a word of its own stays left out if the page has another article or main
+    element; without one it is kept, but for a reader comment that isn't all of the running text.
     """
     # Per element left out by word, or root: [how, running text, mains, outermost articles, headlines,
     # article text, article and main elements in no deeper such element].
@@ -145,6 +152,7 @@ def resolved(found: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
                 spans[k][1] += n
                 spans[k][5] += n if stack and stack[-1][2] else 0
     whole, free = spans[-1][1], spans[-1][6]
+    others = free > 0
     out_list, open_tags, left = list(found), [], 0  # open_tags: (tag, does it leave out)
     mains = 0
     for i, (kind, value, out) in enumerate(found):
@@ -154,7 +162,12 @@ def resolved(found: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
                 how, mass, main, articles, headlines, article_mass, direct = spans[i]
                 most = mass > 0 and (mass == whole if how == READERS else 2 * mass > whole)
                 holds = main or articles == 1 or (articles and article_mass >= FAIR_SHARE * whole)
-                if (not free or mains) and most or (not free and holds) or (mains and headlines and how == BY_WORD):
+                if tag == "article":
+                    if (most and not others) if how == READERS else not others:
+                        out = 0
+                        out_list[i] = kind, value, 0
+                        free += direct
+                elif (not free or mains) and most or (not free and holds) or (mains and headlines and how == BY_WORD):
                     out = 0
                     out_list[i] = kind, value, 0
                     free += direct
@@ -330,7 +343,10 @@ def tree_and_masses(page: str | None) -> tuple[list, list[int]]:
             if out_depth:
                 out_depth += 1
             else:
-                path[-1][KIDS].append(node)
+                if len(path) > DEEPEST:
+                    node = path[-1]  # so deep a subtree counts as text of the element above it
+                else:
+                    path[-1][KIDS].append(node)
                 out_depth = int(out > 0)
             path.append(node)
             for k, tag in enumerate(MAINS, 1):
@@ -340,10 +356,10 @@ def tree_and_masses(page: str | None) -> tuple[list, list[int]]:
             node = path.pop()
             for k, tag in enumerate(MAINS, 1):
                 within[k] -= value == tag
-            links -= node[LABEL] == "a" or node[LABEL].startswith("a.")
+            links -= value == "a"
             if out_depth:
                 out_depth -= 1
-            if len(node[KIDS]) > 1:
+            if len(node[KIDS]) > 1 and path[-1] is not node:
                 node[KIDS] = folded(node[KIDS])
         elif kind == "text" and not out_depth and not value.isspace():
             node = path[-1]
@@ -352,7 +368,7 @@ def tree_and_masses(page: str | None) -> tuple[list, list[int]]:
                 masses[k] += len(value) if within[k] else 0
             node[LINKS] += len(value) if links else 0
             text = whole_text(value.strip(), content)
-            node[TEXT] = text if node[TEXT] is None else SLOT
+            node[TEXT] = text if node[TEXT] is None and len(path) <= DEEPEST + 1 else SLOT
     root[KIDS] = folded(root[KIDS])
     seen.append(int.from_bytes(content.digest(), "big"))
     return root, masses
@@ -410,7 +426,7 @@ def _text_inside(page: str, main: str, left_out: frozenset[str]) -> str | None:
                 parts.append(value)
         elif kind == "open":
             tag = value.split(".", 1)[0]
-            paths.append(f"{paths[-1]}/{value}" if left_out else "")
+            paths.append(f"{paths[-1]}/{value}" if left_out and len(paths) <= DEEPEST else "")
             if out_depth:
                 out_depth += 1
             elif out or (left_out and paths[-1] in left_out):

@@ -115,3 +115,34 @@ def test_empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("pages"))
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     assert queries.op2_html_wrappers(spark, path).count() == 0
+
+
+def test_deep_nesting(spark, tmp_path_factory):
+    deep = "<div>" * 600 + "low words %d" + "</div>" * 600 + "<p>end %d</p>"
+    pages = [(i, "http://deep.example/", f"<body>{deep % (i, i)}</body>") for i in range(3)]
+    pages.append((9, "http://deeper.example/", "<body>" + "<div class=x>" * 20_000 + "far <b>in</b>"))
+    pages.append((10, "http://deeper.example/", "<body>" + "<div class=y>" * 5_000 + "<nav>menu</nav>text" + "</div>" * 5_000 + "after"))
+    got = extracted(spark, tmp_path_factory, pages)
+    assert got == {i: f"low words {i} end {i}" for i in range(3)} | {9: "far in", 10: "text after"}
+
+
+def test_depth_of_a_wrapper_leaves_the_text():
+    page = lambda n: "<body><div>head</div>" + "<div>" * n + "a <a href=1>b</a> c" + "</div>" * n + "tail</body>"
+    assert len({h.main_text(page(n), "body", frozenset()) for n in (1, h.DEEPEST - 2, h.DEEPEST, h.DEEPEST + 1, 500)}) == 1
+    masses = [[h.total(h.page_tree(page(n)), k) for k in (h.MASS, h.LINKS)] for n in (1, h.DEEPEST - 1, h.DEEPEST, 300)]
+    assert masses == [masses[0]] * 4
+
+
+def test_comments_and_teasers_as_articles(spark, tmp_path_factory):
+    story = "A story of some words that goes on for a while."
+    comment, teaser = "<article class='comment-body'>nice read</article>", "<article class='teaser'>Next: other things</article>"
+    cases = {
+        1: (f"<article><p>{story}</p></article><div class='thread'>{comment * 3}</div>", story),
+        2: (f"<article><p>{story}</p></article>{teaser * 4}", story),
+        3: (f"<div class='story'><p>{story}</p></div><div class='thread'>{comment * 2}</div>", story),
+        4: (f"<article class='post no-comments'><p>{story}</p></article>", story),
+        5: (f"<article class='post promo'><p>{story}</p></article><div>x</div>", story),
+        6: (f"<main><p>{story}</p>{comment}</main>", story),
+    }
+    pages = [(k, f"http://case{k}.example/", f"<body>{page}</body>") for k, (page, _) in cases.items()]
+    assert extracted(spark, tmp_path_factory, pages) == {k: want for k, (_, want) in cases.items()}
