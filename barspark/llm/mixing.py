@@ -7,8 +7,9 @@ its rows are summed again by the next digit, until one row is left in it. Rows a
 by comparing hashes: nothing is sorted, and a source of any size is one histogram.
 
 Defined cases: null text has size 0; null source is a source of its own (last in order); a source
-without words has target 0; exact repeats of a row share its hash and are taken together; an empty
-table gives an empty result.
+without words has target 0; repeats of a (key, text) share their hash, and where the budget ends among
+them it is met by their number (which of them is arbitrary); a text of any length is one row of its size;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,14 +60,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 
 def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(source, size, h) rows and (source, source_size, target) -> (…, epochs, below).
+    """(source, size, h) rows and (source, source_size, target) -> (…, epochs, below, tie, some).
 
-    A row is taken ``epochs`` times, and once more if its hash is less than ``below``.
+    A row is taken ``epochs`` times, and once more if its hash is less than ``below``. Where rows of one
+    hash lie across the end of the budget, ``tie`` is that hash and ``some`` of its rows are taken once more.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = cut(wanted.withColumn("epochs", whole.cast("int"))
                 .withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
-                .withColumn("prefix", F.lit(0).cast("long")).withColumn("open", F.col("left") > 0), "budgets")
+                .withColumn("prefix", F.lit(0).cast("long")).withColumn("open", F.col("left") > 0)
+                .withColumns({"tie": F.lit(None).cast("long"), "some": F.lit(None).cast("long")}), "budgets")
     for level in range(DIGITS):
         shift = DIGIT_BITS * (DIGITS - level)
         pending = state.where("open").select(F.col("source").alias("s"), "prefix", "left")
@@ -81,12 +84,15 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         low = F.col("prefix") + F.shiftleft(F.col("digit").cast("long"), shift - DIGIT_BITS)
         rest = F.col("left") - (F.col("upto") - F.col("words"))
         last = (F.col("n") <= 1) | F.lit(level == DIGITS - 1)
-        # A bucket that can't be split further goes whole, if that is nearer than leaving it out.
-        end = F.when(last & (2 * rest >= F.col("words")), low + F.shiftleft(F.lit(1).cast("long"), shift - DIGIT_BITS)).otherwise(low)
+        # A single row goes whole, if that is nearer than leaving it out; rows of one hash are counted off.
+        repeats = F.lit(level == DIGITS - 1) & (F.col("n") > 1)
+        end = F.when(last & ~repeats & (2 * rest >= F.col("words")), low + F.shiftleft(F.lit(1).cast("long"), shift - DIGIT_BITS)).otherwise(low)
         following = cut(state.join(bound, state["source"].eqNullSafe(bound["s"]), "left").select(
             "source", "source_size", "target", "epochs",
             F.when(F.col("digit").isNull(), F.col("left")).otherwise(rest).alias("left"),
             F.when(F.col("digit").isNull(), F.col("prefix")).otherwise(end).alias("prefix"),
+            F.when(repeats, low).otherwise(F.col("tie")).alias("tie"),
+            F.when(repeats, F.round(rest * F.col("n") / F.col("words"))).otherwise(F.col("some")).cast("long").alias("some"),
             (F.col("open") & F.col("digit").isNotNull() & ~F.coalesce(last, F.lit(True))).alias("open")), "budgets")
         drop(state)
         state = following
@@ -103,9 +109,31 @@ def _mixed(df: DataFrame, key: str, text: str, source: str, weights, share: floa
     sizes = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = thresholds(thin, targets(sizes, weights, share, cap)).withColumnRenamed("source", "s")
     drop(thin)
-    copies = F.col("epochs") + (F.col("h") < F.col("below")).cast("int")
-    return (rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
-            .withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")))
+    planned = rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
+    at_end = F.coalesce(F.col("h") == F.col("tie"), F.lit(False))
+    more = F.col("h") < F.col("below")
+    if not plan.where("tie is not null").isEmpty():
+        planned = planned.where(~at_end).withColumn("more", more).unionByName(
+            counted_off(planned.where(at_end)).withColumn("more", F.col("number") < F.col("some")).drop("number"))
+    else:
+        planned = planned.withColumn("more", more)
+    return (planned.withColumn("copies", F.col("epochs") + F.col("more").cast("int"))
+            .withColumn("taken", F.col("size") * F.col("copies")))
+
+
+def counted_off(rows: DataFrame) -> DataFrame:
+    """Numbers the rows of each source (0, 1, …) by their places in a scratch table: a window holds one
+    file's rows of a source, which one task wrote, and the files' counts give where each starts."""
+    held = cut(rows, "repeats")
+    placed = held.select(*held.columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    counts = placed.groupBy("s", "file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("s").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("s").alias("_s"), F.col("file").alias("_file"),
+                           F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("s", "file").orderBy("place")) - 1
+    return (placed.withColumn("inside", inside)
+            .join(starts, F.col("s").eqNullSafe(F.col("_s")) & (F.col("file") == F.col("_file")))
+            .select(*held.columns, (F.col("start") + F.col("inside")).alias("number")))
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,

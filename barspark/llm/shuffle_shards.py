@@ -44,7 +44,10 @@ def external_shuffle(df: DataFrame, text: str = "text", n_shards: int = SHARDS,
                  .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "h", F.spark_partition_id()), F.lit(n_buckets)))
                  .repartition(math.ceil(n_buckets / BUCKETS_A_TASK), "bucket"))
     # One fixed order of buckets and rows before the seeded shuffle: a task run again gives the same.
-    buckets = (scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("h", "size", "row"))).alias("records"))
+    # Only hashes and places are compared, as a row may hold a map; rows of one hash are repeats.
+    buckets = (scattered.groupBy("bucket").agg(F.collect_list(F.struct("h", "size", "row")).alias("found"))
+               .withColumn("order", F.array_sort(F.transform("found", lambda x, i: F.struct(x["h"].alias("h"), i.alias("i")))))
+               .select("bucket", F.transform("order", lambda o: F.get("found", o["i"])).alias("records"))
                .sortWithinPartitions("bucket"))
     shuffled = cut(buckets.select("bucket", F.shuffle("records", F.lit(seed)).alias("records"))
                    .select("bucket", F.posexplode("records").alias("place", "record"))

@@ -146,3 +146,23 @@ def test_empty(spark, tmp_path_factory):
     assert queries.op1_mixing(spark, path).count() == 0
     assert queries.op8_external_shuffle(spark, path).count() == 0
     assert mixing.mix(spark.read.parquet(f"{path}/documents.parquet").withColumn("m", F.create_map())).count() == 0
+
+
+def test_repeats_across_the_end_of_the_budget(spark):
+    rows = [(i, " ".join(["w"] * 10), "a") for i in range(800)] + [(5000, " ".join(["r"] * 10), "a")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    split = 0
+    for seed in range(6):
+        got = mixing.mix(df, seed=seed).select("doc_id", "copies", "taken", "target").collect()
+        assert len(got) == len(rows)
+        assert abs(sum(r.taken for r in got) - got[0].target) <= 5
+        split += len({r.copies for r in got if r.doc_id == 5000}) > 1
+    assert split  # some seed's budget ends among the repeats
+
+
+def test_shuffle_of_maps(spark):
+    df = spark.range(500).selectExpr("id", "cast(id % 3 as string) text", "map('k', id % 7) m", "named_struct('x', map(1, 2)) n")
+    got = shuffle_shards.external_shuffle(df, bucket_bytes=200)
+    once = {(r.id, tuple(r.m.items()), r.shard, r.slot) for r in got.collect()}
+    assert len(once) == 500 and all(m == (("k", i % 7),) for i, m, _, _ in once)
+    assert len({(k, s) for _, _, k, s in once}) == 500
