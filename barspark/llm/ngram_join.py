@@ -153,7 +153,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     if len(a) == 1 and len(b) == 1:
         return np.array([[len(np.intersect1d(a[0], b[0], assume_unique=True))]])
     both = np.intersect1d(np.concatenate(a), np.concatenate(b))
-    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
     if not len(both):
         return out
     rows = [[np.searchsorted(both, s[np.isin(s, both, assume_unique=True)]) for s in side] for side in (a, b)]
@@ -164,7 +164,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
             for i, at in enumerate(side):
                 at = at[(at >= lo) & (at < lo + step)] - lo
                 m[i, at] = 1
-        out += x @ y.T
+        out += (x @ y.T).astype(np.int64)  # at most ``step`` a cell: exact
     return out
 
 
