@@ -36,7 +36,7 @@ LEAST_SCORE = 0.5        # of the item's score with itself
 LEAST_WORDS = 20         # or so many agreeing words
 BLOCK_WORDS = 1_000_000  # words of test items that are searched in one pass
 WORDS = re.compile(r"[^\W_]+")
-LEAKS = "array<struct<item_id:long,score:double,n_words:int,start_word:int,end_word:int>>"
+LEAKS = "array<struct<item_id:{},score:double,n_words:int,start_word:int,end_word:int>>"  # {}: the ids' type
 
 
 def words_of(text: str | None) -> list[str]:
@@ -173,18 +173,19 @@ def blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / (5 * BLOCK_WORDS)))
     for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
         yield Items.of(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[1] if r[0] is None else r)))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Input rows with ``leaks``: the test items each row's text holds, with score and place."""
-    leaks: Column = F.array().cast(LEAKS)
+    kind = LEAKS.format(benchmark.schema[item_key].dataType.simpleString())
+    leaks: Column = F.array().cast(kind)
     rows = packed(df)
     for block in blocks(benchmark, item_key, item_text):
         if block.items:
             seeds = Seeds.of(block)
-            leaks = F.concat(leaks, searched(seeds)(F.col("row").getField(text)))
+            leaks = F.concat(leaks, searched(seeds, kind)(F.col("row").getField(text)))
     return unpacked(rows.withColumn("leaks", leaks), "leaks")
 
 
@@ -194,8 +195,8 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, text: str = "text", **items:
     return unpacked(find_leaks(rows, benchmark, "text", **items).where(F.size("leaks") == 0))
 
 
-def searched(seeds: Seeds):
-    @F.pandas_udf(LEAKS)
+def searched(seeds: Seeds, kind: str):
+    @F.pandas_udf(kind)
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([seeds.leaks(t) for t in texts], dtype=object)
 

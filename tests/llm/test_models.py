@@ -229,3 +229,10 @@ def test_neighbours_empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("vectors"))
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     assert queries.op4_graph_neighbours(spark, path).count() == 0
+
+
+def test_item_ids_of_any_type(spark):
+    items = spark.createDataFrame([("q1", "seven green birds sat on the old wall"), (None, "a lone item without any id at all")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x seven green birds sat on the old wall y"), (2, "a lone item without any id at all"), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {1: ["q1"], 2: [None], 3: []}
