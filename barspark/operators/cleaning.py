@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from barspark import config
 from barspark.operators.market import dedup_first, filter_trading_hours
-from barspark.plans import series
+from barspark.plans import layout, series
 from barspark.plans.series import CHUNK, RN
+from barspark.schema import SEQ
 from barspark.session import materialize as _materialize
 
 __all__ = ["dedup_first", "ffill", "bfill", "fill_ohlcv", "drop_incomplete", "clean_market_data",
@@ -62,14 +63,17 @@ def bfill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("Ticker",),
     if scope == "global":
         firsts = heads.groupBy(*keys).agg(*[F.min_by(F.col(f"_h_{c}"), F.when(F.col(f"_h_{c}").isNotNull(), F.col(CHUNK)))
                                             .alias(f"_fx_{c}") for c in cols])
-        # One row per ticker; the "next ticker with a value" window runs over that small table.
-        nxt = Window.orderBy(*keys).rowsBetween(1, Window.unboundedFollowing)
-        spill = firsts.select(*keys, *[F.first(f"_fx_{c}", ignorenulls=True).over(nxt).alias(f"_gx_{c}") for c in cols])
-        d = d.join(spill, keys, "left")
+        d = d.join(_next_series(firsts, keys, cols), keys, "left")
         d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_gx_{c}")) for c in cols}).drop(*[f"_gx_{c}" for c in cols])
     return d
 
 
+def _next_series(firsts: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``_gx_c``: the value ``_fx_c`` of the next series by key that has one."""
+    one = firsts.withColumn("_key", F.struct(*keys)).select("_key", *[F.col(f"_fx_{c}").alias(f"_gx_{c}") for c in cols])
+    return series.next_by_key(one, "_key", [f"_gx_{c}" for c in cols]).select("_key.*", *[f"_gx_{c}" for c in cols])
+
+
 def fill_ohlcv(df: DataFrame, scope: str = "ticker", cols: Sequence[str] = tuple(config.PRICE_COLUMNS),
                keys: Sequence[str] = ("Ticker",)) -> DataFrame:
     """B10 then B11 in one pass: a back-fill after a forward-fill only touches leading NULLs, so
@@ -100,9 +104,7 @@ def fill_ohlcv(df: DataFrame, scope: str = "ticker", cols: Sequence[str] = tuple
         # resolved on a one-row-per-ticker table.
         firsts = summ.groupBy(*keys).agg(*[F.min_by(F.col(f"_h_{c}"), F.when(F.col(f"_h_{c}").isNotNull(), F.col(CHUNK)))
                                            .alias(f"_fx_{c}") for c in cols])
-        nxt = Window.orderBy(*keys).rowsBetween(1, Window.unboundedFollowing)
-        spill = firsts.select(*keys, *[F.first(f"_fx_{c}", ignorenulls=True).over(nxt).alias(f"_gx_{c}") for c in cols])
-        d = d.join(spill, keys, "left")
+        d = d.join(_next_series(firsts, keys, cols), keys, "left")
         d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_gx_{c}")) for c in cols}).drop(*[f"_gx_{c}" for c in cols])
     return d
 
@@ -114,12 +116,20 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str] = tuple(config.PRICE_COLU
 
 def clean_market_data(df: DataFrame, scope: str = "ticker", cadence: DataFrame | None = None,
                       materialize: bool = True) -> DataFrame:
-    """B13 = B08 (filter + dedup) -> B10 ffill -> B11 bfill -> B12 drop.
-
-    The clean table is a published artifact (A16) and is read by every later stage, so it is
-    checkpointed by default."""
-    filtered = filter_trading_hours(df, cadence)
-    out = drop_incomplete(fill_ohlcv(filtered, scope=scope)).drop(RN, CHUNK, "_seq")
+    """B13 = B08 (filter + dedup) -> B10 ffill -> B11 bfill -> B12 drop, on one layout (plans/layout.py).
+
+    The input is read once, into a table clustered by (Ticker, block). ``cadence`` (Ticker, is_daily) may be
+    passed in. The clean table is a published artifact (A16) and is read by every later stage, so it is
+    written by default."""
+    cols = list(config.PRICE_COLUMNS)
+    bars = layout.bar_layout(df)
+    blocks = layout.block_summaries(bars, cols)
+    if cadence is None:
+        blocks = layout.with_is_daily(blocks)
+    else:
+        blocks = blocks.join(cadence.select("Ticker", "is_daily"), "Ticker", "left")
+    out = drop_incomplete(layout.filled(bars, layout.carries(blocks, cols, scope), cols, scope))
+    out = out.select(*[c for c in df.columns if c != SEQ])
     return _materialize(out) if materialize else out
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark import config as C
@@ -91,8 +91,7 @@ def sequence_dataset(features: DataFrame, L: int = C.SEQUENCE_LENGTH, v: float =
                                  "_va_hi": F.col("_n") - 1})
     seq = sequences(scaled.drop("is_train", "is_val"), L, cols, TARGETS,
                     {"train": ("_tr_lo", "_tr_hi"), "val": ("_va_lo", "_va_hi")})
-    ids = features.select("Ticker").distinct().withColumn(
-        "stock_id", (F.row_number().over(Window.orderBy("Ticker")) - 1).cast("int"))
+    ids = series.number_by_key(features.select("Ticker").distinct(), "Ticker", "stock_id")
     out = with_stock_id(seq, ids).select("Ticker", "stock_id", "split", "Timestamp", "X", "y")
     return out, scaler, ids
 

@@ -243,8 +243,7 @@ def retention_report(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def stock_ids(df: DataFrame) -> DataFrame:
     """Distinct sorted tickers -> dense ids from 0 (one row per ticker)."""
-    t = df.select("Ticker").distinct()
-    return t.withColumn("stock_id", (F.row_number().over(Window.orderBy("Ticker")) - 1).cast("int"))
+    return series.number_by_key(df.select("Ticker").distinct(), "Ticker", "stock_id")
 
 
 def bars_per_ticker(df: DataFrame) -> DataFrame:

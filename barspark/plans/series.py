@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark import config
+from barspark.session import materialize
 
 RN, CHUNK, CORE, HOME = "_rn", "_chunk", "_core", "_home"
 
@@ -151,6 +152,37 @@ def prefix_scan(df: DataFrame, specs: dict[str, tuple[str, Column]], keys: Seque
     return out
 
 
+def _by_range(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by range of ``key``, written, with the number of their range: both uses of it agree."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, key).withColumn("_range", F.spark_partition_id()))
+
+
+def next_by_key(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """One row per ``key``: each column of ``cols`` becomes its next value that isn't NULL in later rows by ``key``.
+
+    A task sees one range of keys; the ranges' first values (a row per shuffle partition) give the rest."""
+    d = _by_range(df, key)
+    heads = d.groupBy("_range").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(key))).alias(f"_h_{c}") for c in cols])
+    later = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    after = heads.select("_range", *[F.first(f"_h_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols])
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(1, Window.unboundedFollowing)
+    d = d.select("*", *[F.first(c, ignorenulls=True).over(inside).alias(f"_i_{c}") for c in cols])
+    return d.join(F.broadcast(after), "_range").select(
+        key, *[F.coalesce(f"_i_{c}", f"_n_{c}").alias(c) for c in cols])
+
+
+def number_by_key(df: DataFrame, key: str, out: str) -> DataFrame:
+    """``out``: 0, 1, … in the order of the distinct ``key`` values; ranges as in ``next_by_key``."""
+    d = _by_range(df, key)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return (d.withColumn(out, place).join(F.broadcast(starts), "_range")
+            .withColumn(out, (F.col("_start") + F.col(out)).cast("int")).drop("_range", "_start"))
+
+
 def latest_n(df: DataFrame, n: int, keys: Sequence[str] = ("Ticker",), order: Iterable = ("Timestamp",)) -> DataFrame:
     """Last ``n`` rows of every series (ties by the order columns)."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() if isinstance(o, str) else o.desc() for o in order])
