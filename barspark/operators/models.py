@@ -39,44 +39,50 @@ def ar_baseline(bars: DataFrame) -> DataFrame:
         "unit_root_rejected", F.col("df_t") < DF_CRITICAL_5PCT).drop("_sxx", "_syy", "_sxy")
 
 
-def _det3(m):
-    (a, b, c), (d, e, f), (g, h, i) = m
-    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+def solve_symmetric(matrix: Column, p: int) -> Column:
+    """Solution of a positive definite system given as its p rows of p + 1 numbers, the last the right side.
+
+    Elimination pivot by pivot inside one array, without Python; a pivot of 0 (or NULL) gives NULLs."""
+    w = p + 1
+    at = lambda m, i, j: F.get(m, i * F.lit(w) + j)
+
+    def pivot(m: Column, k: Column) -> Column:
+        def cell(x: Column, place: Column) -> Column:
+            row, col = F.floor(place / F.lit(w)).cast("int"), F.pmod(place, F.lit(w)).cast("int")
+            share = safe_div(at(m, k, col), at(m, k, k))
+            return F.when(row == k, share).otherwise(x - at(m, row, k) * share)
+        return F.transform(m, cell)
+
+    solved = F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), matrix, pivot)
+    return F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: at(solved, i, F.lit(p)))
 
 
 def fit_stacking(wide: DataFrame, features: Sequence[str], target: str = "y", alpha: float = 1.0,
                  keys: Sequence[str] = ("Ticker",)) -> DataFrame:
-    """Ridge (intercept not penalised) per key over 3 base-model predictions, closed form.
+    """Ridge (intercept not penalised) per key over the predictions of any number of base models.
 
-    Sufficient statistics (centred cross products) come from one grouped aggregate; the 3x3
-    system (X'X + alpha I) w = X'y is solved by Cramer's rule in column expressions.
+    One grouped aggregate gives the centred cross products; (X'X + alpha I) w = X'y is solved in
+    array expressions, one row per key.
     """
-    assert len(features) == 3, "closed-form solve is written for three base models"
-    n = F.count(F.lit(1))
-    aggs = [n.alias("_n"), F.avg(target).alias("_my")] + [F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)]
-    for i, a in enumerate(features):
-        aggs.append((F.covar_pop(a, target) * n).alias(f"_xy{i}"))
-        for j, b in enumerate(features):
-            if j >= i:
-                aggs.append((F.covar_pop(a, b) * n).alias(f"_xx{i}{j}"))
-    g = wide.groupBy(*keys).agg(*aggs)
-
-    def xx(i, j):
-        i, j = min(i, j), max(i, j)
-        v = F.col(f"_xx{i}{j}")
-        return v + F.lit(alpha) if i == j else v
-
-    A = [[xx(i, j) for j in range(3)] for i in range(3)]
-    bvec = [F.col(f"_xy{i}") for i in range(3)]
-    det = _det3(A)
-    ws = []
-    for k in range(3):
-        Ak = [[bvec[r] if c == k else A[r][c] for c in range(3)] for r in range(3)]
-        ws.append(safe_div(_det3(Ak), det))
-    out = g.select(*keys, *[w.alias(f"w_{f}") for w, f in zip(ws, features)], "_my",
-                   *[F.col(f"_m{i}") for i in range(3)])
-    intercept = F.col("_my") - sum((F.col(f"w_{f}") * F.col(f"_m{i}") for i, f in enumerate(features)), F.lit(0.0))
-    return out.select(*keys, *[f"w_{f}" for f in features], intercept.alias("intercept"))
+    p, n = len(features), F.count(F.lit(1))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    g = wide.groupBy(*keys).agg(
+        F.avg(target).alias("_my"), *[F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)],
+        *[(F.covar_pop(f, target) * n).alias(f"_xy{i}") for i, f in enumerate(features)],
+        *[(F.covar_pop(features[i], features[j]) * n).alias(f"_xx{i}_{j}") for i, j in pairs])
+    cell = lambda i, j: F.col(f"_xx{min(i, j)}_{max(i, j)}") + F.lit(float(alpha) if i == j else 0.0)
+    rows = F.array(*[c for i in range(p) for c in (*(cell(i, j) for j in range(p)), F.col(f"_xy{i}"))])
+    out = g.withColumn("_w", solve_symmetric(rows, p))
+    weights = [F.get("_w", F.lit(i)) for i in range(p)]
+    intercept = F.col("_my") - sum((w * F.col(f"_m{i}") for i, w in enumerate(weights)), F.lit(0.0))
+    return out.select(*keys, *[w.alias(f"w_{f}") for f, w in zip(features, weights)], intercept.alias("intercept"))
+
+
+def apply_stacking(wide: DataFrame, weights: DataFrame, features: Sequence[str], keys: Sequence[str] = ("Ticker",),
+                   out: str = "stacked") -> DataFrame:
+    """K05 on rows the weights haven't seen: adds the stacked forecast (one row of weights per key)."""
+    value = F.col("intercept") + sum((F.col(f"w_{f}") * F.col(f) for f in features), F.lit(0.0))
+    return wide.join(weights, list(keys)).withColumn(out, value).drop("intercept", *[f"w_{f}" for f in features])
 
 
 def seasonal_baseline(train: DataFrame, val: DataFrame) -> DataFrame:

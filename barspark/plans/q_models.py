@@ -29,7 +29,7 @@ def q_ar(spark, sf_dir):
     return output(models.ar_baseline(daily_clean(spark, sf_dir)))
 
 
-def _cramer_sql(alpha: float = 1.0) -> str:
+def _cramer_sql(alpha: float = 1.0, source: str = "wide2", r=S.r) -> str:
     f = ["naive", "sma5", "lag5"]
 
     def xx(i, j):
@@ -52,19 +52,46 @@ def _cramer_sql(alpha: float = 1.0) -> str:
         + [f"covar_pop({x}, y) * count(*) AS xy{i}" for i, x in enumerate(f)]
         + [f"covar_pop({a}, {bb}) * count(*) AS xx{i}{j}" for i, a in enumerate(f) for j, bb in enumerate(f) if j >= i])
     inter = f"my - ({ws[0]} * m0 + {ws[1]} * m1 + {ws[2]} * m2)"
-    return f"""SELECT Ticker, {S.r(ws[0])} AS w_naive, {S.r(ws[1])} AS w_sma5, {S.r(ws[2])} AS w_lag5, {S.r(inter)} AS intercept
-FROM (SELECT Ticker, {stats} FROM wide2 GROUP BY Ticker) s"""
+    return f"""SELECT Ticker, {r(ws[0])} AS w_naive, {r(ws[1])} AS w_sma5, {r(ws[2])} AS w_lag5, {r(inter)} AS intercept
+FROM (SELECT Ticker, {stats} FROM {source} GROUP BY Ticker) s"""
 
 
-@query("K05_stacking_ridge", S.with_views(_cramer_sql(), PRED_CTES + [
-    ("wide2", "SELECT * FROM wide WHERE naive IS NOT NULL AND sma5 IS NOT NULL AND lag5 IS NOT NULL")]))
-def q_stacking(spark, sf_dir):
-    """Ridge (alpha=1) meta-learner over the three base forecasts, per ticker, in closed form."""
+BASE_MODELS = ["naive", "sma5", "lag5"]
+WIDE_CTES = PRED_CTES + [
+    ("wide2", "SELECT * FROM wide WHERE naive IS NOT NULL AND sma5 IS NOT NULL AND lag5 IS NOT NULL")]
+
+
+def _wide(spark, sf_dir):
+    """One row per bar with the forecast of each base model, where all have one."""
     p = preds(spark, sf_dir)
-    wide = p.groupBy("Ticker", "Timestamp").pivot("Model", ["naive", "sma5", "lag5"]).agg(F.first("yhat")).join(
+    wide = p.groupBy("Ticker", "Timestamp").pivot("Model", BASE_MODELS).agg(F.first("yhat")).join(
         p.select("Ticker", "Timestamp", "y").distinct(), ["Ticker", "Timestamp"])
-    wide = wide.na.drop(subset=["naive", "sma5", "lag5"])
-    return output(models.fit_stacking(wide, ["naive", "sma5", "lag5"], "y", 1.0))
+    return wide.na.drop(subset=BASE_MODELS)
+
+
+@query("K05_stacking_ridge", S.with_views(_cramer_sql(), WIDE_CTES))
+def q_stacking(spark, sf_dir):
+    """Ridge (alpha=1) meta-learner over the three base forecasts, per ticker, in closed form."""
+    return output(models.fit_stacking(_wide(spark, sf_dir), BASE_MODELS, "y", 1.0))
+
+
+@query("K05_stacking_held_out", S.with_views(f"""
+SELECT Ticker, split, count(*) AS n_rows, {S.r('sqrt(avg((y - stacked) * (y - stacked)))', 4)} AS rmse_stacked, {', '.join(
+    f"{S.r(f'sqrt(avg((y - {m}) * (y - {m})))', 4)} AS rmse_{m}" for m in BASE_MODELS)}
+FROM (SELECT n.*, intercept + w_naive * naive + w_sma5 * sma5 + w_lag5 * lag5 AS stacked FROM numbered n JOIN fitted USING (Ticker)) s
+GROUP BY 1, 2""", WIDE_CTES + [
+    ("numbered", f"""SELECT *, CASE WHEN rn < floor(n * 0.7) THEN 'train' WHEN rn < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split
+        FROM (SELECT *, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY Ticker) AS n FROM wide2) a"""),
+    ("train", "SELECT * FROM numbered WHERE split = 'train'"), ("fitted", _cramer_sql(source="train", r=str))]))
+def q_stacking_held_out(spark, sf_dir):
+    """The meta-learner fitted on the first 70% of each ticker's bars; its error there, on the next 15% and on
+    the last 15%, beside that of each base model on the same rows."""
+    d = dataset.split_3way(_wide(spark, sf_dir))
+    weights = models.fit_stacking(d.filter("split = 'train'"), BASE_MODELS, "y", 1.0)
+    scored = models.apply_stacking(d, weights, BASE_MODELS)
+    rmse = lambda m: F.sqrt(F.avg((F.col("y") - F.col(m)) ** 2)).alias(f"rmse_{m}")
+    return output(scored.groupBy("Ticker", "split").agg(F.count(F.lit(1)).alias("n_rows"), rmse("stacked"),
+                                                        *[rmse(m) for m in BASE_MODELS]), 4)
 
 
 @query("K08_seasonal_baseline", S.with_views(f"""
