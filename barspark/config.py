@@ -75,6 +75,9 @@ DEFAULT_CHUNK_ROWS = 1_000_000
 # Width of the time blocks used to number rows without a single-task window per ticker.
 BLOCK_SECONDS_CONF = "barspark.blockSeconds"
 DEFAULT_BLOCK_SECONDS = 7 * 86400
+# Directories of a table partitioned by ticker, however many tickers it has. Part of the layout of
+# written tables: readers find a ticker's directory with it.
+KEY_GROUPS = 256
 # Relative influence below which an exponential recurrence's start-up is considered gone.
 EMA_TOLERANCE = 1e-17
 

@@ -58,7 +58,7 @@ def q_csv(spark, sf_dir):
 
 @query("A04_parquet_round_trip", S.with_views(f"SELECT {BAR_OUT} FROM bars", [("bars", S.BARS_SUPPLIER)]))
 def q_parquet(spark, sf_dir):
-    """Ticker-partitioned parquet sink and scan (partition pruning by Ticker on read)."""
+    """Ticker-partitioned parquet sink and scan (``read_table`` prunes partitions by Ticker)."""
     path = io.write_table(fx.bars_supplier(spark, sf_dir).select(*C.BAR_COLUMNS), io.scratch_path(spark, "parquet"))
     return _bars(io.read_table(spark, path))
 
