@@ -1,11 +1,12 @@
 """Exact quantiles of many groups and columns at once by distributed selection.
 
-No task holds the values of a group. A double becomes an order-preserving 64-bit integer; each round
-counts the integers of the intervals that still hold a wanted rank in at most 2 ** ``BITS`` ranges,
-with partial aggregation, and keeps only the range that holds the rank, narrowed to the least and
-greatest value found in it. After a round an interval is ``BITS`` bits narrower, so six rounds settle any data;
-an interval of at most ``FEW`` values is settled by sorting them. Rounds read the input again, with the
-columns and rows they need; between rounds only one row per group and rank is kept.
+Groups of at most ``FEW`` values are sorted, all in one window. No task holds the values of a larger group.
+A double becomes an order-preserving 64-bit integer; each round counts the integers of the intervals that
+still hold a wanted rank in at most 2 ** ``BITS`` ranges, with partial aggregation, and keeps only the range
+that holds the rank, narrowed to the least and greatest value found in it. After a round an interval is
+``BITS`` bits narrower, so six rounds settle any data; an interval of at most ``FEW`` values is sorted.
+Rounds read the input again, with the columns and rows they need; between rounds only one row per
+large group and rank is kept.
 
 A quantile between two ranks is interpolated linearly. NULL is skipped, a group without values has
 NULL quantiles, NaN counts as the greatest value.
@@ -60,34 +61,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], values: dict[str, Column
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(name).alias("column"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("v"))
         for name, c in values.items()])).alias("_s")).select(*keys, "_s.column", "_s.v")
-    keyed = long.withColumn("_k", order_key(F.col("v")))
-    first, last = F.min(F.struct("_k", "v")), F.max(F.struct("_k", "v"))
-    known = F.col("v").isNotNull()
-    whole = materialize(keyed.groupBy(*group).agg(
-        F.count("v").alias("_n"), F.min(F.when(known, F.struct("_k", "v"))).alias("_lo"),
-        F.max(F.when(known, F.struct("_k", "v"))).alias("_hi"), *[c.alias(name) for name, c in (also or {}).items()]))
+    whole = materialize(long.groupBy(*group).agg(
+        F.count("v").alias("_n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"), *[c.alias(name) for name, c in (also or {}).items()]))
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor((F.col("_n") - 1) * F.lit(float(p))), F.ceil((F.col("_n") - 1) * F.lit(float(p)))) for p in probs])))
-    # One row per wanted rank: the interval [_lo, _hi] that holds it, its size, and how many values lie below.
-    state = materialize(whole.filter("_n > 0").select(
-        *group, F.explode(ranks).alias("_rank"), "_lo", "_hi", F.col("_n").alias("_size"), F.lit(0).cast("long").alias("_below")))
-    spread = (F.col("_lo._k") < F.col("_hi._k"))
-    while True:
-        left = state.filter(spread & (F.col("_size") > few)).agg(F.count(F.lit(1))).first()[0]
-        if not left:
-            break
-        state = materialize(_narrowed(keyed, state, group, spread & (F.col("_size") > few), left, bits, first, last))
-    todo = state.filter(spread).select(*group, "_lo", "_hi").distinct()
-    left = todo.count()
-    settled = state.filter(~spread).select(*group, "_rank", F.col("_lo.v").alias("_v"))
-    if left:
-        lists = (_inside(keyed, todo, group, left).groupBy(*group, "_lo")
-                 .agg(F.sort_array(F.collect_list(F.struct("_k", "v"))).alias("_few")))
-        s = state.filter(spread)
-        at = (F.col("_rank") - F.col("_below") + 1).cast("int")
-        picked = s.join(lists, _same(s, lists, [*group, "_lo"])).select(
-            *[s[c] for c in group], s["_rank"], F.element_at("_few", at)["v"].alias("_v"))
-        settled = settled.unionByName(picked)
+    large = whole.filter(F.col("_n") > few)
+    n_large = large.count()
+    known = long.filter(F.col("v").isNotNull())
+    settled = _sorted(_outside(known, large.select(*group), group, n_large), group, ranks)
+    if n_large:
+        settled = settled.unionByName(_selected(known, large.withColumn("_ranks", ranks), group, few, bits))
     by_rank = settled.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_values"))
     out = whole.join(by_rank, _same(whole, by_rank, group), "left").select(*[whole[c] for c in whole.columns], "_values")
 
@@ -100,21 +83,60 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], values: dict[str, Column
     return out.select(*group, F.array(*[quantile(p) for p in probs]).alias("q"), *(also or {}))
 
 
-def _inside(keyed: DataFrame, intervals: DataFrame, group: list[str], n: int) -> DataFrame:
+def _sorted(values: DataFrame, group: list[str], ranks: Column) -> DataFrame:
+    """(group, ``_rank``, ``_v``) of groups that are small enough to be sorted."""
+    w = Window.partitionBy(*group)
+    d = values.select(*group, "v", (F.row_number().over(w.orderBy("v")) - 1).cast("long").alias("_rank"), F.count(F.lit(1)).over(w).alias("_n"))
+    return d.filter(F.array_contains(ranks, F.col("_rank"))).select(*group, "_rank", F.col("v").alias("_v"))
+
+
+def _selected(values: DataFrame, large: DataFrame, group: list[str], few: int, bits: int) -> DataFrame:
+    """(group, ``_rank``, ``_v``) of large groups, by rounds."""
+    keyed = values.withColumn("_k", order_key(F.col("v")))
+    ends = [F.struct(order_key(F.col(c)).alias("_k"), F.col(c).alias("v")).alias(c) for c in ("_lo", "_hi")]
+    # One row per wanted rank: the interval [_lo, _hi] that holds it, its size, and how many values lie below.
+    state = materialize(large.select(*group, "_ranks", *ends, "_n").select(
+        *group, F.explode("_ranks").alias("_rank"), "_lo", "_hi", F.col("_n").alias("_size"), F.lit(0).cast("long").alias("_below")))
+    spread = (F.col("_lo._k") < F.col("_hi._k"))
+    while True:
+        left = state.filter(spread & (F.col("_size") > few)).agg(F.count(F.lit(1))).first()[0]
+        if not left:
+            break
+        state = materialize(_narrowed(keyed, state, group, spread & (F.col("_size") > few), left, bits))
+    settled = state.filter(~spread).select(*group, "_rank", F.col("_lo.v").alias("_v"))
+    todo = state.filter(spread).groupBy(*group, "_lo", "_hi", "_below").agg(F.collect_list("_rank").alias("_ranks"))
+    left = todo.count()
+    if not left:
+        return settled
+    place = F.row_number().over(Window.partitionBy(*group, "_lo").orderBy("v")) - 1
+    picked = _inside(keyed, todo, group, left, "_below", "_ranks").withColumn("_rank", F.col("_below") + place)
+    return settled.unionByName(picked.filter(F.array_contains("_ranks", F.col("_rank"))).select(*group, "_rank", F.col("v").alias("_v")))
+
+
+def _outside(values: DataFrame, groups: DataFrame, group: list[str], n: int) -> DataFrame:
+    """The values of all other groups."""
+    if not n:
+        return values
+    side = F.broadcast(groups) if n <= MOST_BROADCAST else groups.hint("merge")
+    return values.join(side, _same(values, side, group), "left_anti")
+
+
+def _inside(keyed: DataFrame, intervals: DataFrame, group: list[str], n: int, *more: str) -> DataFrame:
     """The values that lie in an interval of their group, with the interval."""
     side = F.broadcast(intervals) if n <= MOST_BROADCAST else intervals.hint("merge")
     cond = _same(keyed, side, group) & (keyed["_k"] >= side["_lo._k"]) & (keyed["_k"] <= side["_hi._k"])
-    return keyed.join(side, cond).select(*[keyed[c] for c in group], keyed["_k"], keyed["v"], side["_lo"], side["_hi"])
+    return keyed.join(side, cond).select(*[keyed[c] for c in group], keyed["_k"], keyed["v"], side["_lo"], side["_hi"], *[side[c] for c in more])
 
 
-def _narrowed(keyed, state, group, active, n, bits, first, last) -> DataFrame:
+def _narrowed(keyed, state, group, active, n, bits) -> DataFrame:
     intervals = state.filter(active).select(*group, "_lo", "_hi").distinct()
     # Halves and shifted keys are subtracted: an interval may be wider than 63 bits.
     width = F.length(F.bin(F.shiftright("_hi._k", 1) - F.shiftright("_lo._k", 1))) + 1
     shift = F.greatest(F.lit(0), width - F.lit(bits))
     at = F.call_function("shiftright", F.col("_k"), shift) - F.call_function("shiftright", F.col("_lo._k"), shift)
     counted = (_inside(keyed, intervals, group, n).withColumn("_range", at)
-               .groupBy(*group, "_lo", "_range").agg(F.count(F.lit(1)).alias("_c"), first.alias("_a"), last.alias("_b")))
+               .groupBy(*group, "_lo", "_range").agg(F.count(F.lit(1)).alias("_c"),
+                                                       *[F.struct(f("_k").alias("_k"), f("v").alias("v")).alias(c) for c, f in (("_a", F.min), ("_b", F.max))]))
     # At most 2 ** bits + 1 ranges an interval.
     so_far = F.sum("_c").over(Window.partitionBy(*group, "_lo").orderBy("_range")) - F.col("_c")
     ranges = counted.withColumn("_before", so_far)

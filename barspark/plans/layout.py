@@ -33,8 +33,9 @@ def bar_layout(df: DataFrame) -> DataFrame:
     rank = [c for c in sorted(rest, key=lambda c: c != SEQ) if not kinds[c].startswith(("map", "variant"))]
     d = df.filter(F.col("Ticker").isNotNull() & F.col("Timestamp").isNotNull()).withColumn(
         BLK, series.time_block(F.col("Timestamp"), series.block_seconds(df)))
-    first = d.groupBy(*KEYS, "Timestamp").agg(
-        F.min_by(F.struct(*rest), F.struct(*rank)).alias("_row"), F.count(F.lit(1)).alias(COPIES))
+    # The smallest row itself, unless it has columns that can't be compared: half as much to sort and shuffle.
+    row = F.min(F.struct(*rank)) if len(rank) == len(rest) else F.min_by(F.struct(*rest), F.struct(*rank))
+    first = d.groupBy(*KEYS, "Timestamp").agg(row.alias("_row"), F.count(F.lit(1)).alias(COPIES))
     local = local_time(F.col("Timestamp"), F.col("Ticker"))
     out = first.select(*KEYS, "Timestamp", "_row.*", COPIES, is_weekday(local).alias(WEEK)).withColumn(
         SESSION, F.col(WEEK) & in_session(local, F.col("Ticker")))
@@ -90,30 +91,30 @@ def with_is_daily(blocks: DataFrame) -> DataFrame:
 
 
 def carries(blocks: DataFrame, cols: Sequence[str], scope: str = "ticker") -> DataFrame:
-    """(Ticker, block, is_daily) and per column i ``_cf{i}``, the last value before the block, and ``_cb{i}``,
-    the first one after it; ``_gx{i}`` with ``scope="global"``: the first value of the next ticker by
-    name that has one. Needs ``is_daily``."""
+    """(Ticker, block, is_daily) and per column i ``_cf{i}``, the last value before the block, and ``_first{i}``,
+    the ticker's first one; ``_gx{i}`` with ``scope="global"``: the first value of the next ticker by
+    name that has one. Needs ``is_daily``.
+
+    A bar is filled backward only if no value lies before it, and then the next value is the ticker's first.
+    So no window looks ahead: one that did would read the rest of the series again for each row."""
     order = Window.partitionBy("Ticker").orderBy(BLK)
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pick = lambda side, i: F.when(F.col("is_daily"), F.col(f"{side}_w{i}")).otherwise(F.col(f"{side}_s{i}"))
     n = range(len(cols))
     b = blocks.select(*KEYS, "is_daily", *[pick(side, i).alias(f"_{side}{i}") for side in ("head", "tail") for i in n])
     out = b.select(*KEYS, "is_daily", *[F.last(f"_tail{i}", ignorenulls=True).over(before).alias(f"_cf{i}") for i in n],
-                   *[F.first(f"_head{i}", ignorenulls=True).over(after).alias(f"_cb{i}") for i in n],
-                   *([F.first(f"_head{i}", ignorenulls=True).over(whole).alias(f"_first{i}") for i in n] if scope == "global" else []))
+                   *[F.first(f"_head{i}", ignorenulls=True).over(whole).alias(f"_first{i}") for i in n])
     if scope != "global":
         return out
     firsts = out.groupBy("Ticker").agg(*[F.first(f"_first{i}").alias(f"_gx{i}") for i in n])
-    return out.drop(*[f"_first{i}" for i in n]).join(
-        series.next_by_key(firsts, "Ticker", [f"_gx{i}" for i in n]), "Ticker", "left")
+    return out.join(series.next_by_key(firsts, "Ticker", [f"_gx{i}" for i in n]), "Ticker", "left")
 
 
 def filled(layout: DataFrame, carried: DataFrame, cols: Sequence[str], scope: str = "ticker") -> DataFrame:
     """The kept bars with NULLs filled forward, then backward: windows on (Ticker, block), carries beyond."""
     d = layout.join(carried, KEYS).filter((F.col("is_daily") & F.col(WEEK)) | F.col(SESSION))
-    base = Window.partitionBy(*KEYS).orderBy("Timestamp")
-    back, ahead = base.rowsBetween(Window.unboundedPreceding, 0), base.rowsBetween(0, Window.unboundedFollowing)
-    values = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_cf{i}"), F.first(c, ignorenulls=True).over(ahead),
-                            F.col(f"_cb{i}"), *([F.col(f"_gx{i}")] if scope == "global" else [])) for i, c in enumerate(cols)}
+    back = Window.partitionBy(*KEYS).orderBy("Timestamp").rowsBetween(Window.unboundedPreceding, 0)
+    values = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_cf{i}"), F.col(f"_first{i}"),
+                            *([F.col(f"_gx{i}")] if scope == "global" else [])) for i, c in enumerate(cols)}
     return d.select(*[values.get(c, F.col(c)).alias(c) for c in layout.columns])

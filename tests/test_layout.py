@@ -93,6 +93,14 @@ def test_bars_are_shuffled_for_the_layout_only(spark, tmp_path):
     assert out.count() == 193
 
 
+def test_no_window_reads_the_rest_of_a_series_for_each_row(spark):
+    """Backward fills come from the ticker's first value: a frame from a row to the end costs the square of the rows."""
+    df = spark.createDataFrame(random_bars(5), BARS)
+    plan = cleaning.clean_market_data(df, materialize=False)._jdf.queryExecution().analyzed().toString()
+    frames = re.findall(r"specifiedwindowframe\(RowFrame, (.*?), unboundedfollowing", plan)
+    assert frames and all(f.startswith("unboundedpreceding") for f in frames)
+
+
 def test_numbers_and_next_values_by_key(spark):
     rows = [(f"k{i:04d}", float(i) if i % 7 == 0 and i < 900 else None) for i in range(1000)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)

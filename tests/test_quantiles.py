@@ -64,5 +64,17 @@ def test_joined_when_there_are_many_intervals(spark, monkeypatch):
     assert len(out) == 2
 
 
+def test_small_groups_are_sorted_without_intervals(spark, monkeypatch):
+    """Many small groups need no join of their intervals with all values."""
+    from barspark.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "_inside", lambda *a: pytest.fail("values were joined with intervals"))
+    rows = [(f"k{i % 300}" if i % 300 else None, None if i % 11 == 0 else float(i * 7919 % 1000)) for i in range(6000)]
+    out = exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], {"v": "v"}, (0.25, 0.75)).collect()
+    assert len(out) == 300
+    for r in out:
+        np.testing.assert_allclose(r.q, np.quantile([v for k, v in rows if k == r.k and v is not None], (0.25, 0.75)), rtol=1e-12)
+
+
 def test_empty_table(spark):
     assert exact_quantiles(spark.createDataFrame([], "k string, v double"), ["k"], {"v": "v"}, (0.5,)).collect() == []
