@@ -4,8 +4,8 @@ Distinct vectors are dealt to shards of bounded size by hash. In each shard poin
 batches: a greedy beam search from the medoid proposes neighbours, robust pruning keeps diverse
 edges (a candidate goes if a kept one is ``ALPHA`` times nearer to it than the point is), and the
 kept neighbours get an edge back, pruned again when they have too many. A shard's graph is one row
-of a written index table. Queries come in blocks; every (block, shard) pair is one beam search task,
-and each query's lists are merged. All distances are computed in double precision, in the graph on vectors
+of a written index table. Queries come in blocks; every (block, shard) pair is one beam search, pairs
+are a product of partitions, and each query's lists are merged. All distances are computed in double precision, in the graph on vectors
 moved and scaled to their shard's own frame; a beam that ends short of k + 1 points takes all of its shard.
 
 Equal vectors are one point that remembers its ``k + 1`` smallest ids, which is all a list of k
@@ -19,10 +19,12 @@ to the smaller id; fewer than k candidates give a shorter list; an empty table g
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ SHARD_ROWS = 4096
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 28, 48, 96, 1.2
 BATCH = 512
 BLOCK_QUERIES = 4096
+TASKS, TASK_BYTES = 256, 32 << 20  # tasks of a search from which on one takes several shards, and bytes of those
 INDEX = "dim int, shard long, n long, medoid int, ids binary, vectors binary, edges binary"
 
 
@@ -244,48 +247,55 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return cut(dealt.groupBy("dim", "shard").applyInPandas(graph_row, INDEX), "graphs")
 
 
+def found_in(index: dict, reps: np.ndarray, vectors: np.ndarray, k: int, beam: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, point, score) of the k + 1 nearest points of a shard (a row of the index), BATCH queries at a time."""
+    ids = np.frombuffer(index["ids"], dtype=np.int64)
+    original = np.frombuffer(index["vectors"], dtype=np.float64).reshape(len(ids), -1)
+    edges = np.frombuffer(index["edges"], dtype=np.int32).reshape(len(ids), -1)
+    frame = Frame(original)
+    g = Graph(frame.of(original), edges, index["medoid"])
+    order = np.argsort(reps, kind="stable")
+    for lo in range(0, len(order), BATCH):
+        part = order[lo:lo + BATCH]
+        q = vectors[part]
+        found, _ = g.beam(frame.of(q), beam)
+        for i in np.flatnonzero((found >= 0).sum(1) < min(k + 1, len(ids), beam)):  # a beam cut off: all points
+            nearest_of_all = np.lexsort((ids, distances(q[i:i + 1], original[None])[0]))[:beam]
+            found[i] = -1
+            found[i, :len(nearest_of_all)] = nearest_of_all
+        exact = np.where(found < 0, np.inf, distances(q, original[np.maximum(found, 0)]))
+        points = np.where(found >= 0, ids[np.maximum(found, 0)], np.iinfo(np.int64).max)
+        best = np.lexsort((points, exact, found < 0), axis=1)[:, :k + 1]
+        ok = np.take_along_axis(found >= 0, best, 1).ravel()
+        points, exact = np.take_along_axis(points, best, 1), np.take_along_axis(exact, best, 1)
+        yield np.repeat(reps[part], points.shape[1])[ok], points.ravel()[ok], exact.ravel()[ok]
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """(rep, vector) queries -> (query, point, score): each query's k + 1 nearest points of every shard."""
     n_blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
     block = F.pmod(F.xxhash64("rep"), F.lit(n_blocks))
-    blocks = (queries.select(F.size("vector").alias("dim"), block.alias("block"), F.struct("rep", "vector").alias("q"))
-              .groupBy("dim", "block").agg(F.collect_list("q").alias("qs")))  # BLOCK_QUERIES a block
-    # Every block meets every shard of its length; both sides name all three keys, so the pairs are
-    # dealt over all tasks and none gathers a whole side.
-    shards = F.lit(0)
-    for dim, last in index.groupBy("dim").agg(F.max("shard")).collect():  # one row per length
-        shards = F.when(F.col("dim") == dim, last).otherwise(shards)
-    each = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))
-    tasks = index.withColumn("block", each(F.lit(n_blocks - 1))).join(
-        blocks.withColumn("shard", each(shards)), ["dim", "shard", "block"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        ids = np.frombuffer(row["ids"], dtype=np.int64)
-        original = np.frombuffer(row["vectors"], dtype=np.float64).reshape(len(ids), -1)
-        edges = np.frombuffer(row["edges"], dtype=np.int32).reshape(len(ids), -1)
-        frame = Frame(original)
-        g = Graph(frame.of(original), edges, int(row["medoid"]))
-        qs = sorted(row["qs"], key=lambda q: q["rep"])
-        out = []
-        for lo in range(0, len(qs), BATCH):
-            part = qs[lo:lo + BATCH]
-            q = np.array([p["vector"] for p in part], dtype=np.float64)
-            found, _ = g.beam(frame.of(q), beam)
-            for i in np.flatnonzero((found >= 0).sum(1) < min(k + 1, len(ids), beam)):  # a beam cut off: all points
-                nearest_of_all = np.lexsort((ids, distances(q[i:i + 1], original[None])[0]))[:beam]
-                found[i] = -1
-                found[i, :len(nearest_of_all)] = nearest_of_all
-            exact = np.where(found < 0, np.inf, distances(q, original[np.maximum(found, 0)]))
-            points = np.where(found >= 0, ids[np.maximum(found, 0)], np.iinfo(np.int64).max)
-            order = np.lexsort((points, exact, found < 0), axis=1)[:, :k + 1]
-            ok = np.take_along_axis(found >= 0, order, 1).ravel()
-            points, exact = np.take_along_axis(points, order, 1), np.take_along_axis(exact, order, 1)
-            names = np.repeat([p["rep"] for p in part], points.shape[1])
-            out.append(pd.DataFrame({"query": names[ok], "point": points.ravel()[ok], "score": exact.ravel()[ok]}))
-        return pd.concat(out)
-
-    return tasks.groupBy("dim", "shard", "block").applyInPandas(run, "query long, point long, score double")
+    blocks = cut(queries.select(F.size("vector").alias("dim"), block.alias("block"), F.struct("rep", "vector").alias("q"))
+                 .groupBy("dim", "block").agg(F.collect_list("q").alias("qs")).drop("block"), "blocks")  # BLOCK_QUERIES a block
+    # Every block meets every shard of its length as a product of partitions: neither side is copied to a shuffle,
+    # nor to the driver (sizes estimated for copies leave their number out, so a join of copies may be broadcast).
+    shards, largest = index.agg(F.count("*"), F.max(F.col("n") * F.col("dim"))).first()
+    together = max(1, blocks.count())
+    a_task = max(1, min(math.ceil(shards * together / TASKS), TASK_BYTES // (16 * (largest or 1))))
+    pairs = (index.repartitionByRange(max(1, math.ceil(shards / a_task)), "dim", "shard")
+             .join(blocks.repartition(together).hint("shuffle_replicate_nl"), "dim"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("medoid", "ids", "vectors", "edges")}
+                qs = batch.column("qs")[i].values
+                numbers = qs.field("vector").flatten().to_numpy(zero_copy_only=False)
+                reps = qs.field("rep").to_numpy(zero_copy_only=False)
+                for found in found_in(row, reps, np.asarray(numbers, dtype=np.float64).reshape(len(reps), -1), k, beam):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query", "point", "score"])
+
+    return pairs.select("medoid", "ids", "vectors", "edges", "qs").mapInArrow(run, "query long, point long, score double")
 
 
 def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K,
@@ -303,7 +313,8 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         place = F.row_number().over(Window.partitionBy(by).orderBy("score", "vec_id"))
         return rows.withColumn("rank", place).where(F.col("rank") <= n)
 
-    # k + 1 nearest points hold k + 1 nearest ids: each point shows its k + 1 smallest.
+    # k + 1 nearest points hold k + 1 nearest ids: each point shows its k + 1 smallest, the first of them is its name.
+    hits = first(hits.withColumnRenamed("point", "vec_id"), "query", k + 1).withColumnRenamed("vec_id", "point")
     named = (hits.join(vectors.select(F.col("rep").alias("point"), "ids"), "point")
              .select("query", "score", F.explode("ids").alias("vec_id")))
     lists = first(named, "query", k + 1).drop("rank")
