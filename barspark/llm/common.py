@@ -25,15 +25,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a scratch table and return the table: lineage ends here."""
+def cut(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` as a scratch table, with ``options`` of the writer, and return the table: lineage ends here."""
     spark = df.sparkSession
     folder = scratch_folder(spark)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     if folder not in _registered:
         _registered.add(folder)
         atexit.register(_release_quietly, spark, folder)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -13,6 +13,9 @@ emits from there to the first cut after its end, where the next lane begins.
 Corpus counts: a unit sends each distinct pair of ids once with its number of documents, so a pair
 that stands in every document costs one row a unit. The counts come back by unit in the same way.
 
+Between the stages a unit is many rows (``slices``) in row groups of a few megabytes: readers and writers
+of Parquet hold a row group at a time, and a writer looks at the size of one only every so many rows.
+
 Defined cases: a null or empty text, and one whose joined tokens differ from its bytes under either
 tokenizer, has no tokens: zeros, and empty ``groups``; repeated rows count as documents of their
 own and are all returned; null keys and texts of any length are taken; an empty table gives an empty
@@ -44,6 +47,9 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 UNIT = 2 << 20            # bytes of text of a unit
 LANE = 512                # bytes of a lane
 LARGE = 1024              # pairs from which a group's ids are made distinct before pairing
+SLICE = 8192              # documents, pairs or links in a row of the table between the stages
+ROW_GROUP = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
+KINDS = (("key", "n_a", "n_b", "n_groups", "n_links", "sha", "groups"), ("pairs", "held"), ("docs", "slots", "times"))
 DIGESTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -281,6 +287,14 @@ def unit_rows(lengths: list[int], bound: int) -> Iterator[tuple[int, int]]:
         yield lo, len(lengths)
 
 
+def slices(found: dict) -> Iterator[dict]:
+    """A unit as rows of one kind: ``SLICE`` documents, pairs or links, from the ``first`` one on; links as bytes."""
+    for kind, names in enumerate(KINDS):
+        for lo in range(0, len(found[names[0]]), SLICE):
+            part = {c: found[c][lo:lo + SLICE] for c in names}
+            yield {"kind": kind, "first": lo} | ({c: v.tobytes() for c, v in part.items()} if kind == 2 else part)
+
+
 def align_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, a_file: str = A_FILE,
                  b_file: str = B_FILE, unit: int = UNIT, keep_groups: bool = False) -> DataFrame:
     """One row per input row: its key, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``,
@@ -290,9 +304,9 @@ def align_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
                *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("n_a", "n_b", "n_groups", "n_links")],
                *[T.StructField(c, T.ArrayType(T.StringType())) for c in ("sha", "groups")]]
     pair_lists = [T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.LongType()))]
-    link_lists = [T.StructField("docs", T.ArrayType(T.IntegerType())), T.StructField("slots", T.ArrayType(T.IntegerType())),
-                  T.StructField("times", T.ArrayType(T.LongType()))]
-    schema = T.StructType([T.StructField("unit", T.LongType()), *per_doc, *pair_lists, *link_lists])
+    link_lists = [T.StructField(c, T.BinaryType()) for c in ("docs", "slots", "times")]
+    place = [T.StructField("unit", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("first", T.LongType())]
+    schema = T.StructType([*place, *per_doc, *pair_lists, *link_lists])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _tokenizer(ByteLevel, folder, a_file), _tokenizer(Pieces, folder, b_file)
@@ -302,41 +316,44 @@ def align_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
             for lo, hi in unit_rows(lengths, unit):
                 found = align(batch.column("text").slice(lo, hi - lo).to_pylist(), a, b, keep_groups)
                 found["key"] = batch.column("key").slice(lo, hi - lo).to_pylist()
-                found["unit"] = number
-                yield pa.RecordBatch.from_arrays([pa.array([found[f.name]], to_arrow_type(f.dataType)) for f in schema.fields],
-                                                 schema.names)
+                for row in slices(found):
+                    row["unit"] = number
+                    yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], to_arrow_type(f.dataType)) for f in schema.fields],
+                                                     schema.names)
                 number += 1
 
-    units = cut(rows.mapInArrow(merged, schema), "units")
+    units = cut(rows.mapInArrow(merged, schema), "units", **ROW_GROUP)
+    pairs_of = units.where("kind = 1")
     width = len(_tokenizer(Pieces, folder, b_file).bytes)
-    counts = (units.select(F.explode(F.arrays_zip("pairs", "held")).alias("p")).groupBy(F.col("p.pairs").alias("pair"))
+    counts = (pairs_of.select(F.explode(F.arrays_zip("pairs", "held")).alias("p")).groupBy(F.col("p.pairs").alias("pair"))
               .agg(F.sum("p.held").alias("count")))
     # At most as many rows for one A id as B has ids.
     of_a = Window.partitionBy(F.expr(f"pair div {width}"))
     counts = counts.withColumn("best", F.col("count") == F.max("count").over(of_a))
-    known = (units.select(F.col("unit").alias("of_unit"), F.posexplode("pairs").alias("slot", "pair"))
+    known = (pairs_of.select(F.col("unit").alias("of_unit"), "first", F.posexplode("pairs").alias("place", "pair"))
+             .select("of_unit", (F.col("first") + F.col("place")).alias("slot"), "pair")
              .join(counts.hint("merge"), "pair").select("of_unit", "slot", "count", "best"))
 
-    def counted(row: pa.Table, pairs: pa.Table) -> pa.Table:
-        row = row.combine_chunks()
-        keys = row.column("key").chunk(0).flatten()
-        n = len(keys)
-        docs, slots, times = (row.column(c).chunk(0).flatten().to_numpy() for c in ("docs", "slots", "times"))
+    def counted(rows: pa.Table, pairs: pa.Table) -> pa.Table:
         count, best = np.zeros(pairs.num_rows, dtype=np.int64), np.zeros(pairs.num_rows, dtype=np.int64)
         slot = pairs.column("slot").to_numpy()
         count[slot] = pairs.column("count").to_numpy()
         best[slot] = pairs.column("best").to_numpy()
-        limits = np.searchsorted(docs, np.arange(n + 1))     # links lie in document order
-        out = {"key": keys}
-        for c in ("n_a", "n_b", "n_groups", "n_links"):
-            out[c] = row.column(c).chunk(0).flatten()
-        for c, of_pair in (("n_best", best), ("count_sum", count)):
-            total = np.concatenate(([0], np.cumsum(times * of_pair[slots])))
-            out[c] = pa.array(total[limits[1:]] - total[limits[:-1]], pa.int64())
-        return pa.table(out | {"groups_sha256": row.column("sha").chunk(0).flatten(), "groups": row.column("groups").chunk(0).flatten()})
+        documents = rows.filter(pc.equal(rows.column("kind"), 0))
+        sizes, first = pc.list_value_length(documents.column("n_a")).to_numpy(), documents.column("first").to_numpy()
+        total = {c: np.zeros(sizes.sum(), dtype=np.int64) for c in ("n_best", "count_sum")}
+        for cells in zip(*(rows.column(c) for c in KINDS[2])):
+            if cells[0].is_valid:
+                docs, slots, times = (np.frombuffer(v.as_buffer(), dtype=t) for v, t in zip(cells, (np.int32, np.int32, np.int64)))
+                start = np.flatnonzero(np.diff(docs, prepend=-1))  # links lie in document order
+                for c, of_pair in (("n_best", best), ("count_sum", count)):
+                    total[c][docs[start]] += np.add.reduceat(times * of_pair[slots], start)
+        each = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(first, sizes)])
+        out = {c: pc.list_flatten(documents.column(c)) for c in KINDS[0]} | {c: pa.array(v[each], pa.int64()) for c, v in total.items()}
+        return pa.table({f.name: out["sha" if f.name == "groups_sha256" else f.name] for f in result.fields})
 
     result = T.StructType([T.StructField("key", rows.schema["key"].dataType), *[T.StructField(c, T.LongType()) for c in DIGESTS],
                            T.StructField("groups_sha256", T.StringType()), T.StructField("groups", T.StringType())])
-    out = (units.drop("pairs", "held").groupBy("unit").cogroup(known.groupBy("of_unit")).applyInArrow(counted, result)
+    out = (units.where("kind <> 1").drop("pairs", "held").groupBy("unit").cogroup(known.groupBy("of_unit")).applyInArrow(counted, result)
            .withColumnRenamed("key", key))
     return out if keep_groups else out.drop("groups")

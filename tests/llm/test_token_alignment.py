@@ -1,10 +1,12 @@
 """op13: lockstep merging and corpus counts against sets of token ends."""
 
+import glob
 import hashlib
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import Row
 
 from barspark.llm import queries, token_alignment
@@ -125,3 +127,24 @@ def test_long_pieces_of_one_kind():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_alignment.align_corpus(empty).collect() == []
+
+
+def test_units_are_kept_in_bounded_pieces(spark, monkeypatch):
+    """A unit is no single row, and no row group grows with the unit or the task."""
+    rng, words = random.Random(3), ["alpha", "beta", "Gamma", "delta", "42", "naïve", "epsilon,", "zeta"]
+    rows = [Row(doc_id=i, text=" ".join(rng.choice(words) + str(rng.randrange(999)) for _ in range(400))) for i in range(600)]
+    rows += [Row(doc_id=i, text="") for i in range(600, 610)]
+    df = spark.createDataFrame(rows).coalesce(1)
+    kept, plain = [], token_alignment.cut
+    monkeypatch.setattr(token_alignment, "cut", lambda *a, **b: kept.append(plain(*a, **b)) or kept[-1])
+    got = token_alignment.align_corpus(df).collect()
+    groups, cells = [], 0
+    for f in glob.glob(f"{kept[0].scratch_path.removeprefix('file:')}/*.parquet"):
+        table = pq.ParquetFile(f)
+        groups += [table.metadata.row_group(g).total_byte_size for g in range(table.num_row_groups)]
+        cells = max(cells, *(max((len(v) for v in c.to_pylist() if hasattr(v, "__len__")), default=0) for c in table.read().columns))
+    assert max(groups) < 10 << 20 and cells <= 8 * 8192, (groups, cells)
+    monkeypatch.setattr(token_alignment, "SLICE", 7)
+    small = token_alignment.align_corpus(df.where("doc_id % 100 < 3"), unit=50_000).collect()
+    one = token_alignment.align_corpus(df.where("doc_id % 100 < 3")).collect()
+    assert sorted(small) == sorted(one) and len(got) == len(rows)
